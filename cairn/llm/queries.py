@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairn.llm import bpe, packing, sharding
+from cairn.llm import bpe, exact_dedup, packing, sharding
 from cairn.llm._common import table
 
 
@@ -13,6 +14,19 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The table doesn't say what came first; a hash of the id makes half of it the snapshot. Any split gives this result.
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"), in_snapshot=F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+
+
+OP6_SQL = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM n
+"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), length=2048, end_id=1)
 
@@ -21,6 +35,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op9_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op6_exact_dedup, op9_packing, op10_bpe)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_exact_dedup": OP6_SQL}
