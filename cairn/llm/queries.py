@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, exact_dedup, packing, sharding
+from cairn.llm import bpe, exact_dedup, packing, sharding, simhash
 from cairn.llm._common import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=40)
 
@@ -35,6 +39,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op6_exact_dedup, op9_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op6_exact_dedup, op9_packing, op10_bpe)}
 
 ORACLES = {"op6_exact_dedup": OP6_SQL}
