@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, exact_dedup, packing, sharding, simhash
+from cairn.llm import bpe, exact_dedup, packing, sharding, simhash, substring_dedup
 from cairn.llm._common import table
 
 
@@ -18,6 +18,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digests(table(spark, sf_dir, "documents"), span=200)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The table doesn't say what came first; a hash of the id makes half of it the snapshot. Any split gives this result.
     return exact_dedup.dedup(table(spark, sf_dir, "documents"), in_snapshot=F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
@@ -39,6 +43,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op6_exact_dedup, op9_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op3_suffix_array, op6_exact_dedup, op9_packing, op10_bpe)}
 
 ORACLES = {"op6_exact_dedup": OP6_SQL}
