@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, exact_dedup, packing, quality_rules, sharding, simhash, substring_dedup
+from cairn.llm import bpe, exact_dedup, html_text, packing, quality_rules, sharding, simhash, substring_dedup
 from cairn.llm._common import table
 
 
@@ -41,8 +41,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 g AS (SELECT r, unnest(range(1, len(ws) - 6)) AS i, ws FROM w WHERE len(ws) >= 8),
 p AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i:i + 7]) AS c FROM g) WHERE c > 1),
 n AS (SELECT r, sum(least(8, gap))::BIGINT AS n FROM (SELECT r, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i), 8) AS gap FROM p) GROUP BY r),
@@ -61,6 +61,10 @@ FROM b
 """
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), length=2048, end_id=1)
 
@@ -69,6 +73,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op3_suffix_array, op6_exact_dedup, op7_quality_rules, op9_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op3_suffix_array, op6_exact_dedup, op7_quality_rules, op8_html_text, op9_packing, op10_bpe)}
 
 ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_quality_rules": OP7_SQL}
