@@ -61,6 +61,36 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: Places of a sieve: a bounded table (8 bytes each) that may be sent to every task.
+SIEVE = 1 << 20
+
+
+def text_key(text: Column | None = None) -> Column:
+    """The text's SHA-256, as binary; a null text is an empty one."""
+    return F.unhex(F.sha2(F.encode(text_or_empty() if text is None else text, "UTF-8"), 256))
+
+
+def sieved(rows: DataFrame, key: str, wanted: DataFrame, inverse: bool = False) -> DataFrame:
+    """The rows whose ``key`` may be, or with ``inverse`` can't be, among those of ``wanted``.
+
+    Sends SIEVE numbers at most to the tasks, whatever the tables' sizes; with that many keys all may be."""
+    place = F.pmod(F.xxhash64(key), F.lit(SIEVE)).alias("__place")
+    full = F.broadcast(wanted.select(place).distinct())
+    return rows.withColumn("__place", place).join(full, "__place", "left_anti" if inverse else "left_semi").drop("__place")
+
+
+def without_rows(docs: DataFrame, key: Column, dropped: DataFrame, repeated: bool) -> DataFrame:
+    """``docs`` without the rows whose doc_id and ``key`` are in ``dropped`` (doc_id, key); with
+    ``repeated`` only one of the rows that agree in both stays. Texts of rows that the sieve clears don't move."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), key.alias("key"))
+    gone = dropped.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
+    some = sieved(rows, "key", dropped)
+    out = some.join(gone, (F.col("key") == F.col("gone_key")) & F.col("id").eqNullSafe(F.col("gone_id")), "left_anti").unionByName(sieved(rows, "key", dropped, inverse=True))
+    if repeated:
+        out = out.dropDuplicates(["id", "key"])
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def by_batch(df: DataFrame, schema: str, rows: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
     """mapInArrow for a function from columns (Python lists) to columns; ``schema`` gives types and order."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]

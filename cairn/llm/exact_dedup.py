@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import text_or_empty, written
+from cairn.llm._common import text_key, text_or_empty, without_rows, written
 
 #: Digests in a filter, on average.
 BUCKET_DIGESTS = 50_000
@@ -174,6 +174,14 @@ def dedup(docs: DataFrame, in_snapshot: Column, digest: Callable[[Column], Colum
     )
 
 
+def first_rows(docs: DataFrame, in_snapshot: Column) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group, with all columns as they are."""
+    found = written(dedup(docs, in_snapshot), "exact-groups").withColumn("key", F.unhex("text_sha256"))
+    kept = found.where("kept").groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+    repeated = not kept.where("n > 1").isEmpty()
+    return without_rows(docs, text_key(normalised(text_or_empty())), found.where("not kept"), repeated)
+
+
 def _other_bytes(rows: DataFrame, shared: DataFrame) -> DataFrame:
     """Rows whose digest is shared and whose bytes differ from those of a row that stays."""
     texts = rows.select("digest", "doc_id", "norm").join(shared, "digest")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, exact_dedup, html_text, packing, quality_rules, sharding, simhash, substring_dedup, toxicity
+from cairn.llm import bpe, exact_dedup, html_text, packing, quality_model, quality_rules, sharding, simhash, substring_dedup, toxicity
 from cairn.llm._common import table
 
 
@@ -22,6 +22,10 @@ def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digests(table(spark, sf_dir, "documents"), span=200)
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -77,6 +81,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op3_suffix_array, op5_toxicity, op6_exact_dedup, op7_quality_rules, op8_html_text, op9_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op3_suffix_array, op4_quality_model, op5_toxicity, op6_exact_dedup, op7_quality_rules, op8_html_text, op9_packing, op10_bpe)}
 
 ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_quality_rules": OP7_SQL}

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import by_batch, text_or_empty, written
+from cairn.llm._common import by_batch, text_key, text_or_empty, without_rows, written
 from cairn.llm.components import components
 
 #: Distinct fingerprints under a key that are compared pair by pair.
@@ -59,14 +59,17 @@ def fingerprint(text: str, width: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long) for each row of ``docs``; null texts are empty."""
+def fingerprints(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a long) for each row of ``docs``; null texts are empty.
+
+    With ``keyed`` also key, the text's digest, which tells rows of one doc_id apart."""
 
     def rows(batch: dict[str, list]) -> dict[str, list]:
         fps = np.array([fingerprint(t) for t in batch["text"]], np.uint64).view(np.int64)
-        return {"doc_id": batch["doc_id"], "fp": pa.array(fps)}
+        return batch | {"fp": pa.array(fps)}
 
-    return by_batch(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), "doc_id long, fp long", rows)
+    key = [text_key().alias("key")] if keyed else []
+    return by_batch(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), *key), "doc_id long, fp long" + ", key binary" * keyed, rows)
 
 
 #: Key number: 33 for each segment, of which the last takes out no bit. The key has it above the segment's bits.
@@ -180,6 +183,15 @@ def links(fps: DataFrame) -> DataFrame:
     return found if long_runs.isEmpty() else found.unionByName(_exchanged_stars(long_runs))
 
 
+def grouped(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, fp, more) with component_id."""
+    groups = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
+    joined = components(links(groups.select("fp")))
+    rooted = groups.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    names = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return rows.join(rooted.join(names, "root").select("fp", "component_id", "root"), "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id for each row of ``docs``.
 
@@ -189,9 +201,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Other columns are ignored; an empty table gives no rows.
     """
     rows = written(fingerprints(docs), "fingerprints")
-    groups = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    joined = components(links(groups.select("fp")))
-    rooted = groups.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of = rooted.join(names, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The row of the smallest doc_id of each component, with all columns as they are; of several rows
+    of that id, the one whose text has the smallest digest."""
+    rows = written(fingerprints(docs, keyed=True), "fingerprints")
+    found = written(grouped(rows), "near-groups")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    stay = found.groupBy("root").agg(F.min(order).alias("s"), F.count("*").alias("n")).where("n > 1")
+    dropped = found.join(stay, "root").where((F.col("key") != F.col("s.key")) | ~F.col("doc_id").eqNullSafe(F.col("s.doc_id"))).select("doc_id", "key")
+    repeated = not found.join(stay, "root").where((F.col("key") == F.col("s.key")) & F.col("doc_id").eqNullSafe(F.col("s.doc_id"))).groupBy("root").count().where("count > 1").isEmpty()
+    return without_rows(docs, text_key(), written(dropped, "near-dropped"), repeated)

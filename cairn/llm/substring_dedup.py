@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import text_or_empty, written
+from cairn.llm._common import sieved, text_or_empty, written
 
 #: Bytes of text that are hashed at a time; longer texts are taken in pieces that overlap.
 PIECE = 1 << 19
@@ -40,8 +40,6 @@ PIECE = 1 << 19
 BUCKET_BYTES = 1 << 21
 #: Distinct phrases of one trigger gram beyond which its strings are counted by hash.
 HELD = 50_000
-#: Sieve buckets for documents: a bounded table (8 bytes each) that may be sent to every task.
-SIEVE = 1 << 20
 
 _U = np.uint64
 _random = np.random.default_rng(200)
@@ -265,7 +263,8 @@ def repeats(docs: DataFrame, span: int = 200, gram: int = 32) -> DataFrame:
     owners = parsed.select("uid", "doc").distinct()
     wanted = written(unsure.join(owners, "uid"), "unsure-phrases")
 
-    texts = sieved(docs, wanted).join(wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "sup", "n", "kinds", "first", "cnt")).alias("wanted")), "doc")
+    keyed = docs.withColumn("doc", _doc_key())
+    texts = sieved(keyed, "doc", wanted).join(wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "sup", "n", "kinds", "first", "cnt")).alias("wanted")), "doc")
     # of equal texts any one will do
     texts = texts.groupBy("doc").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
     segments = written(texts.select(F.encode("text", "UTF-8").alias("data"), F.explode("wanted").alias("w")).select("w.key", "w.sup", "w.n", "w.kinds", F.expr("substring(data, cast(w.first + 1 as int), w.cnt + %d)" % (span - 1)).alias("bytes")), "segments")
@@ -280,15 +279,6 @@ def repeats(docs: DataFrame, span: int = 200, gram: int = 32) -> DataFrame:
     return places.groupBy("doc").agg(F.collect_list(F.struct("first", "p.cnt", "p.mask")).alias("places"))
 
 
-def sieved(docs: DataFrame, wanted: DataFrame, inverse: bool = False) -> DataFrame:
-    """The rows of ``docs`` (with their text key, doc) that may be, or with ``inverse`` can't be, in ``wanted``.
-
-    Sends at most SIEVE numbers to the tasks, whatever the tables' sizes; beyond that many documents it lets all pass."""
-    place = F.pmod(F.xxhash64("doc"), F.lit(SIEVE)).alias("place")
-    full = F.broadcast(wanted.select(place).distinct())
-    return docs.withColumn("doc", _doc_key()).withColumn("place", place).join(full, "place", "left_anti" if inverse else "left_semi").drop("place")
-
-
 def covered(n: int, places: list[dict] | None, span: int) -> list[tuple[int, int]]:
     """The maximal runs of removed bytes (from, to) in a text of n bytes."""
     marks = np.zeros(n + 1, np.int32)
@@ -306,12 +296,15 @@ def covered(n: int, places: list[dict] | None, span: int) -> list[tuple[int, int
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def with_places(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """row (all columns of ``docs``), text (null as empty), places: see ``repeats``, null where there are none."""
+def with_places(docs: DataFrame, span: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables of row (all columns of ``docs``), text (null as empty), places (see ``repeats``): the rows
+    that may have places, null where they don't, and those that surely have none."""
     docs = docs.select(F.struct("*").alias("row"), text_or_empty().alias("text"))
     found = written(repeats(docs, span, gram), "repeats")
-    touched = sieved(docs, found).join(found, "doc", "left")
-    return touched.unionByName(sieved(docs, found, inverse=True).withColumn("places", F.lit(None).cast(found.schema["places"].dataType))).drop("doc")
+    docs = docs.withColumn("doc", _doc_key())
+    touched = sieved(docs, "doc", found).join(found, "doc", "left").select("row", "text", "places")
+    clear = sieved(docs, "doc", found, inverse=True)
+    return touched, clear.select("row", "text", F.lit(None).cast(found.schema["places"].dataType).alias("places"))
 
 
 def removal_digests(docs: DataFrame, span: int = 200, gram: int = 32) -> DataFrame:
@@ -336,8 +329,8 @@ def removal_digests(docs: DataFrame, span: int = 200, gram: int = 32) -> DataFra
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = with_places(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), span, gram)
-    return rows.select("row.doc_id", "text", "places").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    touched, clear = with_places(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), span, gram)
+    return touched.unionByName(clear).select("row.doc_id", "text", "places").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, span: int = 200, gram: int = 32) -> DataFrame:
@@ -349,12 +342,12 @@ def without_repeats(docs: DataFrame, span: int = 200, gram: int = 32) -> DataFra
     @F.udf("string")
     def cut(text, places):
         data, at, kept = text.encode("utf-8"), 0, []
-        for low, high in covered(len(data), [p.asDict() for p in places], span):
+        for low, high in covered(len(data), places and [p.asDict() for p in places], span):
             kept.append(data[at:low].decode("utf-8", "ignore"))
             at = high
         return "".join([*kept, data[at:].decode("utf-8", "ignore")])
 
-    rows = with_places(docs, span, gram)
-    rows = rows.withColumn("text", F.when(F.col("places").isNull(), F.col("text")).otherwise(cut("text", "places")))
+    touched, clear = with_places(docs, span, gram)
+    rows = touched.withColumn("text", cut("text", "places")).unionByName(clear)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])
