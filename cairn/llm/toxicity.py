@@ -12,9 +12,9 @@ landmarks into features in which a linear machine is one of the kernel; it is tr
 of documents labelled clean, and of each toxic document the one that looks worst, chosen anew each round. A
 document scores as its worst sentence, made a probability by a logistic fit on the training rows.
 
-Word counts are over all labelled rows; what is gathered to the driver is bounded by ``WORDS``, ``TRAINED`` and
-``LANDMARKS``. A kernel is only worked out where the longest common subsequence (by bit vectors, for many words
-at a time) covers 85 % of the landmark, and kept by word.
+The machine is fitted on ``TRAINED`` labelled documents of each label at most, in the order of their ids' hashes;
+what is gathered to the driver is bounded by that, ``WORDS``, ``PIECES`` and ``LANDMARKS``. A kernel is only worked out where the longest common subsequence (by bit vectors, for many
+words at a time) covers 85 % of the landmark, and kept by word.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from cairn.llm._common import text_or_empty, written
 
 #: Words with the most toxic, and with the most other, documents whose counts are gathered to choose landmarks.
 WORDS = 6000
-#: Labelled documents of each label at most whose sentences train the machine, in the order of their hashes.
+#: Labelled documents of each label at most that landmarks and machine are learned from.
 TRAINED = 3000
 LANDMARKS = 48
 #: Sentences of a document that training looks at: those with the largest kernels.
@@ -265,18 +265,22 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the labelled rows that aren't held out; one that says 0 for all if they lack a label."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(known, "doc_id").select((F.col("toxic") > 0).cast("int").alias("toxic"), "text", F.xxhash64("text", "doc_id").alias("h"))
-    rows = written(texts, "labelled-texts")
-    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
+    known = written(known, "labels")
+    sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Model([], np.zeros(0), 0.0, 1.0, -30.0)
+    picked = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINED) for t in (0, 1)]
+    # at most 2 * TRAINED ids, whatever the tables' sizes
+    ids = F.broadcast(written(picked[0].unionByName(picked[1]), "training-ids"))
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(ids, "doc_id").select("toxic", "text").repartition(16), "training-texts")
+    taken = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(taken) < 2:
+        return Model([], np.zeros(0), 0.0, 1.0, -30.0)
     words = rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), "\\s+"))).alias("word")).where(F.length("word").between(3, LONGEST))
     counts = written(words.groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")), "word-counts")
     top = {(r.word, r.p, r.n) for c in ("p", "n") for r in counts.orderBy(F.desc(c), "word").limit(WORDS).collect()}
-    pieces = candidates(sorted(top), sizes[1], sizes[0])
-    sample = [rows.where(F.col("toxic") == t).orderBy("h").limit(TRAINED) for t in (0, 1)]
-    chosen = written(sample[0].unionByName(sample[1]).select("toxic", "text").repartition(16), "training-texts")
+    pieces = candidates(sorted(top), taken[1], taken[0])
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {t: i for i, t in enumerate(pieces)}
@@ -287,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 found.append(np.array(sorted(own), np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["toxic", "own"])
 
-    seen = chosen.mapInArrow(presence, "toxic int, own binary").collect()
+    seen = rows.mapInArrow(presence, "toxic int, own binary").collect()
     has = np.zeros((len(seen), len(pieces)), bool)
     for k, r in enumerate(seen):
         has[k, np.frombuffer(r.own, np.int32)] = True
@@ -306,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 found.append(np.array(best, np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["toxic", "rows"])
 
-    gathered = chosen.mapInArrow(kernels, "toxic int, rows binary").collect()
+    gathered = rows.mapInArrow(kernels, "toxic int, rows binary").collect()
     documents = sorted((r.toxic, bytes(r.rows)) for r in gathered)  # one order, whatever the tasks' order
     y = np.array([t for t, _ in documents])
     bags = [np.frombuffer(b, np.float32).reshape(-1, len(landmarks)).astype(float) for _, b in documents]
