@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
 from cairn.operators import contents as C
+from cairn.operators import graph as GR
 from cairn.operators import growth as G
 from cairn.operators import views as V
+from cairn.rules import triage as T
 from cairn.sources.relational import HEAP_SQL, relational_heap
+from cairn.streaming import growth as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -165,3 +168,70 @@ _REP = "e AS (SELECT CAST(floor(epoch(ts) / 604800) AS BIGINT) AS w, event_type
 query("growth", lambda sp, d: G.growth(reports(sp, d)), f"WITH {_REP} SELECT class_name, CASE WHEN first_retained IS NULL AND last_retained IS NULL THEN 'passing' WHEN first_retained IS NULL THEN 'new' WHEN last_retained IS NULL THEN 'gone' ELSE 'kept' END AS state, CAST(coalesce(first_retained, 0) AS BIGINT) AS first_retained, CAST(coalesce(last_retained, 0) AS BIGINT) AS last_retained, CAST(coalesce(last_retained, 0) - coalesce(first_retained, 0) AS BIGINT) AS delta_retained, CAST(coalesce(last_instances, 0) - coalesce(first_instances, 0) AS BIGINT) AS delta_instances FROM f")
 query("growth_series", lambda sp, d: G.series(reports(sp, d)), f"WITH {_REP} SELECT class_name, report, retained, CAST(retained - lag(retained) OVER (PARTITION BY class_name ORDER BY report) AS BIGINT) AS step FROM p")
 query("new_classes", lambda sp, d: G.growth(reports(sp, d)).where("state = 'new'").select("class_name"), f"WITH {_REP} SELECT class_name FROM f WHERE first_retained IS NULL AND last_retained IS NOT NULL")
+
+
+# Functions and joins on plain tables.
+def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _FILES(spark, sf_dir, "part")
+    n = F.col("p_size").cast("long")
+    return p.select(
+        "p_partkey", S.next_power_of_two(n).alias("power"), S.ratio_bucket(n * 200).alias("bucket"), S.basis_points(n, F.lit(50)).alias("bp"), S.align_up(n, 8).alias("aligned"),
+        S.instance_size(n, F.lit(2)).alias("instance_size"), S.object_array_size(n).alias("array_size"), S.primitive_array_size(n, F.lit(2)).alias("chars_size"), S.class_object_size(n, F.lit(1)).alias("class_size"),
+        S.saturated(n * 10**9).alias("saturated"), F.round(S.percent(n, F.lit(64)), 4).alias("pct"), S.at_least_header(F.lit(0), F.lit(0)).alias("header"),
+    )
+
+
+_AL = "CAST(({x} + {a} - 1) // {a} * {a} AS BIGINT)"
+query("size_functions", _functions, f"SELECT p_partkey, {_P2.format(x='p_size')} AS power, {_BKT.format(b='(p_size * 200)')} AS bucket, CAST(p_size * 10000 // 50 AS BIGINT) AS bp, {_AL.format(x='p_size', a=8)} AS aligned, {_AL.format(x=_AL.format(x='12 + p_size + 8', a=4), a=8)} AS instance_size, {_AL.format(x='16 + 4 * p_size', a=8)} AS array_size, {_AL.format(x='16 + 2 * p_size', a=8)} AS chars_size, {_AL.format(x='p_size + 4', a=8)} AS class_size, least(p_size::BIGINT * 1000000000, 4294967295) AS saturated, round(p_size / 64.0 * 100, 4) AS pct, CAST(16 AS BIGINT) AS header FROM part")
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _FILES(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1)
+    raw = F.concat(F.repeat(F.lit("["), F.pmod("page_id", F.lit(3)).cast("int")), F.when(F.pmod("page_id", F.lit(3)) > 0, F.concat(F.lit("L"), F.translate(host, ".", "/"), F.lit(";"))).otherwise(F.translate(host, ".", "/")))
+    pretty = S.pretty_class_name(raw)
+    return pages.select("page_id", pretty.alias("pretty"), S.package_path(pretty).alias("package"), F.size(S.package_prefixes(S.package_path(pretty))).alias("levels"), S.is_anonymous(F.concat(pretty, F.lit("$"), F.col("page_id").cast("string"))).alias("anonymous"), S.pointee_category(pretty).alias("category"), S.root_label(F.pmod("page_id", F.lit(9)).cast("int")).alias("label"), S.thread_state(F.pmod("page_id", F.lit(8)).cast("int")).alias("state"))
+
+
+_LBL = "['System Class', 'JNI Global', 'JNI Local', 'Java Local', 'Native Stack', 'Sticky Class', 'Thread Block', 'Busy Monitor', 'Thread'][page_id % 9 + 1]"
+query("name_functions", _names, f"WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages) SELECT page_id, host || repeat('[]', CAST(page_id % 3 AS INTEGER)) AS pretty, regexp_replace(host, '\\.[^.]*$', '') AS package, CAST(len(string_split(regexp_replace(host, '\\.[^.]*$', ''), '.')) AS INTEGER) AS levels, true AS anonymous, CASE WHEN page_id % 3 > 0 THEN 'array' ELSE 'object' END AS category, {_LBL} AS label, CASE page_id % 8 & 7 WHEN 0 THEN 'unknown' WHEN 1 THEN 'alive' WHEN 2 THEN 'terminated' WHEN 3 THEN 'alive, terminated' WHEN 4 THEN 'runnable' WHEN 5 THEN 'alive, runnable' WHEN 6 THEN 'terminated, runnable' ELSE 'alive, terminated, runnable' END AS state FROM p")
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _FILES(spark, sf_dir, "customer")
+    shown = F.format_number(F.col("c_custkey") * 1234, 0)
+    both = S.parsed_bytes(F.concat(shown, F.lit(" ("), F.format_string("%.2f", F.pmod("c_custkey", F.lit(100)) / 4), F.lit("%)")))
+    return c.select("c_custkey", S.parsed_int(shown).alias("number"), both["bytes"].alias("bytes"), both["pct"].alias("pct"), S.class_and_field(F.concat(F.lit("a/B#f"), F.col("c_custkey").cast("string")))["field"].alias("field"), S.bare_array_label(F.concat(F.lit("int["), F.col("c_custkey").cast("string"), F.lit("]"))).alias("label"), S.millis_label(F.col("c_custkey") * 86_400_000).alias("day"), S.frame_text(F.lit("a/B"), F.lit("run"), F.lit("B.java"), F.pmod("c_custkey", F.lit(5)).cast("int") - 3).alias("frame"))
+
+
+query("text_functions", _parsed, "SELECT c_custkey, c_custkey * 1234 AS number, c_custkey * 1234 AS bytes, (c_custkey % 100) / 4.0::DOUBLE AS pct, 'f' || c_custkey AS field, 'int[]' AS label, CASE WHEN c_custkey <> 0 THEN strftime(make_timestamp(c_custkey * 86400000000), '%Y-%m-%d %H:%M:%S') END AS day, CASE c_custkey % 5 - 3 WHEN 1 THEN 'a.B.run(B.java:1)' WHEN -2 THEN 'a.B.run(B.java(Compiled method))' WHEN -3 THEN 'a.B.run(Native Method)' ELSE 'a.B.run(B.java)' END AS frame FROM customer")
+
+
+def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _FILES(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.pmod("event_id", F.lit(4)))).alias("refs"))
+    return e.select("user_id", S.used_slots("refs").alias("used"), S.all_equal("refs").alias("constant"))
+
+
+query("array_functions", _arrays, "SELECT user_id, CAST(count(*) FILTER (event_id % 4 <> 0) AS INTEGER) AS used, count(DISTINCT event_id % 4) = 1 AS constant FROM events GROUP BY 1")
+query("array_fill", lambda sp, d: C.array_fill_ratios(_FILES(sp, d, "events").groupBy("user_id").agg(F.collect_list(F.pmod("event_id", F.lit(4))).alias("refs"), F.count("*").alias("shallow"))), f"WITH a AS (SELECT count(*) AS capacity, count(*) FILTER (event_id % 4 <> 0) AS elements FROM events GROUP BY user_id), b AS (SELECT {_BKT.format(b='(elements * 10000 // capacity)')} AS bucket, count(*) AS objects, sum(capacity) AS shallow, sum((capacity - elements) * 4) AS wasted FROM a GROUP BY 1) SELECT CAST(r.bucket AS INTEGER) AS bucket, coalesce(objects, 0) AS objects, CAST(coalesce(shallow, 0) AS BIGINT) AS shallow, CAST(coalesce(wasted, 0) AS BIGINT) AS wasted FROM range(11) r(bucket) LEFT JOIN b ON b.bucket = r.bucket")
+query("holder_ranking", lambda sp, d: C.holder_ranking(_FILES(sp, d, "orders").select(F.col("o_orderpriority").alias("holder"), F.col("o_custkey").alias("ref")), _FILES(sp, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("obj_id"))), "SELECT o_orderpriority AS holder, count(*) AS refs FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1 ORDER BY refs DESC, holder LIMIT 25")
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = _FILES(spark, sf_dir, "orders").select(F.concat(F.lit("C"), F.pmod("o_custkey", F.lit(97)).cast("string")).alias("class_name"), "o_orderkey")
+    side = lambda cond, skew: o.where(cond).groupBy("class_name").agg(F.count("*").alias("instances"), (F.sum(F.pmod("o_orderkey", F.lit(50))) + F.when(F.col("class_name").endswith("3"), skew).otherwise(0)).alias("retained"))
+    return side("class_name <> 'C5'", 0), side("class_name <> 'C7'", 9)
+
+
+_SIDES = "o AS (SELECT 'C' || o_custkey % 97 AS class_name, o_orderkey FROM orders), a AS (SELECT class_name, count(*) AS i, sum(o_orderkey % 50) AS r FROM o WHERE class_name <> 'C5' GROUP BY 1), b AS (SELECT class_name, count(*) AS i, sum(o_orderkey % 50) + CASE WHEN class_name LIKE '%3' THEN 9 ELSE 0 END AS r FROM o WHERE class_name <> 'C7' GROUP BY 1)"
+query("parity_compare", lambda sp, d: G.compared(*_sides(sp, d), ["class_name"], ["instances", "retained"]), f"WITH {_SIDES} SELECT coalesce(a.class_name, b.class_name) AS class_name, CASE WHEN a.class_name IS NULL THEN 'missing' WHEN b.class_name IS NULL THEN 'extra' WHEN a.i = b.i AND a.r = b.r THEN 'match' ELSE 'differs' END AS outcome, CASE WHEN a.class_name IS NULL OR b.class_name IS NULL OR (a.i = b.i AND a.r = b.r) THEN '' ELSE concat_ws(',', CASE WHEN a.i <> b.i THEN 'instances' END, CASE WHEN a.r <> b.r THEN 'retained' END) END AS measures FROM a FULL JOIN b ON a.class_name = b.class_name")
+query("parity_any_equal", lambda sp, d: G.any_equal(*_sides(sp, d), "class_name", ["instances", "retained"]), f"WITH {_SIDES} SELECT class_name, i AS instances, CAST(r AS BIGINT) AS retained, EXISTS (SELECT 1 FROM a WHERE a.class_name = b.class_name AND a.i = b.i AND a.r = b.r) AS found FROM b")
+query("parity_matched_once", lambda sp, d: G.matched_once(*(s.withColumn("n", F.pmod("retained", F.lit(10))) for s in _sides(sp, d)), ["n"]), f"WITH {_SIDES}, x AS (SELECT CAST(r % 10 AS BIGINT) AS n, count(*) AS ours FROM a GROUP BY 1), y AS (SELECT CAST(r % 10 AS BIGINT) AS n, count(*) AS theirs FROM b GROUP BY 1) SELECT coalesce(x.n, y.n) AS n, coalesce(ours, 0) AS ours, coalesce(theirs, 0) AS theirs, least(coalesce(ours, 0), coalesce(theirs, 0)) AS matched FROM x FULL JOIN y ON x.n = y.n")
+query("sweep_gate", lambda sp, d: G.sweep_gate(_FILES(sp, d, "supplier").select(F.lit(0).alias("fails"), F.pmod("s_suppkey", F.lit(4)).alias("compared"))), "SELECT CAST(0 AS BIGINT) AS fails, count(*) FILTER (s_suppkey % 4 > 0) AS comparisons, count(*) FILTER (s_suppkey % 4 > 0) >= 15 AS passed FROM supplier")
+query("event_windows", lambda sp, d: ST.windowed(_FILES(sp, d, "events")), "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS events, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1, 2")
+query("compressed_references", lambda sp, d: V.compressed_references(_FILES(sp, d, "orders").select((F.col("o_orderkey") * 40).alias("addr"), F.pmod("o_orderkey", F.lit(7)).alias("elements"))), "SELECT coalesce(bool_or(addr < pa + 16 + pn * 8), false) AS compressed FROM (SELECT o_orderkey * 40 AS addr, lag(o_orderkey * 40) OVER (ORDER BY o_orderkey) AS pa, lag(o_orderkey % 7) OVER (ORDER BY o_orderkey) AS pn FROM orders)")
+over_heap("dominator_children", lambda h: GR.children(h.tree), "SELECT idom, count(*) AS n_children, CAST(sum(retained) AS BIGINT) AS children_retained FROM d WHERE idom IS NOT NULL GROUP BY 1")
+over_heap("transposed_degrees", lambda h: GR.transposed(h.edges).groupBy("src").agg(F.count("*").alias("inbound")), ", e AS (SELECT 2000000000000000000 + n_nationkey AS dst FROM nation UNION ALL SELECT 3000000000000000000 + c_custkey FROM customer UNION ALL SELECT 4000000000000000000 + s_suppkey FROM supplier UNION ALL SELECT 8000000000000000000 + s_suppkey FROM supplier UNION ALL SELECT 6000000000000000000 + o_orderkey FROM orders UNION ALL SELECT obj_id FROM lf UNION ALL SELECT obj_id FROM lf UNION ALL SELECT 5000000000000000000 + p_partkey FROM part WHERE (p_partkey - 1) % 10 <> 0 AND p_partkey > 0) SELECT CAST(dst AS BIGINT) AS src, count(*) AS inbound FROM e GROUP BY 1")
+over_heap("dominated_by_class", lambda h: V.dominated_by_class(h.tree, h.roots.select(F.col("obj_id").alias("point"))), "SELECT idom AS point, class_name, count(*) AS objects, CAST(sum(shallow) AS BIGINT) AS shallow, CAST(sum(retained) AS BIGINT) AS retained FROM d WHERE idom BETWEEN 1000000000000000000 AND 1999999999999999999 GROUP BY 1, 2")
+over_heap("dominator_subtree", lambda h: GR.subtree(h.tree, 10**18 + 1, 2).select("obj_id", "class_name", "retained", "level"), "SELECT obj_id, class_name, retained, CAST(depth - 1 AS INTEGER) AS level FROM d WHERE region = 1 AND idom IS NOT NULL AND depth <= 3")
+query("triage", lambda sp, d: T.evaluate(T.facts_of(relational_heap(sp, d).tree, relational_heap(sp, d).roots)))
