@@ -56,31 +56,29 @@ def _extended(common: DataFrame) -> DataFrame:
 def dominator_paths(edges: DataFrame, roots: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """obj_id, path: a reachable node's dominators in order, itself last.
 
-    Roots hang from the virtual root, so edges into roots, loops, and edges from unreachable nodes change
-    nothing and go first; that removes the edges of most hubs. Nodes without successors can't change any other
+    Roots hang from the virtual root, so edges into roots and loops change nothing and go first; that removes
+    the edges of most hubs. Unreachable nodes never get a path, so their edges join nothing. Nodes without successors can't change any other
     and wait for the end. For the rest, a node's path is what its predecessors' paths have in common and
     itself, until nothing changes; only nodes behind a changed one are worked out again. A graph that isn't
     done in ``rounds`` goes to the kernel.
     """
     starts = roots.select("obj_id").distinct()
-    reach = reachable(edges, starts).select(F.col("obj_id").alias("src"))
-    live = edges.where("src != dst").select("src", "dst").distinct().join(reach, "src", "left_semi").join(starts.withColumnRenamed("obj_id", "dst"), "dst", "left_anti")
-    live = written(live, "live-edges")
+    live = written(edges.where("src != dst").select("src", "dst").distinct().join(starts.withColumnRenamed("obj_id", "dst"), "dst", "left_anti"), "live-edges")
     inner = written(live.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"), "inner-edges")
-    paths = written(starts.select("obj_id", F.array("obj_id").alias("path")), "paths")
-    changed, n = paths.select("obj_id"), 0
-    while not changed.isEmpty():
+    paths = written(starts.select("obj_id", F.array("obj_id").alias("path"), F.lit(True).alias("changed")), "paths")
+    n = 0
+    while not (changed := paths.where("changed")).isEmpty():
         n += 1
         if n > rounds:
             paths = kernel_paths(inner, starts)
             break
-        behind = inner.join(changed.withColumnRenamed("obj_id", "src"), "src", "left_semi").select("dst").distinct()
-        known = inner.join(behind, "dst", "left_semi").join(paths.withColumnRenamed("obj_id", "src"), "src")
-        new = written(_extended(_common(known)), "new-paths")
-        old = paths.select("obj_id", F.col("path").alias("old"))
-        moved = written(new.join(old, "obj_id", "left").where("old IS NULL OR array_sort(old) != array_sort(path)").select("obj_id", "path"), "moved")
-        changed = moved.select("obj_id")
-        paths = written(paths.join(new.select("obj_id"), "obj_id", "left_anti").unionByName(new), "paths")
+        behind = inner.join(changed.select(F.col("obj_id").alias("src")), "src", "left_semi").select("dst").distinct()
+        known = inner.join(behind, "dst", "left_semi").join(paths.select(F.col("obj_id").alias("src"), "path"), "src")
+        new = _extended(_common(known)).withColumnRenamed("path", "new")
+        moved = F.col("new").isNotNull() & (F.col("path").isNull() | (F.array_sort("path") != F.array_sort("new")))
+        # one table a round: the paths so far, those found anew, and which of them differ
+        paths = written(paths.drop("changed").join(new, "obj_id", "full").select("obj_id", F.coalesce("new", "path").alias("path"), moved.alias("changed")), "paths")
+    paths = paths.select("obj_id", "path")
     outer = live.join(inner.select("dst").distinct(), "dst", "left_anti")
     ends = _extended(_common(outer.join(paths.withColumnRenamed("obj_id", "src"), "src")))
     return paths.unionByName(ends)
