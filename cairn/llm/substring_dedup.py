@@ -14,10 +14,10 @@ Suffix arrays. The distinct phrases that share grams meet in buckets. A bucket's
 dense triggers (hash divisible by 16) in overlapping pieces that end with a trigger, so no piece suffix
 longer than the overlap is a prefix of another. The suffix array of the dictionary of distinct pieces ranks each
 place within its piece; that of the parse ranks what follows; the two ranks together put all
-places of the bucket in the order of their suffixes. Neighbours in that order are compared byte by byte:
-strings that occur twice are next to each other. Repetitive buckets have small dictionaries and parses.
+places of the bucket in the order of their suffixes. Strings that occur twice are next to each other in that
+order; neighbours are compared by two independent hashes of 64 bits. Repetitive buckets have small dictionaries and parses.
 
-A bucket holds a bounded number of phrases on average. A trigger gram with more distinct phrases than ``HELD`` (a
+A bucket holds a bounded number of phrases on average, and is compared in lots of bounded size. A trigger gram with more distinct phrases than ``HELD`` (a
 passage in very many documents, everywhere with other neighbours) doesn't go to a bucket: hashes of its strings
 are counted by a shuffle that combines before it sends.
 """
@@ -37,7 +37,7 @@ from cairn.llm._common import sieved, text_or_empty, written
 #: Bytes of text that are hashed at a time; longer texts are taken in pieces that overlap.
 PIECE = 1 << 19
 #: Bytes of phrases in a bucket, on average.
-BUCKET_BYTES = 1 << 21
+BUCKET_BYTES = 1 << 19
 #: Distinct phrases of one trigger gram beyond which its strings are counted by hash.
 HELD = 50_000
 
@@ -160,9 +160,8 @@ def _ranks(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
         values, inverse = np.unique(rank * (len(rank) + 1) + then, return_inverse=True)
         grown = len(values) > rank.max()
         rank, step = inverse.astype(np.int64) + 1, step * 2
-        if not grown and step >= (ends - place).max():
-            return rank
-        if len(values) == len(rank):
+        # classes that a doubling doesn't split are final: what agrees in k places then agrees in 2k, and so on
+        if not grown or len(values) == len(rank):
             return rank
 
 
@@ -176,8 +175,9 @@ def repeated(segments: list[bytes], span: int, overlap: int = 8, density: int =
     # pieces: from a trigger, or the segment's start, to the end of the next trigger's gram
     starts = np.zeros(len(data), bool)
     starts[begins] = True
+    rolling = _Rolling(data, 0)
     if len(data) > overlap:
-        hit = np.flatnonzero(mixed(_Rolling(data, 0).grams(overlap), 4) % _U(density) == 0)
+        hit = np.flatnonzero(mixed(rolling.grams(overlap), 4) % _U(density) == 0)
         starts[hit[hit + overlap < segment_end[hit]]] = True
     begin = np.flatnonzero(starts)
     stop = np.minimum(np.concatenate([begin[1:] + overlap, [len(data)]]), segment_end[begin])
@@ -201,22 +201,61 @@ def repeated(segments: list[bytes], span: int, overlap: int = 8, density: int =
     then = np.where(own + 1 < last[own], following[own + 1], 0)
     at = at[np.lexsort((then, first))]
     same = np.zeros(len(at) + 1, bool)
-    windows = np.lib.stride_tricks.sliding_window_view(data, span)
-    for a in range(0, len(at) - 1, 8192):
-        b = min(a + 8192, len(at) - 1)
-        same[a + 1 : b + 1] = (windows[at[a:b]] == windows[at[a + 1 : b + 1]]).all(axis=1)
+    if len(at):
+        one, two = rolling.grams(span)[at], _Rolling(data, 1).grams(span)[at]
+        same[1:-1] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
     twice = np.zeros(len(data), bool)
     twice[at] = same[:-1] | same[1:]
     return [twice[b : max(b, e - span + 1)] for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
 
 
+def repeated_by_hash(segments: list[bytes], span: int) -> list[np.ndarray]:
+    """As ``repeated`` by two hashes of each string: 40 bytes for a string, whatever its length."""
+    sizes = [max(0, len(s) - span + 1) for s in segments]
+    hashes = np.zeros((2, sum(sizes)), _U)
+    at = 0
+    for k in range(0, len(segments), 256):
+        data = b"".join(segments[k : k + 256])
+        starts = np.cumsum([0, *map(len, segments[k : k + 256])])
+        places = np.concatenate([np.arange(b, b + n) for b, n in zip(starts[:-1].tolist(), sizes[k : k + 256], strict=True)])
+        for which in (0, 1):
+            hashes[which, at : at + len(places)] = _Rolling(np.frombuffer(data, np.uint8), which).grams(span)[places]
+        at += len(places)
+    order = np.lexsort((hashes[1], hashes[0]))
+    same = np.zeros(len(order) + 1, bool)
+    same[1:-1] = (hashes[:, order[1:]] == hashes[:, order[:-1]]).all(axis=0)
+    twice = np.zeros(len(order), bool)
+    twice[order] = same[:-1] | same[1:]
+    ends = np.cumsum(sizes)
+    return [twice[e - n : e] for e, n in zip(ends.tolist(), sizes, strict=True)]
+
+
 def _compared(segments: DataFrame, span: int) -> DataFrame:
-    """key, sup, mask (a bit for each string that is elsewhere too) of rows key, sup, bytes, by buckets."""
+    """key, sup, mask (a bit for each string that is elsewhere too) of rows key, sup, bytes, by buckets.
+
+    Equal strings have equal keys, so a bucket is taken in lots of whole keys; a key that is larger than a
+    lot by itself is compared by hashes, which need less memory."""
+    lot = BUCKET_BYTES
 
     def run(group: pa.Table) -> pa.Table:
-        found = repeated(group.column("bytes").to_pylist(), span)
-        masks = [np.packbits(m, bitorder="little").tobytes() if m.any() else None for m in found]
-        return pa.table({"key": group.column("key"), "sup": group.column("sup"), "mask": pa.array(masks, pa.binary())}).filter(pa.array([m is not None for m in masks], pa.bool_()))
+        group = group.sort_by("key")
+        keys, data = group.column("key").to_pylist(), group.column("bytes").to_pylist()
+        masks: list[np.ndarray] = []
+        begin = 0
+        while begin < len(keys):
+            end, size = begin, 0
+            while end < len(keys):
+                after = end
+                while after < len(keys) and keys[after] == keys[end]:
+                    size += len(data[after])
+                    after += 1
+                if size > lot and end > begin:
+                    break
+                end = after
+            masks += (repeated_by_hash if sum(map(len, data[begin:end])) > 2 * lot else repeated)(data[begin:end], span)
+            begin = end
+        packed = [np.packbits(m, bitorder="little").tobytes() if m.any() else None for m in masks]
+        return pa.table({"key": group.column("key"), "sup": group.column("sup"), "mask": pa.array(packed, pa.binary())}).filter(pa.array([m is not None for m in packed], pa.bool_()))
 
     total = segments.agg(F.sum(F.length("bytes"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
@@ -249,7 +288,7 @@ def _counted(segments: DataFrame, span: int) -> DataFrame:
     return hit.mapInArrow(bits, "key long, sup long, mask binary")
 
 
-def repeats(docs: DataFrame, span: int = 200, gram: int = 32) -> DataFrame:
+def repeats(docs: DataFrame, span: int = 200, gram: int = 64) -> DataFrame:
     """doc (text key), starts, cnts, masks: the phrases of each text with strings that occur elsewhere.
 
     Only texts that have some; a mask of null says all of the phrase's strings. Equal texts share a row."""
@@ -307,7 +346,7 @@ def with_places(docs: DataFrame, span: int, gram: int) -> tuple[DataFrame, DataF
     return touched, clear.select("row", "text", F.lit(None).cast(found.schema["places"].dataType).alias("places"))
 
 
-def removal_digests(docs: DataFrame, span: int = 200, gram: int = 32) -> DataFrame:
+def removal_digests(docs: DataFrame, span: int = 200, gram: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs``.
 
     A byte is removed if a string of ``span`` bytes that covers it also starts anywhere else, in this or
@@ -333,7 +372,7 @@ def removal_digests(docs: DataFrame, span: int = 200, gram: int = 32) -> DataFra
     return touched.unionByName(clear).select("row.doc_id", "text", "places").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, span: int = 200, gram: int = 32) -> DataFrame:
+def without_repeats(docs: DataFrame, span: int = 200, gram: int = 64) -> DataFrame:
     """``docs`` with the removed bytes cut from text and n_chars made to fit; characters cut in two go.
 
     Rows stay, also those left with an empty text; other columns stay as they are."""

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 from cairn.llm import substring_dedup
-from cairn.llm.substring_dedup import removal_digests, repeated, without_repeats
+from cairn.llm.substring_dedup import removal_digests, repeated, repeated_by_hash, without_repeats
 
 SPAN, GRAM = 20, 4
 
@@ -87,6 +87,7 @@ def test_repeated_against_brute_force():
         segments = [t.encode() for t in corpus(seed, 60)]
         segments = [s for s in segments if len(s) >= SPAN]
         seen = Counter(s[i : i + SPAN] for s in segments for i in range(len(s) - SPAN + 1))
+        assert [m.tolist() for m in repeated_by_hash(segments, SPAN)] == [[seen[s[i : i + SPAN]] > 1 for i in range(len(s) - SPAN + 1)] for s in segments]
         for density in (2, 16):
             got = repeated(segments, SPAN, overlap=4, density=density)
             assert [m.tolist() for m in got] == [[seen[s[i : i + SPAN]] > 1 for i in range(len(s) - SPAN + 1)] for s in segments]
