@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from cairn.operators import contents as C
 from cairn.operators import growth as G
 from cairn.plans import dump as D
+from cairn.plans import dump_views as DV
+from cairn.operators import views as V
 from cairn.plans.report import DETAILS, SECTIONS, VERSION, build
+from cairn.rules import triage
 from cairn.sinks import render
 from cairn.sources import collections as K
 from cairn.sources import exports, hprof, reports
@@ -35,16 +38,32 @@ def analyse(spark: SparkSession, path: str, args: argparse.Namespace) -> dict:
         "threads": ("Threads", D.threads(dump, heap.tree)),
         "locals": ("Thread locals", D.locals_by_frame(dump, heap.tree, DETAILS[args.detail].thread_locals).select("thread_serial", "frame_no", "class_name", "retained")),
         "census": ("Records", dump.census),
+        "alloc_sites": ("Allocation sites", DV.allocation_frames(dump, V.allocation_sites(heap.tree, DETAILS[args.detail].alloc_top)).orderBy(F.desc("objects"), F.desc("retained"), "alloc_serial")),
+        "references": ("References", C.reference_histogram(DV.reference_rows(dump, heap.tree)).orderBy("kind", F.desc("objects"), "class_name")),
+        "only_weak": ("Only weakly retained", C.only_weakly_retained(DV.reference_rows(dump, heap.tree)).orderBy("kind", F.desc("objects"), "class_name")),
+        "fields": ("Fields by retained size", C.fields_by_size(DV.held_objects(dump, heap.tree))),
+        "properties": ("System properties", DV.system_properties(dump)),
     }
     if args.find_duplicates:
         texts = D.java_strings(dump)
         more["strings"] = ("Duplicate strings", C.duplicate_strings(texts))
         more["string_stats"] = ("Strings", C.string_stats(texts))
+        more["string_holders"] = ("Holders of strings", DV.holders_of(dump, heap.tree, texts))
+        more["array_copies"] = ("Duplicate primitive arrays", DV.duplicate_primitive_arrays(dump))
         more["char_waste"] = ("Slack of strings' arrays", C.char_array_waste(texts.select(F.col("array").alias("obj_id"), "used", "capacity").distinct()))
     if args.collections:
         config = K.find_config(args.collection_config)
         own = K.parse_config(open(config, encoding="utf-8").read()) if config else []
         found = D.collections_of(dump, K.descriptors(spark, K.BUILT_IN, own), heap.nodes)
+        held = DV.held_collections(dump, found, heap.tree)
+        more["attribution"] = ("Fields by elements", C.attribution_overall(held))
+        more["attribution_single"] = ("Fields by largest collection", C.attribution_single(held))
+        more["biggest"] = ("Biggest collections", C.biggest_collections(found, DV.contents_of(dump, found, heap.tree)).orderBy(F.desc("elements"), "obj_id"))
+        more["contents"] = ("Contents of collections", C.collection_contents(found, DV.contents_of(dump, found, heap.tree)).orderBy("kind"))
+        more["array_fill"] = ("Object arrays by fill", DV.array_fill(dump, heap.nodes).orderBy("bucket"))
+        more["constant_arrays"] = ("Constant arrays", DV.constant_primitive_arrays(dump, heap.tree).limit(100))
+        facts = triage.facts_of(heap.tree, heap.roots, dump.id_size + dump.ref_size).crossJoin(F.broadcast(DV.facts_of_fields(dump, heap.tree, found)))
+        more["triage"] = ("Triage", triage.evaluate(facts).orderBy("rank"))
         more["collections"] = ("Collections by kind", C.collections_by_kind(found).orderBy("kind"))
         more["fill"] = ("Collections by fill", C.fill_ratios(found.where("capacity IS NOT NULL"), dump.ref_size).orderBy("bucket"))
     return build(heap, path, args.detail, more)

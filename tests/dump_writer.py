@@ -103,6 +103,27 @@ def sample(id_size=8):
     w.root(1, 0x10900)
     for c in (obj, cls_, string, thread, lst, ref, weak, objs):
         w.root(5, c)
+    # system properties: a table with one chain of two entries
+    system, tab, ent, props, buf, direct, loc = (0xA000 + 0x10 * k for k in range(7))
+    w.cls(tab, "java/util/Hashtable", obj, fields=[("count", 10), ("table", 2)])
+    w.cls(ent, "java/util/Hashtable$Entry", obj, fields=[("key", 2), ("value", 2), ("next", 2)])
+    w.cls(props, "java/util/Properties", tab)
+    w.cls(system, "java/lang/System", obj, statics=[("props", 2, 0x13000)])
+    w.instance(0x13000, props, struct.pack(">i", 2) + i(0x13100))
+    w.array(0x13100, objs, [0, 0x13200])
+    w.instance(0x13200, ent, i(0x15000) + i(0x15100) + i(0x13300))
+    w.instance(0x13300, ent, i(0x15200) + i(0x15100) + i(0))
+    for at, text in ((0x15000, "os"), (0x15100, "linux"), (0x15200, "user")):
+        w.instance(at, string, i(at + 0x80) + b"\0")
+        w.prims(at + 0x80, 8, text.encode(), len(text))
+    w.cls(buf, "java/nio/Buffer", obj, fields=[("capacity", 10)])
+    w.cls(direct, "java/nio/DirectByteBuffer", buf)
+    w.instance(0x14000, direct, struct.pack(">i", 4096))
+    w.cls(loc, "java/lang/ThreadLocal$ThreadLocalMap$Entry", weak, fields=[("value", 2)])
+    w.instance(0x14100, loc, i(0) + i(0))
+    w.prims(0x14200, 10, struct.pack(">4i", 7, 7, 7, 7), 4)
+    w.prims(0x14300, 10, struct.pack(">4i", 7, 7, 7, 7), 4)
+    w.root(5, system)
     w.frame(0x501, "run", "Main.java", sub & 0xFFFF, 12)
     w.frame(0x502, "park", "Unsafe.java", thread & 0xFFFF, -3)
     w.trace(1, 7, [0x501, 0x502])

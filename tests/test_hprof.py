@@ -1,7 +1,9 @@
 import pytest
 
+from cairn.operators import contents as C
 from cairn.operators import views
 from cairn.plans import dump as D
+from cairn.plans import dump_views as DV
 from cairn.sources.collections import BUILT_IN, descriptors, parse_config
 from cairn.sources.hprof import DumpError, HprofReader, is_dump
 from tests.dump_writer import DumpWriter, sample
@@ -16,7 +18,7 @@ def dump(spark, tmp_path_factory, request):
 def test_relations(dump):
     assert dump.dump_info.first().format == "JAVA PROFILE 1.0.2"
     assert {r.record: r.n for r in dump.census.collect()}["heap_segments"] == 2
-    assert dump.instances.count() == 9 + 1 and dump.obj_arrays.count() == 1 and dump.prim_arrays.count() == 4
+    assert dump.instances.count() == 18 and dump.obj_arrays.count() == 2 and dump.prim_arrays.count() == 9
     kinds = {r.addr: r.class_addr for r in dump.instances.collect()}
     assert kinds[0x10A00] == 0x9000  # of a repeated address the first
     assert sorted((r.root_tag, r.addr) for r in dump.gc_roots.collect())[:1] == [(1, 0x10900)]
@@ -48,25 +50,49 @@ def test_heap(dump):
     assert tree[0x10A00].idom == 0x10900 and tree[0x11000].idom == 0x9040 and tree[0x12000].idom is None
     assert tree[0x10300].retained == sum(tree[a].shallow for a in (0x10300, 0x10400, 0x10500, 0x10600, 0x10700, 0x10800))
     assert tree[0x10000].class_name == "Sub" and tree[0x10000].loader.startswith("java/lang/Object@")
-    assert {r.obj_id: r.retained for r in heap.forest.collect()} == {0x12000: tree[0x12000].shallow + tree[0x12100].shallow, 0x12100: tree[0x12100].shallow}
+    found = {r.obj_id: r.retained for r in heap.forest.collect()}
+    garbage = {0x12000, 0x12100, 0x14000, 0x14100, 0x14200, 0x14300} | {a for a in (0xA010, 0xA020, 0xA030, 0xA040, 0xA050, 0xA060) if tree[a].idom is None}
+    assert set(found) == garbage and found[0x12000] == tree[0x12000].shallow + tree[0x12100].shallow and found[0x12100] == tree[0x12100].shallow
     weak = D.heap_of_dump(dump, exclude_referents=True)
-    assert {r.obj_id for r in weak.tree.where("idom IS NULL").collect()} == {0x10A00, 0x12000, 0x12100}
+    assert {r.obj_id for r in weak.tree.where("idom IS NULL").collect()} == {0x10A00, *garbage}
     totals = views.heap_totals(heap.tree).first()
-    assert totals.reachable + totals.unreachable == len(tree) and totals.unreachable == 2
+    assert totals.reachable + totals.unreachable == len(tree) and totals.unreachable == len(garbage)
     hist = {r.class_name: r.instances for r in views.class_histogram(heap.tree).collect()}
-    assert hist["java.lang.String"] == 3 and hist["byte[]"] == 3 and hist["java.lang.Class"] == 10
-    assert {r.root_type: r.roots for r in views.roots_by_type(heap.roots).collect()} == {"JNI Global": 1, "Sticky Class": 9, "Thread": 1}
+    assert hist["java.lang.String"] == 6 and hist["byte[]"] == 6 and hist["java.lang.Class"] >= 10
+    assert {r.root_type: r.roots for r in views.roots_by_type(heap.roots).collect()} == {"JNI Global": 1, "Sticky Class": 10, "Thread": 1}
 
 
 def test_strings_threads_collections(dump, spark):
-    assert {r.value for r in D.java_strings(dump).collect()} == {"main", "café", "žluť", "xx"}
+    assert {r.value for r in D.java_strings(dump).collect()} == {"main", "café", "žluť", "xx", "os", "linux", "user"}
     heap = D.heap_of_dump(dump)
     row = D.threads(dump, heap.tree).collect()
     assert len(row) == 1 and row[0].name == "main" and row[0].locals == 1
     assert row[0].frames == ["Sub.run(Main.java:12)", "java.lang.Thread.park(Native Method)"]
     assert [r.class_name for r in D.locals_by_frame(dump, heap.tree).collect()] == ["java.util.ArrayList"]
     found = D.collections_of(dump, descriptors(spark, BUILT_IN), heap.nodes).collect()
-    assert [(r.kind, r.elements, r.capacity, r.used) for r in found] == [("List", 2, 4, 2)]
+    assert sorted((r.kind, r.elements, r.capacity, r.used) for r in found) == [("List", 2, 4, 2), ("Map", 2, 2, 1)]
+
+
+def test_views_of_fields(dump, spark):
+    heap = D.heap_of_dump(dump)
+    assert [(r.key, r.value) for r in DV.system_properties(dump).collect()] == [("os", "linux"), ("user", "linux")]
+    assert [(r.kind, r.class_name, r.reachable) for r in DV.reference_rows(dump, heap.tree).collect()] == [("Weak", "java.lang.Object", True)]
+    found = D.collections_of(dump, descriptors(spark, BUILT_IN), heap.nodes)
+    facts = DV.facts_of_fields(dump, heap.tree, found).first()
+    assert (facts.null_key_entries, facts.direct_buffer_bytes, facts.only_weak, facts.collections, facts.threads, facts.maps) == (1, 4096, 0, 2, 1, 1)
+    assert facts.array_waste == 16 and facts.constant_array_bytes == 32 + 2
+    copies = DV.duplicate_primitive_arrays(dump).collect()
+    assert [(r.class_name, r.groups, r.arrays, r.wasted) for r in copies] == [("int[]", 1, 2, 16)]
+    constant = {(r.class_name, r.length, r.value): r.objects for r in DV.constant_primitive_arrays(dump, heap.tree).collect()}
+    assert constant == {("int[]", 4, "00000007"): 2, ("byte[]", 2, "78"): 1}
+    frames = DV.allocation_frames(dump, views.allocation_sites(heap.tree)).collect()
+    assert [(r.alloc_serial, r.objects, r.frame) for r in frames] == [(1, 2, "Sub.run(Main.java:12)")]
+    values = DV.contents_of(dump, found, heap.tree)
+    assert {(r.kind, r.types) for r in C.biggest_collections(found, values).collect()} == {("List", "java.lang.String:2"), ("Map", "java.util.Hashtable$Entry:1")}
+    held = {(r.holder, r.field) for r in DV.held_objects(dump, heap.tree).collect()}
+    assert ("java.util.ArrayList", "elementData") in held and ("Sub", "name") in held
+    assert DV.holders_of(dump, heap.tree, D.java_strings(dump)).first().refs >= 1
+    assert {r.bucket: r.objects for r in DV.array_fill(dump, heap.nodes).where("objects > 0").collect()} == {4: 2}
 
 
 def test_broken_files(tmp_path):

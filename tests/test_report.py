@@ -26,7 +26,7 @@ def test_report_and_its_formats(saved, capsys):
     report = cli.load(out)
     s = report["sections"]
     hist = {r[s["histogram"]["columns"].index("class_name")]: r for r in s["histogram"]["rows"]}
-    assert hist["java.lang.String"][s["histogram"]["columns"].index("instances")] == 3
+    assert hist["java.lang.String"][s["histogram"]["columns"].index("instances")] == 6
     assert s["threads"]["rows"][0][1] == "main" and s["collections"]["rows"][0][0] == "List"
     assert [r[1] for r in s["triage"]["rows"]][:2] == ["headline-retainer", "concentration"]
     text = render.markdown(report)
