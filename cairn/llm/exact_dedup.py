@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import text_key, text_or_empty, without_rows, written
+from cairn.llm._common import sieved, text_key, text_or_empty, without_rows, written
 
 #: Digests in a filter, on average.
 BUCKET_DIGESTS = 50_000
@@ -183,9 +183,14 @@ def first_rows(docs: DataFrame, in_snapshot: Column) -> DataFrame:
 
 
 def _other_bytes(rows: DataFrame, shared: DataFrame) -> DataFrame:
-    """Rows whose digest is shared and whose bytes differ from those of a row that stays."""
-    texts = rows.select("digest", "doc_id", "norm").join(shared, "digest")
-    stay = texts.where("doc_id = keep_id").groupBy("digest").agg(F.max("norm").alias("kept_norm"))
+    """Digests of rows whose digest is shared and whose bytes differ from those of a row that stays.
+
+    A sieve of the shared digests lets only such rows' texts move, and few others. Rows that stay are found by
+    digest and id together, so that a group of any size spreads over tasks, and are one for each digest after."""
+    shared = written(shared, "shared-digests")
+    texts = sieved(rows.select("digest", "doc_id", "norm"), "digest", shared)
+    stay = texts.join(shared.withColumnRenamed("keep_id", "doc_id"), ["digest", "doc_id"]).select("digest", F.col("norm").alias("kept_norm"))
+    stay = written(stay.dropDuplicates(["digest", "kept_norm"]), "kept-texts")
     return texts.join(stay, "digest").where("norm != kept_norm").select("digest")
 
 
