@@ -293,12 +293,13 @@ def repeats(docs: DataFrame, span: int = 200, gram: int = 64) -> DataFrame:
 
     Only texts that have some; a mask of null says all of the phrase's strings. Equal texts share a row."""
     parsed = written(parse(docs, span, gram), "corpus-parse")
-    grams = parsed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # written, so that the join reads both sides from plain exchanges and a frequent gram can be split
+    grams = written(parsed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "grams")
     shared = written(parsed.drop("doc").join(grams, "key"), "shared-grams")
 
     by_phrase = written(shared.groupBy("key", "sup").agg(F.count("*").alias("n"), F.min(F.struct("uid", "first", "cnt")).alias("rep")), "distinct-phrases")
-    by_gram = by_phrase.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
-    unsure = by_phrase.join(by_gram.where("kinds > 1 AND least = 1"), "key").select("key", "sup", "n", "kinds", "rep.*")
+    by_gram = written(by_phrase.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1"), "unsure-grams")
+    unsure = by_phrase.join(by_gram, "key").select("key", "sup", "n", "kinds", "rep.*")
     owners = parsed.select("uid", "doc").distinct()
     wanted = written(unsure.join(owners, "uid"), "unsure-phrases")
 
