@@ -160,9 +160,10 @@ def dedup(docs: DataFrame, in_snapshot: Column, digest: Callable[[Column], Colum
 
     placed = written(digests.join(groups, "digest"), "grouped-rows")
     shared = placed.where("group_size > 1").select("digest", "keep_id").distinct()
-    wrong = written(_other_bytes(rows, shared).distinct(), "colliding-digests")
+    wrong = written(_other_bytes(rows, shared), "colliding-digests")  # none but with a weak digest
     out = placed
     if not wrong.isEmpty():
+        wrong = wrong.distinct()
         out = placed.join(wrong, "digest", "left_anti").unionByName(_by_text(rows, wrong))
     smallest = F.lit(-(2**63))
     return out.select(
