@@ -19,6 +19,7 @@ from cairn.plans import dump as D
 from cairn.plans import dump_views as DV
 from cairn.operators import views as V
 from cairn.plans.report import DETAILS, SECTIONS, VERSION, build
+from cairn.plans.tables import one_row, written
 from cairn.rules import triage
 from cairn.sinks import render
 from cairn.sources import collections as K
@@ -54,7 +55,7 @@ def analyse(spark: SparkSession, path: str, args: argparse.Namespace) -> dict:
     if args.collections:
         config = K.find_config(args.collection_config)
         own = K.parse_config(open(config, encoding="utf-8").read()) if config else []
-        found = D.collections_of(dump, K.descriptors(spark, K.BUILT_IN, own), heap.nodes)
+        found = written(D.collections_of(dump, K.descriptors(spark, K.BUILT_IN, own), heap.nodes), "collections")
         held = DV.held_collections(dump, found, heap.tree)
         more["attribution"] = ("Fields by elements", C.attribution_overall(held))
         more["attribution_single"] = ("Fields by largest collection", C.attribution_single(held))
@@ -62,7 +63,7 @@ def analyse(spark: SparkSession, path: str, args: argparse.Namespace) -> dict:
         more["contents"] = ("Contents of collections", C.collection_contents(found, DV.contents_of(dump, found, heap.tree)).orderBy("kind"))
         more["array_fill"] = ("Object arrays by fill", DV.array_fill(dump, heap.nodes).orderBy("bucket"))
         more["constant_arrays"] = ("Constant arrays", DV.constant_primitive_arrays(dump, heap.tree).limit(100))
-        facts = triage.facts_of(heap.tree, heap.roots, dump.id_size + dump.ref_size).crossJoin(F.broadcast(DV.facts_of_fields(dump, heap.tree, found)))
+        facts = one_row(triage.facts_of(heap.tree, heap.roots, dump.id_size + dump.ref_size), DV.facts_of_fields(dump, heap.tree, found))
         more["triage"] = ("Triage", triage.evaluate(facts).orderBy("rank"))
         more["collections"] = ("Collections by kind", C.collections_by_kind(found).orderBy("kind"))
         more["fill"] = ("Collections by fill", C.fill_ratios(found.where("capacity IS NOT NULL"), dump.ref_size).orderBy("bucket"))

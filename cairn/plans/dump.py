@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -27,6 +29,7 @@ class Dump:
     tables: dict[str, DataFrame]
     id_size: int
     ref_size: int
+    made: dict[str, DataFrame] = field(default_factory=dict)
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -47,12 +50,26 @@ def open_relations(spark: SparkSession, path: str) -> Dump:
     return Dump(path, tables, id_size, 4 if small else id_size)
 
 
+def once(f: Callable[[Dump], DataFrame]) -> Callable[[Dump], DataFrame]:
+    """Work a table of a dump out once and write it: many analyses start from it."""
+
+    @functools.wraps(f)
+    def run(dump: Dump) -> DataFrame:
+        if f.__name__ not in dump.made:
+            dump.made[f.__name__] = written(f(dump), f.__name__)
+        return dump.made[f.__name__]
+
+    return run
+
+
+@once
 def class_names(dump: Dump) -> DataFrame:
     """class_addr, raw_name: the name that was loaded for an address; the address itself where none was."""
     named = dump.load_class.groupBy("class_addr").agg(F.min("name_id").alias("str_id")).join(dump.utf8_strings, "str_id", "left").select("class_addr", "value")
     return dump.classes.join(named, "class_addr", "left").select("class_addr", F.coalesce("value", F.concat(F.lit("class@"), F.hex("class_addr"))).alias("raw_name"))
 
 
+@once
 def super_chain(dump: Dump) -> DataFrame:
     """class_addr, over (the class or one above it), up (steps)."""
     dump.classes.select("class_addr", "super_addr").createOrReplaceTempView("cairn_classes")
@@ -64,6 +81,7 @@ def super_chain(dump: Dump) -> DataFrame:
         SELECT chain.* FROM chain LEFT SEMI JOIN cairn_classes k ON k.class_addr = chain.over""")
 
 
+@once
 def field_plan(dump: Dump) -> DataFrame:
     """class_addr, declared (class), field, type, offset in the blob: subclasses' fields come first."""
     names, strings = class_names(dump), dump.utf8_strings
@@ -76,6 +94,7 @@ def field_plan(dump: Dump) -> DataFrame:
     return plan.select("class_addr", "declared", F.coalesce("field", F.lit("?")).alias("field"), F.col("f.type").alias("type"), "offset", weak.alias("excluded"))
 
 
+@once
 def instance_sizes(dump: Dump) -> DataFrame:
     """class_addr, size of its instances: each class's own fields aligned over its super class's size."""
     own = dump.classes.select(F.col("class_addr").alias("over"), F.aggregate("fields", F.lit(0), lambda a, f: a + F.when(f["type"] == 2, dump.ref_size).otherwise(S.element_width(f["type"]))).alias("own"))
@@ -106,6 +125,7 @@ def objects(dump: Dump) -> DataFrame:
     return out.join(F.broadcast(fold), "raw_name", "left").withColumn("canon_row", F.coalesce("fold", "class_row")).drop("fold").withColumn("class_name", S.pretty_class_name("raw_name"))
 
 
+@once
 def field_references(dump: Dump) -> DataFrame:
     """src, dst, declared, field, excluded: each non-null reference in an instance's fields."""
     plan = field_plan(dump).where("type = 2").groupBy("class_addr").agg(F.collect_list(F.struct("declared", "field", "offset", "excluded")).alias("refs"))
@@ -154,6 +174,7 @@ def named_field(dump: Dump, declared: str, field: str) -> DataFrame:
     return field_references(dump).where((F.col("declared") == declared) & (F.col("field") == field)).select(F.col("src").alias("addr"), F.col("dst").alias("ref"))
 
 
+@once
 def java_strings(dump: Dump) -> DataFrame:
     """obj_id, value, array (address), used, capacity of each string with characters."""
     plan = field_plan(dump).where("declared = 'java/lang/String'")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions import scalars as S
 from cairn.operators import contents as C
 from cairn.plans import dump as D
-from cairn.plans.tables import written
+from cairn.plans.tables import one_row, written
 
 # Classes whose subclasses' objects refer weakly, and what the kind is called.
 REFERENCE_KINDS = {"java/lang/ref/SoftReference": "Soft", "java/lang/ref/WeakReference": "Weak", "java/lang/ref/PhantomReference": "Phantom", "java/lang/ref/FinalReference": "Final"}
@@ -154,13 +154,10 @@ def facts_of_fields(dump: D.Dump, tree: DataFrame, found: DataFrame) -> DataFram
         F.count_if(F.col("kind") == "Map").alias("maps"), F.count_if((F.col("kind") == "Map") & (F.col("used") * 10 > F.col("capacity") * 9)).alias("full_maps"),
     )
     stacks = D.threads(dump, tree).agg(F.count("*").alias("threads"), F.max("retained").alias("max_thread_retained"), F.max("locals").alias("max_thread_locals"))
-    out = null_key_entries(dump)
-    for more in (
-        direct_buffer_bytes(dump), weak, held, stacks,
+    return one_row(
+        null_key_entries(dump), direct_buffer_bytes(dump), weak, held, stacks,
         C.string_stats(texts).select(F.coalesce("wasted", F.lit(0)).alias("string_waste")),
         slack.select(F.coalesce("wasted", F.lit(0)).alias("char_waste"), F.col("wasteful").alias("wasteful_char_arrays")),
         duplicate_primitive_arrays(dump).agg(F.coalesce(F.sum("wasted"), F.lit(0)).alias("array_waste")),
         constant_primitive_arrays(dump, tree).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("constant_array_bytes")),
-    ):
-        out = out.crossJoin(F.broadcast(more))  # one row each
-    return out
+    )

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +23,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/heap-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def one_row(*frames: DataFrame) -> DataFrame:
+    """The columns of several one-row tables as one row. Each is worked out on its own: together they would
+    make one plan of very many joins."""
+    values, fields = [], []
+    for frame in frames:
+        row = frame.first()
+        values += list(row) if row is not None else [None] * len(frame.columns)
+        fields += frame.schema.fields
+    schema = StructType([StructField(f.name, f.dataType, True) for f in fields])
+    return frames[0].sparkSession.createDataFrame([tuple(values)], schema)

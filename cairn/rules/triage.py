@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
 from cairn.operators import views as V
+from cairn.plans.tables import one_row
 
 CRITICAL, WARNING, INFO = "Critical", "Warning", "Info"
 
@@ -124,8 +125,8 @@ def facts_of(tree: DataFrame, roots: DataFrame, header: int = 12) -> DataFrame:
     held = retained.crossJoin(F.broadcast(total.select("total"))).agg(F.max_by("root_type", "retained").alias("top_root_type"), F.max(S.basis_points("retained", "total")).alias("top_root_bp"), F.sum(F.when(F.col("root_type") == "JNI Global", F.col("roots"))).alias("jni_globals"), F.sum(F.when(F.col("root_type") == "JNI Global", F.col("retained"))).alias("jni_retained"))
     tags = roots.groupBy("obj_id").agg(F.min("root_tag").alias("tag"))
     suspect = V.leak_suspects(tree).withColumn("k", F.row_number().over(W.orderBy(F.desc("retained"), "class_name", "obj_id"))).where("k = 1").join(tags, "obj_id", "left").select(F.col("class_name").alias("suspect_name"), F.col("retained").alias("suspect_retained"), S.root_label("tag").alias("suspect_root"))
-    out = total.withColumn("header", F.lit(header).cast("long"))
-    for more in (
+    return one_row(
+        total.withColumn("header", F.lit(header).cast("long")),
         by_class, kind, held, suspect.agg(F.first("suspect_name").alias("suspect_name"), F.first("suspect_retained").alias("suspect_retained"), F.first("suspect_root").alias("suspect_root")),
         V.retention_concentration(tree).select("top1_bp", "one_percent_objects"),
         V.depth_summary(tree).agg(F.max("p90_depth").alias("p90_depth")),
@@ -133,6 +134,4 @@ def facts_of(tree: DataFrame, roots: DataFrame, header: int = 12) -> DataFrame:
         V.biggest_objects(tree, 1).agg(F.first("class_name").alias("biggest_name")),
         V.duplicate_classes(tree).agg(F.count("*").alias("duplicate_classes")),
         V.big_drops(tree, 1).agg(F.max("drop").alias("top_drop")),
-    ):
-        out = out.crossJoin(F.broadcast(more))  # one row each
-    return out
+    )
