@@ -304,9 +304,9 @@ def repeats(docs: DataFrame, span: int = 200, gram: int = 64) -> DataFrame:
     wanted = written(unsure.join(owners, "uid"), "unsure-phrases")
 
     keyed = docs.withColumn("doc", _doc_key())
-    texts = sieved(keyed, "doc", wanted).join(wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "sup", "n", "kinds", "first", "cnt")).alias("wanted")), "doc")
-    # of equal texts any one will do
-    texts = texts.groupBy("doc").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
+    # of equal texts any one will do; they are combined before the exchange
+    texts = sieved(keyed, "doc", wanted).groupBy("doc").agg(F.first("text").alias("text"))
+    texts = texts.join(wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "sup", "n", "kinds", "first", "cnt")).alias("wanted")), "doc")
     segments = written(texts.select(F.encode("text", "UTF-8").alias("data"), F.explode("wanted").alias("w")).select("w.key", "w.sup", "w.n", "w.kinds", F.expr("substring(data, cast(w.first + 1 as int), w.cnt + %d)" % (span - 1)).alias("bytes")), "segments")
     few, many = segments.where(F.col("kinds") <= HELD), segments.where(F.col("kinds") > HELD)
     masks = _compared(few, span)
