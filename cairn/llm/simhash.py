@@ -208,7 +208,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The row of the smallest doc_id of each component, with all columns as they are; of several rows
     of that id, the one whose text has the smallest digest."""
     rows = written(fingerprints(docs, keyed=True), "fingerprints")
-    found = written(grouped(rows), "near-groups")
+    return without_copies(docs, written(grouped(rows), "near-groups"))
+
+
+def without_copies(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of ``docs`` that each root of ``found`` (doc_id, key, root) keeps."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
     stay = found.groupBy("root").agg(F.min(order).alias("s"), F.count("*").alias("n")).where("n > 1")
     dropped = found.join(stay, "root").where((F.col("key") != F.col("s.key")) | ~F.col("doc_id").eqNullSafe(F.col("s.doc_id"))).select("doc_id", "key")
