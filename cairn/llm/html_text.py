@@ -30,7 +30,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "template")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("html head body article aside section nav header footer main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre form fieldset legend figure figcaption address hr details summary dialog menu center search hgroup".split())
-_FURNITURE = frozenset("nav footer aside form head button select datalist svg canvas object audio video map math dialog menu search label fieldset".split())
+_FURNITURE = frozenset("nav footer aside head button select datalist svg canvas object audio video map math dialog menu search label fieldset".split())
 _IMPLIED = {"p": _BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|\b(hidden)\b")
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist status".split())
@@ -40,46 +40,76 @@ _NAMES = re.compile(
     r"widgets?|toolbar|pagination|pager|login|search|searchbox|skip|copyright|disclaimer|legal|tags|toc|byline-bar|form|paywall)(?:$|[\s_-])",
     re.I,
 )
-_WHOLE = frozenset(["html", "body", "article", "main"])
+#: Names that say something of a layout, not of the element: has-sidebar, header-fixed, comments-open.
+_MODIFIERS = re.compile(r"(?:^|(?<=[\s_-]))(?:(?:has|with|without|no|not|is)[_-][a-z]+|(?:sticky|fixed)[_-](?:header|nav|navbar|footer|sidebar)|(?:header|nav|navbar|footer|sidebar|menu)[_-](?:fixed|sticky|static|left|right|open|closed)|comments?[_-](?:open|closed)|search[_-]results?)(?=$|[\s_-])", re.I)
+#: Names of what readers write; it stays furniture even where it is longer than the text.
+_TALK = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|reply|replies|respond|disqus|discussion|related|recommend\w*)(?:$|[\s_-])", re.I)
+#: Marks of an element: none, furniture, by its name only, by its name and of readers.
+_NOT, _SURE, _NAMED, _TALKED = range(4)
 
 
-def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
+def _furniture(tag: str, attributes: str, in_article: bool) -> int:
     if tag in _FURNITURE:
-        return True
+        return _SURE
     if tag == "header":
-        return not in_article
+        return _NOT if in_article else _SURE
+    mark = _NAMED if tag == "form" else _NOT
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return mark
     for name, value, hidden in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if hidden or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return _SURE
         if name == "role" and value.lower() in _ROLES:
-            return True
-        if name in ("class", "id") and _NAMES.search(value if tag != "article" else re.sub(r"(?i)header|footer|social|share|tags|promo\w*|legal|notice", "", value)):
-            return True
-    return False
+            return _SURE
+        if name in ("class", "id"):
+            value = _MODIFIERS.sub("", value)
+            if _NAMES.search(value if tag != "article" else re.sub(r"(?i)header|footer|social|share|tags|promo\w*|legal|notice", "", value)):
+                mark = max(mark, _TALKED if _TALK.search(value) else _NAMED)
+    return mark
+
+
+def _cleared(lines: list[tuple[str, int, tuple[int, ...], bool]], marks: list[int]) -> set[int]:
+    """The elements that are furniture by name only but hold the page's article or most of its text."""
+    open_lines = [(text, links, f, article) for text, links, f, article in lines if all(marks[k] != _SURE for k in f)]
+    total, held, with_article = 0, {}, set()
+    for text, links, f, article in open_lines:
+        size = max(0, len(text) - links)
+        total += size
+        for k in f:
+            held[k] = held.get(k, 0) + size
+            if article:
+                with_article.add(k)
+    cleared = {k for k, size in held.items() if 2 * size > total and marks[k] == _NAMED}
+    if not any(article and all(k in cleared for k in f) for _, _, f, article in open_lines):
+        cleared |= {k for k in with_article if marks[k] == _NAMED}
+    if not any(all(k in cleared for k in f) for _, _, f, _ in open_lines):
+        cleared |= {k for k, size in held.items() if 2 * size > total}
+    return cleared
 
 
 def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters of it in links, furniture, in an article) of each block of running text."""
-    out, parts, links, at, in_link = [], [], 0, 0, False
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture, article: of elements that matter
-    furniture = articles = 0
+    found, parts, links, at, in_link = [], [], 0, 0, False
+    marks: list[int] = []  # of furniture, in page order
+    within: list[int] = []  # the open ones
+    stack: list[tuple[str, int, bool]] = []  # tag, furniture, article: of elements that matter
+    articles = 0
 
     def end_line() -> None:
         nonlocal parts, links
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append((text, links, furniture > 0, articles > 0))
+                found.append((text, links, tuple(within), articles > 0))
             parts, links = [], 0
 
     def close(depth: int) -> None:
-        nonlocal furniture, articles
+        nonlocal articles
         while len(stack) > depth:
             _, f, a = stack.pop()
-            furniture -= f
+            if f:
+                within.pop()
             articles -= a
 
     def take(piece: str) -> None:
@@ -127,12 +157,15 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
             end_line()
         if bad or good or tag in _BLOCK:
             stack.append((tag, bad, good))
-            furniture += bad
+            if bad:
+                within.append(len(marks))
+                marks.append(bad)
             articles += good
     if at < len(html):
         take(html[at:])
     end_line()
-    return out
+    cleared = _cleared(found, marks)
+    return [(text, links, any(k not in cleared for k in f), article) for text, links, f, article in found]
 
 
 def between(weights: list[int], surge: int, window: int = WINDOW) -> list[int]:

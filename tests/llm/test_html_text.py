@@ -45,3 +45,15 @@ def test_query_rows(spark):
     got = sorted((tuple(r) for r in extract(pages).collect()), key=str)
     assert got == sorted([(1, "u", WANT, len(WANT))] * 2 + [(None, None, "", 0), (2, "v", "", 0)], key=str)
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_wrappers_named_after_furniture():
+    text = "\n".join(f"Paragraph number {i} with quite some running text in it." for i in range(4))
+    body = "".join(f"<p>{line}</p>" for line in text.split("\n"))
+    menu, talk = '<div class="sidebar"><p>Menu of the page</p></div>', '<div class="comments"><p>' + "Reader text. " * 40 + "</p></div>"
+    for name in ("content has-sidebar", "layout-with-sidebar", "no-sidebar", "with-nav", "content header-fixed", "site-content sticky-header", "comments-open post", "page-search-results", "header"):
+        for inner in (body, f"<article>{body}</article>"):
+            assert main_text(f'{menu}<div class="{name}">{inner}{menu}</div>') == text, name
+            assert main_text(f'<form id="aspnet">{menu}<div class="{name}">{inner}</div></form>') == text, name
+    assert main_text(f"<div>{body}</div>{talk}") == text
+    assert main_text(f'<form><article>{body}</article></form><section id="comments"><article class="comment"><p>Nice!</p></article></section>') == text
