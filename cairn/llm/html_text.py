@@ -3,7 +3,8 @@
 A page is stripped to lines, one for each block of running text, with inline markup gone and character
 references decoded. A line's weight is its text's length, or zero where the page itself says that
 it is furniture: menus, footers, forms, adverts, comments and the like, by element, role, class or id, and,
-on pages that mark an article, whatever is outside of it. On other pages link text weighs nothing either.
+on pages that mark an article, whatever is outside of it, unless text surges there that is longer than the
+article. On other pages link text weighs nothing either.
 
 Weights are summed over a sliding window of lines. The text begins at a surge, a line from which the sum
 passes the threshold, and ends at a dive, where a whole window weighs nothing; short gaps, such as an advert
@@ -187,7 +188,9 @@ def between(weights: list[int], surge: int, window: int = WINDOW) -> list[int]:
 def main_text(html: str) -> str:
     """The page's main text, blocks joined by one newline; empty if there is none."""
     lines = lines_of(html)
-    marked = any(article and not furniture for _, _, furniture, article in lines)
+    inside = sum(len(text) for text, _, furniture, article in lines if article and not furniture)
+    plain = [0 if furniture or article else max(0, len(text) - links) for text, links, furniture, article in lines]
+    marked = 0 < inside >= sum(plain[i] for i in between(plain, SURGE))  # else the article is a teaser beside the text
     if marked:
         weights = [len(text) if article and not furniture else 0 for text, _, furniture, article in lines]
     else:

@@ -57,3 +57,11 @@ def test_wrappers_named_after_furniture():
             assert main_text(f'<form id="aspnet">{menu}<div class="{name}">{inner}</div></form>') == text, name
     assert main_text(f"<div>{body}</div>{talk}") == text
     assert main_text(f'<form><article>{body}</article></form><section id="comments"><article class="comment"><p>Nice!</p></article></section>') == text
+
+
+def test_teaser_article_beside_the_text():
+    text = "\n".join(f"Paragraph number {i} with quite some running text in it." for i in range(4))
+    body = "".join(f"<p>{line}</p>" for line in text.split("\n"))
+    page = f'<div class="post-body">{body}</div><article class="card"><p>Another story</p></article>'
+    assert main_text(page).startswith(text)
+    assert main_text(f"<article>{body}</article><div><p>A short line that is outside of it, and long enough.</p></div>") == text
