@@ -9,6 +9,7 @@ article. On other pages link text weighs nothing either.
 Weights are summed over a sliding window of lines. The text begins at a surge, a line from which the sum
 passes the threshold, and ends at a dive, where a whole window weighs nothing; short gaps, such as an advert
 between two paragraphs, don't end it. Weighted lines between surges and dives are kept, in page order.
+Without a marked article all lines but furniture are, from the first surge to the last dive.
 """
 
 from __future__ import annotations
@@ -196,7 +197,10 @@ def main_text(html: str) -> str:
     else:
         weights = [0 if furniture else max(0, len(text) - links) for text, links, furniture, _ in lines]
     surge = 1 if marked else min(SURGE, max(1, max(weights, default=1)))
-    return "\n".join(lines[i][0] for i in between(weights, surge))
+    kept = between(weights, surge)
+    if not marked and kept:  # links and short lines between the first surge and the last dive are text as well
+        kept = [i for i in range(kept[0], kept[-1] + 1) if not lines[i][2]]
+    return "\n".join(lines[i][0] for i in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -65,3 +65,11 @@ def test_teaser_article_beside_the_text():
     page = f'<div class="post-body">{body}</div><article class="card"><p>Another story</p></article>'
     assert main_text(page).startswith(text)
     assert main_text(f"<article>{body}</article><div><p>A short line that is outside of it, and long enough.</p></div>") == text
+
+
+def test_links_and_short_lines_within_the_text():
+    long = "A paragraph with quite some running text in it, number"
+    links = "".join(f"<li><a href={i}>Source {i}</a></li>" for i in range(4))
+    page = f"<p><a href=1>Menu</a></p><p><a href=2>Menu</a></p><p><a href=3>Menu</a></p><p>{long} 1.</p><ul>{links}</ul><h2>Why</h2><ul>{links}</ul><div class=ad>Buy</div><p>{long} 2.</p><p>{long} 3.</p>"
+    sources = [f"Source {i}" for i in range(4)]
+    assert main_text(page) == "\n".join([f"{long} 1.", *sources, "Why", *sources, f"{long} 2.", f"{long} 3."])
