@@ -141,12 +141,14 @@ def dedup(docs: DataFrame, in_snapshot: Column, digest: Callable[[Column], Colum
     as the smallest, each is marked as kept. A null text is an empty one. Other columns are ignored. ``digest`` may be
     weak: rows of equal digests and different bytes are told apart.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(text_or_empty()).alias("norm"), F.coalesce(in_snapshot, F.lit(False)).alias("snap"))
-    rows = base.withColumn("digest", digest(F.col("norm")))
     # null ids can't be compared; the smallest number stands for them until the end
-    rows = rows.withColumn("null_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
+    number, known = F.col("doc_id").cast("long"), F.col("doc_id").cast("long").isNotNull()
+    base = docs.select(F.coalesce(number, F.lit(-(2**63))).alias("doc_id"), (~known).alias("null_id"), text_or_empty().alias("raw"), F.coalesce(in_snapshot, F.lit(False)).alias("snap"))
+    # the hash of the text as it is finds rows again without normalising all texts once more
+    base = base.withColumn("h", F.xxhash64("raw"))
+    rows = _digested(base, digest)
     strong = digest is sha256_digest
-    digests = written(rows.select("doc_id", "null_id", "snap", "digest", *([] if strong else [F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256")])), "digests")
+    digests = written(rows.select("doc_id", "null_id", "snap", "h", "digest", *([] if strong else [F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256")])), "digests")
     if strong:
         digests = digests.withColumn("text_sha256", F.lower(F.hex("digest")))
     n_buckets = max(1, -(-digests.count() // BUCKET_DIGESTS))
@@ -159,12 +161,11 @@ def dedup(docs: DataFrame, in_snapshot: Column, digest: Callable[[Column], Colum
     groups = reduce(DataFrame.unionByName, alone, hits)
 
     placed = written(digests.join(groups, "digest"), "grouped-rows")
-    shared = placed.where("group_size > 1").select("digest", "keep_id").distinct()
-    wrong = written(_other_bytes(rows, shared), "colliding-digests")  # none but with a weak digest
+    wrong = written(_other_bytes(base, placed, digest), "colliding-digests")  # none but with a weak digest
     out = placed
     if not wrong.isEmpty():
         wrong = wrong.distinct()
-        out = placed.join(wrong, "digest", "left_anti").unionByName(_by_text(rows, wrong))
+        out = placed.drop("h").join(wrong, "digest", "left_anti").unionByName(_by_text(rows, wrong))
     smallest = F.lit(-(2**63))
     return out.select(
         F.when(~F.col("null_id"), F.col("doc_id")).alias("doc_id"),
@@ -175,22 +176,29 @@ def dedup(docs: DataFrame, in_snapshot: Column, digest: Callable[[Column], Colum
     )
 
 
+def _digested(base: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    return base.withColumn("norm", normalised(F.col("raw"))).withColumn("digest", digest(F.col("norm"))).drop("raw")
+
+
 def first_rows(docs: DataFrame, in_snapshot: Column) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group, with all columns as they are."""
-    found = written(dedup(docs, in_snapshot), "exact-groups").withColumn("key", F.unhex("text_sha256"))
-    kept = found.where("kept").groupBy("doc_id", "key").agg(F.count("*").alias("n"))
-    repeated = not kept.where("n > 1").isEmpty()
-    return without_rows(docs, text_key(normalised(text_or_empty())), found.where("not kept"), repeated)
+    """The rows of ``docs`` that stay, one of each group, with all columns as they are.
+
+    Null texts are empty; of rows of one id and text any one stays; an empty table stays empty."""
+    found = written(dedup(docs, in_snapshot).select("doc_id", "kept", F.unhex("text_sha256").alias("key")), "exact-groups")
+    repeated = found.where("kept").groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    dropped = found.where("not kept").select("doc_id", "key")
+    return without_rows(docs, lambda text: text_key(normalised(text)), written(dropped, "exact-dropped"), written(repeated, "repeated-ids"))
 
 
-def _other_bytes(rows: DataFrame, shared: DataFrame) -> DataFrame:
+def _other_bytes(base: DataFrame, placed: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """Digests of rows whose digest is shared and whose bytes differ from those of a row that stays.
 
-    A sieve of the shared digests lets only such rows' texts move, and few others. Rows that stay are found by
-    digest and id together, so that a group of any size spreads over tasks, and are one for each digest after."""
-    shared = written(shared, "shared-digests")
-    texts = sieved(rows.select("digest", "doc_id", "norm"), "digest", shared)
-    stay = texts.join(shared.withColumnRenamed("keep_id", "doc_id"), ["digest", "doc_id"]).select("digest", F.col("norm").alias("kept_norm"))
+    A sieve of the texts' own hashes lets only such rows be normalised and moved, and few others. Rows that stay are found
+    by digest and id together, so that a group of any size spreads over tasks, and are one for each digest after."""
+    shared = written(placed.where("group_size > 1").select("digest", "keep_id", "h").distinct(), "shared-digests")
+    texts = written(_digested(sieved(base, "h", shared), digest).select("digest", "doc_id", "norm"), "shared-texts")
+    firsts = shared.select("digest", F.col("keep_id").alias("doc_id")).distinct()
+    stay = texts.join(firsts, ["digest", "doc_id"]).select("digest", F.col("norm").alias("kept_norm"))
     stay = written(stay.dropDuplicates(["digest", "kept_norm"]), "kept-texts")
     return texts.join(stay, "digest").where("norm != kept_norm").select("digest")
 

@@ -14,54 +14,67 @@ from __future__ import annotations
 import functools
 import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cairn.llm._common import text_or_empty
-from cairn.llm.bpe import byte_letters
+from cairn.llm._common import lean, text_or_empty, trim
 
 #: Documents whose remainders are packed together: at most this many times the sequence length in tokens.
 BUCKET_DOCUMENTS = 4096
-#: The fixed split of byte-level vocabularies of this family.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Letters whose classes no Unicode version disputes, and runs of white space short enough for any splitter.
-_SETTLED = re.compile("[\\x00-\\u024f\\u2000-\\u206f]*")
-_BLANKS = re.compile(r"[ \t-\r\x1c-\x1f\x85\xa0]{1000}")
+#: Characters whose classes no Unicode version disputes, as ranges for a pattern; of these, letters, digits and white space.
+_SETTLED_CHARS = [*range(0x250), *range(0x2000, 0x2065)]
+_SPACES = "\t-\r \x85\xa0\u2000-\u200a\u2028\u2029\u202f\u205f"
+_LETTERS, _DIGITS = ("".join(f"\\u{c:04x}" for c in _SETTLED_CHARS if unicodedata.category(chr(c))[0] == kind) for kind in "LN")
+_SETTLED = re.compile("[\x00-\u024f\u2000-\u2064]*")
+#: Fixed value: how byte-level vocabularies of this family split a text into words, each encoded by itself.
+WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^{_SPACES}{_LETTERS}{_DIGITS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+#: Words whose ids are kept in each of two generations of a worker's cache, and their longest.
+KEPT, LONGEST = 120_000, 48
+
+
+class _Words(dict):
+    """The library's ids of words, worked out where they are first met; those met lately are kept."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = self.old.get(word) or self.encode(word, add_special_tokens=False).ids
+        if len(word) <= LONGEST:
+            if len(self) >= KEPT:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 class ByteTokenizer:
-    """The ids of a byte-level tokenizer file. A second implementation of the same merges, four times as
-    fast, is used where both are sure to agree: no special token, no disputed letters, no long blanks."""
+    """The ids of a byte-level tokenizer file. They all come from the library: word by word, kept between texts, where
+    it is sure how it splits the text (no special token, no disputed letters), else of the whole text."""
 
     def __init__(self, path: str):
-        self.slow = Tokenizer.from_file(path)
-        self.slow.no_truncation()
-        self.slow.no_padding()
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        byte_of = {c: b for b, c in enumerate(byte_letters())}
-        special = [t["content"] for t in spec["added_tokens"]]
-        vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
-        merges = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
-        ordered = all(vocab.get(m.replace(" ", "", 1)) == 256 + i for i, m in enumerate(merges))
-        plain = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        self.fast = None
-        if ordered and plain:
-            ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items()}
-            self.fast = tiktoken.Encoding("bytes", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
-        self.special = special
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.plain = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.words, self.split = _Words(self.library.encode), re.compile(WORDS).findall
 
     def ids(self, text: str) -> list[int]:
-        if self.fast and _SETTLED.fullmatch(text) and not any(t in text for t in self.special) and not _BLANKS.search(text):
-            return self.fast.encode_ordinary(text)
-        return self.slow.encode(text, add_special_tokens=False).ids
+        if self.plain and _SETTLED.fullmatch(text) and not any(t in text for t in self.special):
+            return list(chain.from_iterable(map(self.words.__getitem__, self.split(text))))
+        return self.library.encode(text, add_special_tokens=False).ids
 
 
 @functools.lru_cache(maxsize=4)
@@ -107,8 +120,8 @@ def pack_documents(docs: DataFrame, path: str, length: int = 2048, end_id: int =
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).ids
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 whole, rest, counts = [], [], []
                 for text in part.column(1).to_pylist():
                     ids = np.array([*encode(text), end_id], wide)
@@ -132,9 +145,11 @@ def pack_documents(docs: DataFrame, path: str, length: int = 2048, end_id: int =
         for d, start, took, s, offset in assign(sizes, sequence_lengths(sum(sizes), length), length):
             out.append((d, counts[d] - sizes[d] + start, took, zlib.crc32(tails[d][start : start + took].tobytes()), following + s, offset))
         of = np.array(out, np.int64).reshape(-1, 6)
+        trim()
         columns = {"start": of[:, 1], "length": of[:, 2], "ids_crc32": of[:, 3], "doc_tokens": np.array(counts, np.int64)[of[:, 0]], "sequence_id": of[:, 4], "offset": of[:, 5]}
         return pa.table({"doc_id": group.column("doc_id").take(pa.array(of[:, 0]))} | {k: pa.array(v) for k, v in columns.items()})
 
-    tokens = rows.mapInArrow(tokenised, "doc_id long, row long, doc_tokens long, whole binary, rest binary")
+    tokens = rows.mapInArrow(lean(tokenised), "doc_id long, row long, doc_tokens long, whole binary, rest binary")
     dealt = tokens.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInArrow(packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    # a task for each bucket, so that tasks stay alike however large the table is
+    return dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

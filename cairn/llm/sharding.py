@@ -26,6 +26,8 @@ from cairn.llm._common import text_or_empty, written
 
 #: Slots of a shard that are exchanged to one task and written together.
 BLOCK = 1 << 20
+#: Rows up to which a permutation is drawn as a list.
+LISTED = 4096
 _LARGE = 10**9
 
 
@@ -75,7 +77,10 @@ def matrix_row(before: np.ndarray, sizes: np.ndarray, seed: int, p: int) -> tupl
 
 
 def permuted(index: np.ndarray, n: int, key: list[int]) -> np.ndarray:
-    """A keyed bijection of 0 to n-1, applied to index: six Feistel rounds, walking on while outside."""
+    """A keyed bijection of 0 to n-1, applied to index: a drawn permutation of few rows, whose order must be exactly
+    uniform; beyond LISTED six Feistel rounds, walking on while outside, which need no table."""
+    if n <= LISTED:
+        return np.random.default_rng(key).permutation(n)[index]
     half = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
     keys = np.random.default_rng(key).integers(0, 1 << 63, 6, dtype=np.uint64)

@@ -215,6 +215,6 @@ def without_copies(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The row of ``docs`` that each root of ``found`` (doc_id, key, root) keeps."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
     stay = found.groupBy("root").agg(F.min(order).alias("s"), F.count("*").alias("n")).where("n > 1")
-    dropped = found.join(stay, "root").where((F.col("key") != F.col("s.key")) | ~F.col("doc_id").eqNullSafe(F.col("s.doc_id"))).select("doc_id", "key")
-    repeated = not found.join(stay, "root").where((F.col("key") == F.col("s.key")) & F.col("doc_id").eqNullSafe(F.col("s.doc_id"))).groupBy("root").count().where("count > 1").isEmpty()
-    return without_rows(docs, text_key(), written(dropped, "near-dropped"), repeated)
+    met = written(found.join(stay, "root").select("doc_id", "key", "root", ((F.col("key") == F.col("s.key")) & F.col("doc_id").eqNullSafe(F.col("s.doc_id"))).alias("stays")), "near-met")
+    repeated = met.where("stays").groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n > 1").select("doc_id")
+    return without_rows(docs, text_key, written(met.where("not stays").select("doc_id", "key"), "near-dropped"), written(repeated, "near-repeated"))

@@ -3,7 +3,8 @@
 Corpus parse. Rolling hashes of short grams are computed at each byte. A gram is a trigger where its
 hash is the least among the grams of some ``span`` bytes, so every string of that length has one, and equal
 strings have it at the same place. A trigger and all strings that it is least for make a phrase. Phrases
-are counted by two independent hashes: of the trigger gram, and of the whole phrase.
+have two names: the rolling hash of the trigger gram, and a keyed cryptographic digest of the whole phrase, as
+the dictionary of a prefix-free parse names its phrases.
 
  - A trigger gram seen once in the corpus: no string of its phrase occurs elsewhere.
  - A phrase seen twice: all its strings do.
@@ -15,31 +16,37 @@ dense triggers (hash divisible by 16) in overlapping pieces that end with a trig
 longer than the overlap is a prefix of another. The suffix array of the dictionary of distinct pieces ranks each
 place within its piece; that of the parse ranks what follows; the two ranks together put all
 places of the bucket in the order of their suffixes. Strings that occur twice are next to each other in that
-order; neighbours are compared by two independent hashes of 64 bits. Repetitive buckets have small dictionaries and parses.
+order, and neighbours are compared byte by byte; their rolling hashes only spare comparisons of different ones.
 
-A bucket holds a bounded number of phrases on average, and is compared in lots of bounded size. A trigger gram with more distinct phrases than ``HELD`` (a
-passage in very many documents, everywhere with other neighbours) doesn't go to a bucket: hashes of its strings
-are counted by a shuffle that combines before it sends.
+A bucket is taken in lots of bounded size. A gram with more distinct phrases than ``HELD`` (a passage in very many documents,
+everywhere with other neighbours) is first dealt anew: its strings are split by how far before the trigger
+they start, and each part by the bytes that all of a part's strings cover. What then has equal bytes is settled; the
+rest is split again where it is still too much, at last to single strings, so that no group outgrows a lot.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from cairn.llm._common import sieved, text_or_empty, written
+from cairn.llm._common import lean, sieved, text_or_empty, trim, written
 
 #: Bytes of text that are hashed at a time; longer texts are taken in pieces that overlap.
-PIECE = 1 << 19
-#: Bytes of phrases in a bucket, on average.
-BUCKET_BYTES = 1 << 19
-#: Distinct phrases of one trigger gram beyond which its strings are counted by hash.
-HELD = 50_000
+PIECE = 1 << 17
+#: Bytes of phrases in a bucket, on average, and in a lot that suffix arrays order at once.
+BUCKET_BYTES = 1 << 18
+#: Distinct phrases of one trigger gram beyond which its strings are dealt anew.
+HELD = 512
+#: Bytes of phrases that one task compares, on average.
+TASK_BYTES = 1 << 21
 
 _U = np.uint64
 _random = np.random.default_rng(200)
@@ -58,7 +65,7 @@ class _Rolling:
 
     def __init__(self, data: np.ndarray, which: int):
         if len(self.tables.get(which, [()])[0]) < len(data):
-            n, base = max(2 * PIECE + 1024, len(data)), _BASES[which]
+            n, base = max(3 * PIECE, len(data)), _BASES[which]
             self.tables[which] = _powers(base, n), _powers(pow(base, -1, 2**64), n)
         self.up, down = self.tables[which]
         self.sums = np.concatenate([np.zeros(1, _U), np.cumsum(_VALUES[which][data] * down[: len(data)], dtype=_U)])
@@ -67,8 +74,6 @@ class _Rolling:
         n = len(self.sums) - size
         return (self.sums[size:] - self.sums[:n]) * self.up[:n]
 
-    def spans(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        return (self.sums[high] - self.sums[low]) * self.up[low]
 
 
 def mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -77,14 +82,13 @@ def mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
-def phrases(data: np.ndarray, ends: list[int], span: int, gram: int) -> dict[str, np.ndarray]:
-    """first (place of the first string), cnt (strings), key (trigger gram), sup (phrase), at (trigger's
-    place from first) of each phrase of the texts that end at ``ends`` of ``data``, in order."""
+def phrases(data: np.ndarray, ends: list[int], span: int, gram: int, salt: bytes = b"") -> dict[str, np.ndarray]:
+    """first (place of the first string), cnt (strings), key (trigger gram), sup (digest of the phrase's bytes), at
+    (trigger's place from first) of each phrase of the texts that end at ``ends`` of ``data``, in order."""
     n = len(data) - span + 1
     if n <= 0:
         return {k: np.zeros(0, np.int64) for k in ("first", "cnt", "key", "sup", "at")}
-    one, two = _Rolling(data, 0), _Rolling(data, 1)
-    grams = one.grams(gram)
+    grams = _Rolling(data, 0).grams(gram)
     places = _U((1 << 23) - 1)
     least = (mixed(grams, 1) & ~places) | np.arange(len(grams), dtype=_U)
     have, want = 1, span - gram + 1
@@ -104,8 +108,9 @@ def phrases(data: np.ndarray, ends: list[int], span: int, gram: int) -> dict[str
     last = np.flatnonzero(valid[:n] & np.concatenate([moved | ~valid[1:n], [True]]))
     at = trigger[first]
     key = mixed(grams[at], 2)
-    sup = mixed(two.spans(first, last + span) + (last - first).astype(_U) * _U(0x9E3779B97F4A7C15) + (at - first).astype(_U), 3)
-    return {"first": first, "cnt": last - first + 1, "key": key.view(np.int64), "sup": sup.view(np.int64), "at": at - first}
+    raw, named = memoryview(data), hashlib.blake2b
+    digests = [named(raw[b:e], digest_size=8, key=salt).digest() for b, e in zip(first.tolist(), (last + span).tolist(), strict=True)]
+    return {"first": first, "cnt": last - first + 1, "key": key.view(np.int64), "sup": np.frombuffer(b"".join(digests), np.int64), "at": at - first}
 
 
 def _doc_key():
@@ -114,7 +119,10 @@ def _doc_key():
 
 
 def parse(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """uid (row), doc (text key), first, cnt, at, key, sup: one row for each phrase of each document."""
+    """uid (row), doc (text key), first, cnt, at, key, sup: one row for each phrase of each document.
+
+    Digests are keyed with random bytes of this call, so that no text can be made to fool them."""
+    salt = os.urandom(16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +131,7 @@ def parse(docs: DataFrame, span: int, gram: int) -> DataFrame:
 
             def flush(held: list) -> pa.RecordBatch:
                 ends = np.cumsum([len(b) for _, _, b in held])
-                found = phrases(np.frombuffer(b"".join(b for _, _, b in held), np.uint8), ends.tolist(), span, gram)
+                found = phrases(np.frombuffer(b"".join(b for _, _, b in held), np.uint8), ends.tolist(), span, gram, salt)
                 of = np.searchsorted(ends, found["first"], "right")
                 begin = np.array([b for _, b, _ in held]) - (ends - [len(b) for _, _, b in held])
                 rows = np.array([r for r, _, _ in held])[of]
@@ -144,25 +152,35 @@ def parse(docs: DataFrame, span: int, gram: int) -> DataFrame:
                 yield flush(held)
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), _doc_key().alias("doc"), "text")
-    return rows.mapInArrow(run, "uid long, doc binary, first long, cnt int, at int, key long, sup long")
+    return rows.mapInArrow(lean(run), "uid long, doc binary, first long, cnt int, at int, key long, sup long")
 
 
-def _ranks(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _ranks(symbols: np.ndarray, ends: np.ndarray, packed: int = 1) -> np.ndarray:
     """The rank of each suffix (up to its own end) among all, equal ones sharing it: prefix doubling.
 
-    symbols: from 1; ends: for each place, where its string ends."""
-    place, step = np.arange(len(symbols)), 1
-    _, rank = np.unique(symbols, return_inverse=True)
+    symbols: from 1; ends: for each place, where its string ends. Symbols up to 511 may be taken seven at a time."""
+    place, step = np.arange(len(symbols)), packed
+    first = symbols
+    for k in range(1, packed):
+        first = (first << 9) | np.where(place + k < ends, symbols[np.minimum(place + k, len(symbols) - 1)], 0)
+    values, rank = np.unique(first, return_inverse=True)
     rank = rank.astype(np.int64) + 1
-    while True:
+    while len(values) < len(rank):
         follow = place + step
         then = np.where(follow < ends, rank[np.minimum(follow, len(rank) - 1)], 0)
         values, inverse = np.unique(rank * (len(rank) + 1) + then, return_inverse=True)
         grown = len(values) > rank.max()
         rank, step = inverse.astype(np.int64) + 1, step * 2
         # classes that a doubling doesn't split are final: what agrees in k places then agrees in 2k, and so on
-        if not grown or len(values) == len(rank):
-            return rank
+        if not grown:
+            break
+    return rank
+
+
+def _same_bytes(data: np.ndarray, one: np.ndarray, two: np.ndarray, span: int) -> np.ndarray:
+    """Whether the strings of ``span`` bytes at places ``one`` and ``two`` are equal, pair by pair."""
+    window = np.lib.stride_tricks.sliding_window_view(data, span)
+    return np.concatenate([np.zeros(0, bool), *((window[one[k : k + 2048]] == window[two[k : k + 2048]]).all(axis=1) for k in range(0, len(one), 2048))])
 
 
 def repeated(segments: list[bytes], span: int, overlap: int = 8, density: int = 16) -> list[np.ndarray]:
@@ -190,7 +208,7 @@ def repeated(segments: list[bytes], span: int, overlap: int = 8, density: int =
     word_size = np.array([len(w) for w in words])
     word_end = np.cumsum(word_size)
     word_begin = word_end - word_size
-    in_word = _ranks(np.frombuffer(b"".join(words), np.uint8).astype(np.int64) + 1, np.repeat(word_end, word_size))
+    in_word = _ranks(np.frombuffer(b"".join(words), np.uint8).astype(np.int64) + 1, np.repeat(word_end, word_size), packed=7)
     # a piece's rank in the parse's alphabet is that of its whole word among the dictionary's suffixes
     last = np.searchsorted(begin, segment_end[begin])
     following = np.concatenate([_ranks(in_word[word_begin[parsed]], last), [0]])
@@ -199,105 +217,98 @@ def repeated(segments: list[bytes], span: int, overlap: int = 8, density: int =
     own = piece[at]
     first = in_word[word_begin[parsed[own]] + at - begin[own]]
     then = np.where(own + 1 < last[own], following[own + 1], 0)
-    at = at[np.lexsort((then, first))]
-    same = np.zeros(len(at) + 1, bool)
-    if len(at):
-        one, two = rolling.grams(span)[at], _Rolling(data, 1).grams(span)[at]
-        same[1:-1] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+    at = at[np.argsort(first * (len(begin) + 2) + then, kind="stable")]
     twice = np.zeros(len(data), bool)
-    twice[at] = same[:-1] | same[1:]
+    if len(at) > 1:
+        hashes = rolling.grams(span)[at]
+        pair = np.flatnonzero(hashes[1:] == hashes[:-1])  # unequal hashes are unequal strings
+        pair = pair[_same_bytes(data, at[pair], at[pair + 1], span)]
+        twice[at[pair]] = twice[at[pair + 1]] = True
     return [twice[b : max(b, e - span + 1)] for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
 
 
-def repeated_by_hash(segments: list[bytes], span: int) -> list[np.ndarray]:
-    """As ``repeated`` by two hashes of each string: 40 bytes for a string, whatever its length."""
-    sizes = [max(0, len(s) - span + 1) for s in segments]
-    hashes = np.zeros((2, sum(sizes)), _U)
-    at = 0
-    for k in range(0, len(segments), 256):
-        data = b"".join(segments[k : k + 256])
-        starts = np.cumsum([0, *map(len, segments[k : k + 256])])
-        places = np.concatenate([np.arange(b, b + n) for b, n in zip(starts[:-1].tolist(), sizes[k : k + 256], strict=True)])
-        for which in (0, 1):
-            hashes[which, at : at + len(places)] = _Rolling(np.frombuffer(data, np.uint8), which).grams(span)[places]
-        at += len(places)
-    order = np.lexsort((hashes[1], hashes[0]))
-    same = np.zeros(len(order) + 1, bool)
-    same[1:-1] = (hashes[:, order[1:]] == hashes[:, order[:-1]]).all(axis=0)
-    twice = np.zeros(len(order), bool)
-    twice[order] = same[:-1] | same[1:]
-    ends = np.cumsum(sizes)
-    return [twice[e - n : e] for e, n in zip(ends.tolist(), sizes, strict=True)]
-
-
 def _compared(segments: DataFrame, span: int) -> DataFrame:
-    """key, sup, mask (a bit for each string that is elsewhere too) of rows key, sup, bytes, by buckets.
+    """key, sup, frm, cnt, mask (a bit for each string that is elsewhere too) of segments.
 
-    Equal strings have equal keys, so a bucket is taken in lots of whole keys; a key that is larger than a
-    lot by itself is compared by hashes, which need less memory."""
-    lot = BUCKET_BYTES
+    Equal strings are in one grp, so a bucket is taken in lots of whole ones. Segments that are in the corpus twice
+    themselves only take part for the others' sake."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("key")
-        keys, data = group.column("key").to_pylist(), group.column("bytes").to_pylist()
+        group = group.sort_by("grp")
+        groups, data = group.column("grp").to_pylist(), group.column("bytes").to_pylist()
         masks: list[np.ndarray] = []
         begin = 0
-        while begin < len(keys):
+        while begin < len(groups):
             end, size = begin, 0
-            while end < len(keys):
+            while end < len(groups):
                 after = end
-                while after < len(keys) and keys[after] == keys[end]:
+                while after < len(groups) and groups[after] == groups[end]:
                     size += len(data[after])
                     after += 1
-                if size > lot and end > begin:
+                if size > BUCKET_BYTES and end > begin:
                     break
                 end = after
-            masks += (repeated_by_hash if sum(map(len, data[begin:end])) > 2 * lot else repeated)(data[begin:end], span)
+            masks += repeated(data[begin:end], span)
             begin = end
         packed = [np.packbits(m, bitorder="little").tobytes() if m.any() else None for m in masks]
-        return pa.table({"key": group.column("key"), "sup": group.column("sup"), "mask": pa.array(packed, pa.binary())}).filter(pa.array([m is not None for m in packed], pa.bool_()))
+        columns = {k: group.column(k) for k in ("key", "sup", "frm")} | {"cnt": pa.array([len(m) for m in masks], pa.int32()), "mask": pa.array(packed, pa.binary())}
+        trim()
+        return pa.table(columns).filter(pa.array([m is not None and n == 1 for m, n in zip(packed, group.column("n").to_pylist(), strict=True)], pa.bool_()))
 
     total = segments.agg(F.sum(F.length("bytes"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
-    return segments.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInArrow(run, "key long, sup long, mask binary")
-
-
-def _counted(segments: DataFrame, span: int) -> DataFrame:
-    """As ``_compared``, by counts of the strings' hashes: for grams with very many phrases."""
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, sup, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(data, np.uint8)
-                h = [mixed(_Rolling(own, k).grams(span), 5).view(np.int64) for k in (0, 1)]
-                n = len(h[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, sup)), pa.array(np.arange(n)), *map(pa.array, h)], names=["key", "sup", "k", "h1", "h2"])
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            masks = []
-            for hits in batch.column(2).to_pylist():
-                mask = np.zeros(max(hits) + 1, bool)
-                mask[hits] = True
-                masks.append(np.packbits(mask, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(masks, pa.binary())], names=["key", "sup", "mask"])
-
-    rows = written(segments.select("key", "sup", "bytes").mapInArrow(hashes, "key long, sup long, k long, h1 long, h2 long"), "string-hashes")
-    twice = rows.groupBy("key", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hit = rows.join(twice, ["key", "h1", "h2"]).groupBy("key", "sup").agg(F.collect_list("k").alias("hits"))
-    return hit.mapInArrow(bits, "key long, sup long, mask binary")
+    dealt = segments.select("grp", "key", "sup", "frm", "n", "bytes", F.pmod(F.xxhash64("grp"), F.lit(buckets)).alias("bucket"))
+    dealt = dealt.repartition(max(1, -(-total // TASK_BYTES)), "bucket")
+    return dealt.groupBy("bucket").applyInArrow(run, "key long, sup long, frm int, cnt int, mask binary")
+
+
+#: Columns of a segment: grp (equal strings share it), low and high (how far before its trigger its strings start), key
+#: and sup (its phrase), at (the trigger's place in the bytes), frm (its first string's number in the phrase), n, bytes.
+_SEGMENT = ("grp", "low", "high", "key", "sup", "at", "frm", "n", "bytes")
+
+
+def _split(hot: DataFrame, span: int, ways: int = 4) -> DataFrame:
+    """Segments dealt anew: each one's strings in up to ``ways`` ranges of how far before the trigger they start.
+
+    The bytes that all strings of a range cover, and the range, make the new grp, so equal strings stay together."""
+    wide = F.greatest(F.lit(1), F.expr(f"cast(ceil((high - low + 1) / {ways}) as int)"))
+    ranges = F.transform(F.sequence(F.col("low"), F.col("high"), wide), lambda a: F.struct(a.alias("a"), F.least(a + wide - 1, F.col("high")).alias("z")))
+    rows = hot.withColumn("r", F.explode(ranges)).withColumn("strings", F.length("bytes") - (span - 1))
+    # string o of a segment starts at - o before the trigger
+    rows = rows.withColumn("first", F.greatest(F.lit(0), F.col("at") - F.col("r.z"))).withColumn("last", F.least(F.col("strings") - 1, F.col("at") - F.col("r.a"))).where("first <= last")
+    own = F.expr(f"substring(bytes, first + 1, last - first + {span})")
+    shared = F.expr(f"substring(bytes, at - r.a + 1, {span} - r.z + r.a)")
+    return rows.select(F.xxhash64("grp", "r.a", shared).alias("grp"), F.col("r.a").alias("low"), F.col("r.z").alias("high"), "key", "sup", (F.col("at") - F.col("first")).alias("at"), (F.col("frm") + F.col("first")).alias("frm"), "n", own.alias("bytes"))
+
+
+def _by_range(hot: DataFrame, span: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Of segments of crowded groups: those that may now be compared, and key, sup, frm, cnt of those settled
+    by equal bytes."""
+    few, settled = [], []
+    while not hot.isEmpty():
+        dealt = written(_split(hot, span), "split-segments")
+        # one segment of each kind goes on, since others may hold some of its strings
+        kinds = written(dealt.groupBy("grp", "low", "high", "bytes", "at").agg(F.sum("n").alias("n"), F.min(F.struct("key", "sup", "frm")).alias("s")), "segment-kinds")
+        twice = kinds.where("n > 1").select("grp", "bytes")
+        settled.append(dealt.join(twice, ["grp", "bytes"], "left_semi").select("key", "sup", "frm", (F.length("bytes") - (span - 1)).alias("cnt")))
+        # written, so that the join reads both sides from plain exchanges and a crowded group can be split
+        sizes = written(kinds.groupBy("grp").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1"), "segment-groups")
+        open_ = written(kinds.join(sizes, "grp").select("grp", "low", "high", "s.key", "s.sup", "at", "s.frm", "n", "bytes", "kinds"), "open-segments")
+        few.append(open_.where(F.col("kinds") <= HELD).select(*_SEGMENT))
+        hot = open_.where(F.col("kinds") > HELD).select(*_SEGMENT)
+    return few, settled
 
 
 def repeats(docs: DataFrame, span: int = 200, gram: int = 64) -> DataFrame:
-    """doc (text key), starts, cnts, masks: the phrases of each text with strings that occur elsewhere.
+    """doc (text key), places (first, cnt, mask): runs of strings of each text that occur elsewhere.
 
-    Only texts that have some; a mask of null says all of the phrase's strings. Equal texts share a row."""
+    Only texts that have some; a mask of null says all of the run's strings. Equal texts share a row."""
     parsed = written(parse(docs, span, gram), "corpus-parse")
     # written, so that the join reads both sides from plain exchanges and a frequent gram can be split
     grams = written(parsed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "grams")
     shared = written(parsed.drop("doc").join(grams, "key"), "shared-grams")
 
-    by_phrase = written(shared.groupBy("key", "sup").agg(F.count("*").alias("n"), F.min(F.struct("uid", "first", "cnt")).alias("rep")), "distinct-phrases")
+    by_phrase = written(shared.groupBy("key", "sup").agg(F.count("*").alias("n"), F.min(F.struct("uid", "first", "cnt", "at")).alias("rep")), "distinct-phrases")
     by_gram = written(by_phrase.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1"), "unsure-grams")
     unsure = by_phrase.join(by_gram, "key").select("key", "sup", "n", "kinds", "rep.*")
     owners = parsed.select("uid", "doc").distinct()
@@ -306,17 +317,19 @@ def repeats(docs: DataFrame, span: int = 200, gram: int = 64) -> DataFrame:
     keyed = docs.withColumn("doc", _doc_key())
     # of equal texts any one will do; they are combined before the exchange
     texts = sieved(keyed, "doc", wanted).groupBy("doc").agg(F.first("text").alias("text"))
-    texts = texts.join(wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "sup", "n", "kinds", "first", "cnt")).alias("wanted")), "doc")
-    segments = written(texts.select(F.encode("text", "UTF-8").alias("data"), F.explode("wanted").alias("w")).select("w.key", "w.sup", "w.n", "w.kinds", F.expr("substring(data, cast(w.first + 1 as int), w.cnt + %d)" % (span - 1)).alias("bytes")), "segments")
-    few, many = segments.where(F.col("kinds") <= HELD), segments.where(F.col("kinds") > HELD)
-    masks = _compared(few, span)
-    if not many.isEmpty():
-        masks = masks.unionByName(_counted(many, span))
-    whole = by_phrase.where("n > 1").select("key", "sup", F.lit(None).cast("binary").alias("mask"))
-    known = written(masks.join(whole, ["key", "sup"], "left_anti").unionByName(whole), "known-phrases")
+    texts = texts.join(wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "sup", "n", "kinds", "first", "cnt", "at")).alias("wanted")), "doc")
+    bytes_ = F.expr(f"substring(data, cast(w.first + 1 as int), w.cnt + {span - 1})")
+    segments = texts.select(F.encode("text", "UTF-8").alias("data"), F.explode("wanted").alias("w"))
+    segments = segments.select(F.col("w.key").alias("grp"), F.lit(0).alias("low"), F.lit(span - gram).alias("high"), "w.key", "w.sup", "w.at", F.lit(0).alias("frm"), "w.n", bytes_.alias("bytes"), "w.kinds")
+    segments = written(segments, "segments")
+    few, settled = _by_range(segments.where(F.col("kinds") > HELD).select(*_SEGMENT), span)
+    whole = [by_phrase.where("n > 1").select("key", "sup", F.lit(0).alias("frm"), F.col("rep.cnt").alias("cnt")), *settled]
+    masks = _compared(reduce(DataFrame.unionByName, few, segments.where(F.col("kinds") <= HELD).select(*_SEGMENT)), span)
+    known = written(masks.unionByName(reduce(DataFrame.unionByName, whole).withColumn("mask", F.lit(None).cast("binary"))), "known-phrases")
 
-    places = shared.join(known, ["key", "sup"]).join(owners, "uid").groupBy("doc", "first").agg(F.first(F.struct("cnt", "mask")).alias("p"))
-    return places.groupBy("doc").agg(F.collect_list(F.struct("first", "p.cnt", "p.mask")).alias("places"))
+    places = shared.join(known.withColumnRenamed("cnt", "run"), ["key", "sup"]).join(owners, "uid")
+    places = places.groupBy("doc", (F.col("first") + F.col("frm")).alias("first"), "run").agg(F.first("mask").alias("mask"))
+    return places.groupBy("doc").agg(F.collect_list(F.struct("first", F.col("run").alias("cnt"), "mask")).alias("places"))
 
 
 def covered(n: int, places: list[dict] | None, span: int) -> list[tuple[int, int]]:
@@ -370,7 +383,7 @@ def removal_digests(docs: DataFrame, span: int = 200, gram: int = 64) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     touched, clear = with_places(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), span, gram)
-    return touched.unionByName(clear).select("row.doc_id", "text", "places").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return touched.unionByName(clear).select("row.doc_id", "text", "places").mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, span: int = 200, gram: int = 64) -> DataFrame:
@@ -379,15 +392,21 @@ def without_repeats(docs: DataFrame, span: int = 200, gram: int = 64) -> DataFra
     Rows stay, also those left with an empty text; other columns stay as they are."""
     columns = docs.columns
 
-    @F.udf("string")
-    def cut(text, places):
-        data, at, kept = text.encode("utf-8"), 0, []
-        for low, high in covered(len(data), places and [p.asDict() for p in places], span):
-            kept.append(data[at:low].decode("utf-8", "ignore"))
-            at = high
-        return "".join([*kept, data[at:].decode("utf-8", "ignore")])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, texts = batch.slice(at, 256), []
+                for text, places in zip(part.column(1), part.column(2), strict=True):
+                    data, low_end, kept = text.as_py().encode("utf-8"), 0, []
+                    for low, high in covered(len(data), places.as_py(), span):
+                        kept.append(data[low_end:low].decode("utf-8", "ignore"))
+                        low_end = high
+                    texts.append("".join([*kept, data[low_end:].decode("utf-8", "ignore")]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
     touched, clear = with_places(docs, span, gram)
-    rows = touched.withColumn("text", cut("text", "places")).unionByName(clear)
+    touched = touched.withColumn("row", F.col("row").dropFields("text"))
+    touched = touched.mapInArrow(lean(cut), StructType([touched.schema["row"], StructField("text", StringType())]))
+    rows = touched.unionByName(clear.select(F.col("row").dropFields("text").alias("row"), "text"))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])
