@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; without one, a temporary folder where driver and tasks are one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='cairn-heap-')}"
         spark.conf.set("spark.checkpoint.dir", where)
         spark.sparkContext.setCheckpointDir(where)
@@ -19,12 +26,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write and reread: cuts the lineage of a loop, and a lost executor costs a reread only."""
+    """Write and reread: cuts the lineage of a loop, and a lost executor costs a reread only. The table is removed
+    when the driver's Python ends."""
     path = f"{shared_folder(df.sparkSession)}/heap-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove_written() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session may be gone already; the folder's owner removes what is left
+            pass
+
+
+atexit.register(_remove_written)
+
+
 def one_row(*frames: DataFrame) -> DataFrame:
     """The columns of several one-row tables as one row. Each is worked out on its own: together they would
     make one plan of very many joins."""
