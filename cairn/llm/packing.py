@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cairn.llm._common import lean, text_or_empty, trim
+from cairn.llm.bpe import byte_letters
 
 #: Documents whose remainders are packed together: at most this many times the sequence length in tokens.
 BUCKET_DOCUMENTS = 4096
@@ -37,29 +38,33 @@ _SETTLED = re.compile("[\x00-\u024f\u2000-\u2064]*")
 #: Fixed value: how byte-level vocabularies of this family split a text into words, each encoded by itself.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^{_SPACES}{_LETTERS}{_DIGITS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 #: Words whose ids are kept in each of two generations of a worker's cache, and their longest.
-KEPT, LONGEST = 120_000, 48
+KEPT, LONGEST = 150_000, 48
+WIDE = np.dtype("<u4")
 
 
 class _Words(dict):
-    """The library's ids of words, worked out where they are first met; those met lately are kept."""
+    """Words' ids as bytes, by the library's model where they are first met; those met lately are kept."""
 
-    def __init__(self, encode):
+    def __init__(self, model):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.tokenize, self.old, self.letters = model.tokenize, {}, dict(enumerate(byte_letters()))
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.old.get(word) or self.encode(word, add_special_tokens=False).ids
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            pieces = self.tokenize(word.encode("utf-8").decode("latin-1").translate(self.letters))
+            found = np.array([t.id for t in pieces], WIDE).tobytes()
         if len(word) <= LONGEST:
             if len(self) >= KEPT:
                 self.old = dict(self)
                 self.clear()
-            self[word] = ids
-        return ids
+            self[word] = found
+        return found
 
 
 class ByteTokenizer:
-    """The ids of a byte-level tokenizer file. They all come from the library: word by word, kept between texts, where
-    it is sure how it splits the text (no special token, no disputed letters), else of the whole text."""
+    """The ids of a byte-level tokenizer file. They all come from the library: from its model word by word, kept between
+    texts, where its split of the text is sure (no special token, no disputed letters), else of the whole text."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
@@ -69,12 +74,12 @@ class ByteTokenizer:
             spec = json.load(file)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.plain = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        self.words, self.split = _Words(self.library.encode), re.compile(WORDS).findall
+        self.words, self.split = _Words(self.library.model), re.compile(WORDS).findall
 
-    def ids(self, text: str) -> list[int]:
+    def ids(self, text: str) -> np.ndarray:
         if self.plain and _SETTLED.fullmatch(text) and not any(t in text for t in self.special):
-            return list(chain.from_iterable(map(self.words.__getitem__, self.split(text))))
-        return self.library.encode(text, add_special_tokens=False).ids
+            return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))), WIDE)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, WIDE)
 
 
 @functools.lru_cache(maxsize=4)
@@ -115,7 +120,7 @@ def pack_documents(docs: DataFrame, path: str, length: int = 2048, end_id: int =
     """
     buckets = max(1, -(-docs.count() // BUCKET_DOCUMENTS))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("row"))
-    wide = np.dtype("<u4")
+    wide = WIDE
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).ids
@@ -124,7 +129,7 @@ def pack_documents(docs: DataFrame, path: str, length: int = 2048, end_id: int =
                 part = batch.slice(at, 256)
                 whole, rest, counts = [], [], []
                 for text in part.column(1).to_pylist():
-                    ids = np.array([*encode(text), end_id], wide)
+                    ids = np.append(encode(text), wide.type(end_id))
                     full = len(ids) // length
                     whole.append(np.array([zlib.crc32(ids[k * length : (k + 1) * length]) for k in range(full)], wide).tobytes())
                     tail = ids[full * length :]
