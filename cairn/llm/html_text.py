@@ -1,15 +1,16 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 A page is stripped to lines, one for each block of running text, with inline markup gone and character
-references decoded. A line's weight is its text's length, or zero where the page itself says that
-it is furniture: menus, footers, forms, adverts, comments and the like, by element, role, class or id, and,
-on pages that mark an article, whatever is outside of it, unless text surges there that is longer than the
-article. On other pages link text weighs nothing either.
-
-Weights are summed over a sliding window of lines. The text begins at a surge, a line from which the sum
-passes the threshold, and ends at a dive, where a whole window weighs nothing; short gaps, such as an advert
-between two paragraphs, don't end it. Weighted lines between surges and dives are kept, in page order.
-Without a marked article all lines but furniture are, from the first surge to the last dive.
+references decoded. What its elements say for certain (menus, footers, scripts, form controls, hidden parts) is left out.
+Every other line has a weight: the length of its text outside of links. A marked article adds to the weight of its lines.
+Class names and ids only lower it: a little where a name is loose (tags, legal, side), much where it is
+plain (advert, sidebar, comments); so does being outside of the article that a page marks.
+
+Weights are summed over a sliding window of lines, for each run of lines that are weighed alike: those of the page
+and, by itself, each element that a name lowers. Text begins at a surge, a line from which the sum passes the
+threshold, and ends at a dive, where a whole window weighs nothing; short gaps don't end it. In the page's own run all
+lines between its first surge and last dive are text, links and short ones too; in a lowered run, only what surges in
+spite of its name, which a line of an advert doesn't and paragraphs in a badly named element do.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from cairn.llm._common import by_batch
 
 #: Lines in a block.
 WINDOW = 3
-#: Weight at which a block is a surge on a page that marks no article.
+#: Weight at which a block is a surge.
 SURGE = 40
+#: What is left of a weight in an element with a loose name, with a plain one, and outside of a marked article.
+LOOSE, PLAIN, OUTSIDE = 0.15, 0.01, 0.2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "template")}
@@ -37,17 +40,22 @@ _IMPLIED = {"p": _BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]),
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|\b(hidden)\b")
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist status".split())
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|adslot|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|notification\w*|alerts?|popup|modal|overlay|newsletter|subscri\w*|signup|"
-    r"menu\w*|nav|navbar|navigation|breadcrumbs?|sidebar|side|aside|rail|related|recommend\w*|trending|share|sharing|social|footer|foot|header|masthead|topbar|comments?|commentlist|reply|replies|respond|disqus|discussion|"
-    r"widgets?|toolbar|pagination|pager|login|search|searchbox|skip|copyright|disclaimer|legal|tags|toc|byline-bar|form|paywall)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|adslot|banner|sponsor\w*|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscri\w*|signup|"
+    r"menu\w*|nav|navbar|navigation|breadcrumbs?|sidebar|rail|recommend\w*|trending|footer|foot|header|masthead|topbar|comments?|commentlist|reply|replies|respond|disqus|"
+    r"toolbar|pagination|pager|login|searchbox|skip|paywall)(?:$|[\s_-])",
+    re.I,
+)
+#: Names that elements with text of the article may bear as well.
+_LOOSE_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:promo\w*|notices?|notification\w*|alerts?|side|aside|related|share|sharing|social|widgets?|search|copyright|disclaimer|legal|tags|toc|byline-bar|form|discussion)(?:$|[\s_-])",
     re.I,
 )
 #: Names that say something of a layout, not of the element: has-sidebar, header-fixed, comments-open.
 _MODIFIERS = re.compile(r"(?:^|(?<=[\s_-]))(?:(?:has|with|without|no|not|is)[_-][a-z]+|(?:sticky|fixed)[_-](?:header|nav|navbar|footer|sidebar)|(?:header|nav|navbar|footer|sidebar|menu)[_-](?:fixed|sticky|static|left|right|open|closed)|comments?[_-](?:open|closed)|search[_-]results?)(?=$|[\s_-])", re.I)
-#: Names of what readers write; it stays furniture even where it is longer than the text.
+#: Names of what readers write or what leads elsewhere; it stays out even where it is longer than the text.
 _TALK = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|reply|replies|respond|disqus|discussion|related|recommend\w*)(?:$|[\s_-])", re.I)
-#: Marks of an element: none, furniture, by its name only, by its name and of readers.
-_NOT, _SURE, _NAMED, _TALKED = range(4)
+#: Marks of an element: none, furniture, by a loose name, by a plain one, by one of readers.
+_NOT, _SURE, _LOOSELY, _NAMED, _TALKED = range(5)
 
 
 def _furniture(tag: str, attributes: str, in_article: bool) -> int:
@@ -55,7 +63,7 @@ def _furniture(tag: str, attributes: str, in_article: bool) -> int:
         return _SURE
     if tag == "header":
         return _NOT if in_article else _SURE
-    mark = _NAMED if tag == "form" else _NOT
+    mark = _LOOSELY if tag == "form" else _NOT
     if not attributes or tag in ("html", "body", "main"):
         return mark
     for name, value, hidden in _ATTRIBUTE.findall(attributes):
@@ -66,14 +74,20 @@ def _furniture(tag: str, attributes: str, in_article: bool) -> int:
             return _SURE
         if name in ("class", "id"):
             value = _MODIFIERS.sub("", value)
-            if _NAMES.search(value if tag != "article" else re.sub(r"(?i)header|footer|social|share|tags|promo\w*|legal|notice", "", value)):
+            if tag == "article":
+                value = re.sub(r"(?i)header|footer|social|share|tags|promo\w*|legal|notice", "", value)
+            if _NAMES.search(value):
                 mark = max(mark, _TALKED if _TALK.search(value) else _NAMED)
+            elif _LOOSE_NAMES.search(value):
+                mark = max(mark, _LOOSELY)
     return mark
 
 
 def _cleared(lines: list[tuple[str, int, tuple[int, ...], bool]], marks: list[int]) -> set[int]:
-    """The elements that are furniture by name only but hold the page's article or most of its text."""
+    """The elements that a name lowers but that hold the page's article or, where none is marked, most of its text."""
     open_lines = [(text, links, f, article) for text, links, f, article in lines if all(marks[k] != _SURE for k in f)]
+    if any(article and not f for _, _, f, article in open_lines):
+        return set()
     total, held, with_article = 0, {}, set()
     for text, links, f, article in open_lines:
         size = max(0, len(text) - links)
@@ -82,16 +96,18 @@ def _cleared(lines: list[tuple[str, int, tuple[int, ...], bool]], marks: list[in
             held[k] = held.get(k, 0) + size
             if article:
                 with_article.add(k)
-    cleared = {k for k, size in held.items() if 2 * size > total and marks[k] == _NAMED}
-    if not any(article and all(k in cleared for k in f) for _, _, f, article in open_lines):
-        cleared |= {k for k in with_article if marks[k] == _NAMED}
+    cleared = {k for k in with_article if marks[k] != _TALKED}
+    if any(article and all(k in cleared for k in f) for _, _, f, article in open_lines):
+        return cleared
+    cleared |= {k for k, size in held.items() if 2 * size > total and marks[k] != _TALKED}
     if not any(all(k in cleared for k in f) for _, _, f, _ in open_lines):
         cleared |= {k for k, size in held.items() if 2 * size > total}
     return cleared
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters of it in links, furniture, in an article) of each block of running text."""
+def lines_of(html: str) -> list[tuple[str, int, int, float, bool]]:
+    """(text, characters of it in links, run, share of its weight that is left, in an article) of each block of
+    running text that isn't furniture for certain. Run -1 is the page's; others are elements that a name lowers."""
     found, parts, links, at, in_link = [], [], 0, 0, False
     marks: list[int] = []  # of furniture, in page order
     within: list[int] = []  # the open ones
@@ -167,10 +183,16 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
         take(html[at:])
     end_line()
     cleared = _cleared(found, marks)
-    return [(text, links, any(k not in cleared for k in f), article) for text, links, f, article in found]
+    out = []
+    for text, line_links, f, article in found:
+        if all(marks[k] != _SURE for k in f):
+            lowered = [k for k in f if k not in cleared]
+            share = min([LOOSE if marks[k] == _LOOSELY else PLAIN for k in lowered], default=1.0)
+            out.append((text, line_links, lowered[0] if lowered else -1, share, article))
+    return out
 
 
-def between(weights: list[int], surge: int, window: int = WINDOW) -> list[int]:
+def between(weights: list[float], surge: float, window: int = WINDOW) -> list[int]:
     """The lines with weight that lie between a surge and the next dive."""
     n = len(weights)
     ahead = [sum(weights[i : i + window]) for i in range(n)] + [0]
@@ -189,18 +211,24 @@ def between(weights: list[int], surge: int, window: int = WINDOW) -> list[int]:
 def main_text(html: str) -> str:
     """The page's main text, blocks joined by one newline; empty if there is none."""
     lines = lines_of(html)
-    inside = sum(len(text) for text, _, furniture, article in lines if article and not furniture)
-    plain = [0 if furniture or article else max(0, len(text) - links) for text, links, furniture, article in lines]
-    marked = 0 < inside >= sum(plain[i] for i in between(plain, SURGE))  # else the article is a teaser beside the text
-    if marked:
-        weights = [len(text) if article and not furniture else 0 for text, _, furniture, article in lines]
-    else:
-        weights = [0 if furniture else max(0, len(text) - links) for text, links, furniture, _ in lines]
-    surge = 1 if marked else min(SURGE, max(1, max(weights, default=1)))
-    kept = between(weights, surge)
-    if not marked and kept:  # links and short lines between the first surge and the last dive are text as well
-        kept = [i for i in range(kept[0], kept[-1] + 1) if not lines[i][2]]
-    return "\n".join(lines[i][0] for i in kept)
+    plain = [max(0, len(text) - links) for text, links, *_ in lines]
+    inside = sum(n for n, (_, _, run, _, article) in zip(plain, lines, strict=True) if article and run < 0)
+    others = [n for n, (_, _, run, _, article) in zip(plain, lines, strict=True) if not article and run < 0]
+    beside = sum(others[i] for i in between(others, SURGE))
+    runs: dict[tuple[int, bool], list[int]] = {}
+    for i, (_, _, run, _, article) in enumerate(lines):
+        runs.setdefault((run, article and run < 0), []).append(i)
+    kept: set[int] = set()
+    for (run, article), own in runs.items():
+        outside = run < 0 and inside > 0 and not article and beside <= inside  # else the article is a teaser beside the text
+        weights = [len(lines[i][0]) + SURGE if article else plain[i] * lines[i][3] * (OUTSIDE if outside else 1) for i in own]
+        whole = run < 0 and not outside
+        surge = min(SURGE, max(1, max(weights, default=1))) if whole else SURGE
+        found = between(weights, surge)
+        if found and whole:  # links and short lines between the first surge and the last dive are text as well
+            found = list(range(found[0], found[-1] + 1))
+        kept |= {own[k] for k in found}
+    return "\n".join(lines[i][0] for i in sorted(kept))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+
+from cairn.llm import html_text
 from cairn.llm.html_text import between, extract, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p><article>no";</script></head>
@@ -73,3 +76,48 @@ def test_links_and_short_lines_within_the_text():
     page = f"<p><a href=1>Menu</a></p><p><a href=2>Menu</a></p><p><a href=3>Menu</a></p><p>{long} 1.</p><ul>{links}</ul><h2>Why</h2><ul>{links}</ul><div class=ad>Buy</div><p>{long} 2.</p><p>{long} 3.</p>"
     sources = [f"Source {i}" for i in range(4)]
     assert main_text(page) == "\n".join([f"{long} 1.", *sources, "Why", *sources, f"{long} 2.", f"{long} 3."])
+
+
+def test_paragraphs_in_badly_named_elements():
+    long = "A paragraph with quite some running text in it, and with a second clause that makes it a longer one, number"
+    body = "".join(f"<p>{long} {i}.</p>" for i in range(4))
+    want = "\n".join(["Title", *(f"{long} {i}." for i in range(4)), "Last."])
+    for name in ("tags", "share", "toc", "side", "legal", "related-work", "content side", "notice"):
+        assert main_text(f"<article><h1>Title</h1><div class='{name}'>{body}</div><p>Last.</p></article>") == want, name
+    for name in ("ad", "sidebar", "comments", "newsletter", "tags", "share"):
+        assert main_text(f"<article><h1>Title</h1><div class='{name}'><p>One or two words, perhaps a sentence.</p></div>{body}<p>Last.</p></article>") == want, name
+
+
+def test_advert_longer_than_a_short_article():
+    assert main_text("<div class=ad>Buy this now, it is very good and quite cheap as well.</div><article><h1>Short title.</h1></article>") == "Short title."
+
+
+def test_windows_against_their_definition():
+    rng = random.Random(8)
+    for _ in range(300):
+        w = [rng.choice([0, 0, 3, 12, 45]) for _ in range(rng.randint(0, 14))]
+        n, surge = len(w), rng.choice([1, 20, 40])
+        ahead = lambda i: sum(w[i : i + 3])  # noqa: B023,E731
+        # a line is text if a surge lies at or before it with no dive between
+        want = [j for j in range(n) if w[j] and any(w[i] and ahead(i) >= surge and all(ahead(k) for k in range(i, j + 1)) for i in range(j + 1))]
+        assert between(w, surge) == want
+
+
+def test_known_texts_with_and_without_windows(spark, monkeypatch):
+    rng = random.Random(3)
+    sentence = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(k)).capitalize() + "."
+    rows, want = [], {}
+    for i in range(120):
+        title, body = sentence(6), [sentence(rng.randint(8, 60)) for _ in range(rng.randint(1, 9))]
+        aside = f"<div class='{rng.choice(['ad', 'sidebar', 'promo', 'cookie-notice', 'tags'])}'>{sentence(5)}</div>"
+        inner = "".join(f"<p>{p}</p>" + (aside if rng.random() < 0.3 else "") for p in body)
+        inner = f"<h1>{title}</h1>{inner}"
+        inner = f"<article>{inner}</article>" if i % 2 else f"<div class='{rng.choice(['post', 'content', 'entry'])}'>{inner}</div>"
+        talk = "".join(f"<p>{sentence(30)}</p>" for _ in range(2))
+        rows.append((i, "u", f"<html><body><nav><a href=/>Home</a></nav>{aside}{inner}<div id=comments>{talk}</div><footer>{sentence(9)}</footer></body></html>", "x"))
+        want[i] = "\n".join([title, *body])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = {r.page_id: r.text for r in extract(pages).collect()}
+    assert got == want
+    monkeypatch.setattr(html_text, "between", lambda weights, surge: list(range(len(weights))))
+    assert sum(main_text(html) != want[i] for i, _, html, _ in rows) == len(rows)  # surge and dive decide on every page
