@@ -1,22 +1,28 @@
-"""Operators on object graphs: reachability, dominators, retained sizes.
+"""Operators on object graphs: dominators, retained sizes, forests, descent.
 
 A graph is three tables: nodes (obj_id, shallow, class_row, repr_row), edges (src, dst) and roots (obj_id). The
 virtual root that all roots hang from is -1; unreachable nodes have no immediate dominator (null).
+
+Only immediate dominators are kept, no paths, so a tree of any depth costs the same for each node. What depends
+on whole paths (depth, retained size, numbering) is found by pointer doubling: each round, a node's sums take in those of
+the nodes 2^k below it and its pointer moves 2^k up, so a chain of a million nodes takes twenty rounds.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.plans.tables import written
 
 VROOT = -1
-#: A node's predecessors are intersected in this many parts before the parts are, so that a hub with very many
-#: of them isn't gathered in one task.
+#: Where pointers end that don't lead to a root.
+DEAD = -2
+#: Parts that the children of one node, or the nodes of one class, are numbered in, so that no task sorts them all.
 PARTS = 1024
-#: Rounds of the path loop after which the graph counts as deep and goes to the kernel.
-ROUNDS = 60
 
 
 def union_edges(*tables: DataFrame) -> DataFrame:
@@ -31,138 +37,210 @@ def transposed(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """obj_id of all nodes that edges lead to from roots: a frontier loop, one written table a step."""
-    seen = written(roots.select("obj_id").distinct(), "reached")
-    frontier = seen
-    while not frontier.isEmpty():
-        met = edges.join(frontier.withColumnRenamed("obj_id", "src"), "src").select(F.col("dst").alias("obj_id")).distinct()
-        frontier = written(met.join(seen, "obj_id", "left_anti"), "frontier")
-        seen = written(seen.unionByName(frontier), "reached")
-    return seen
-
-
-def _common(rows: DataFrame) -> DataFrame:
-    """dst, path: what all predecessors' paths (dst, src, path) have in common, in the paths' order."""
-    meet = F.aggregate(F.slice("paths", 2, F.size("paths")), F.element_at("paths", 1), lambda a, b: F.array_intersect(a, b))
-    parts = rows.groupBy("dst", F.pmod(F.xxhash64("src"), F.lit(PARTS)).alias("part")).agg(F.collect_list("path").alias("paths")).select("dst", meet.alias("path"))
-    return parts.groupBy("dst").agg(F.collect_list("path").alias("paths")).select("dst", meet.alias("path"))
-
-
-def _extended(common: DataFrame) -> DataFrame:
-    return common.select(F.col("dst").alias("obj_id"), F.array_append(F.array_remove("path", F.col("dst")), F.col("dst")).alias("path"))
-
-
-def dominator_paths(edges: DataFrame, roots: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """obj_id, path: a reachable node's dominators in order, itself last.
+def immediate_dominators(edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """obj_id, idom of reachable nodes with successors, and of those without.
 
     Roots hang from the virtual root, so edges into roots and loops change nothing and go first; that removes
-    the edges of most hubs. Unreachable nodes never get a path, so their edges join nothing. Nodes without successors can't change any other
-    and wait for the end. For the rest, a node's path is what its predecessors' paths have in common and
-    itself, until nothing changes; only nodes behind a changed one are worked out again. A graph that isn't
-    done in ``rounds`` goes to the kernel.
+    the edges of most hubs. A node with one predecessor is dominated by it. Only where a node with successors has
+    several predecessors do the edges among such nodes go to the kernel. Nodes without successors dominate
+    nothing: theirs is the nearest common dominator of their predecessors, found in the tree of the others.
     """
-    starts = roots.select("obj_id").distinct()
-    live = written(edges.where("src != dst").select("src", "dst").distinct().join(starts.withColumnRenamed("obj_id", "dst"), "dst", "left_anti"), "live-edges")
-    inner = written(live.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"), "inner-edges")
-    paths = written(starts.select("obj_id", F.array("obj_id").alias("path"), F.lit(True).alias("changed")), "paths")
-    n = 0
-    while not (changed := paths.where("changed")).isEmpty():
-        n += 1
-        if n > rounds:
-            paths = kernel_paths(inner, starts)
-            break
-        behind = inner.join(changed.select(F.col("obj_id").alias("src")), "src", "left_semi").select("dst").distinct()
-        known = inner.join(behind, "dst", "left_semi").join(paths.select(F.col("obj_id").alias("src"), "path"), "src")
-        new = _extended(_common(known)).withColumnRenamed("path", "new")
-        moved = F.col("new").isNotNull() & (F.col("path").isNull() | (F.array_sort("path") != F.array_sort("new")))
-        # one table a round: the paths so far, those found anew, and which of them differ
-        paths = written(paths.drop("changed").join(new, "obj_id", "full").select("obj_id", F.coalesce("new", "path").alias("path"), moved.alias("changed")), "paths")
-    paths = paths.select("obj_id", "path")
-    outer = live.join(inner.select("dst").distinct(), "dst", "left_anti")
-    ends = _extended(_common(outer.join(paths.withColumnRenamed("obj_id", "src"), "src")))
-    return paths.unionByName(ends)
-
-
-def kernel_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """As ``dominator_paths`` for deep graphs: one task holds the inner edges (leaves peeled off before) and
-    finds semidominators and nearest common ancestors. Its memory, some 200 bytes an edge, is the limit."""
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        is_root = rows["src"] == VROOT
-        idom = immediate_dominators_of(rows["dst"][is_root].tolist(), list(zip(rows["src"][~is_root], rows["dst"][~is_root], strict=True)))
-        out, found = [], {VROOT: []}
-        for v in idom:  # in depth-first order, so dominators come first
-            found[v] = [*found[idom[v]], v]
-            out.append((v, found[v]))
-        return pd.DataFrame(out, columns=["obj_id", "path"])
-
-    both = edges.select("src", "dst").unionByName(roots.select(F.lit(VROOT).cast("long").alias("src"), F.col("obj_id").alias("dst")))
-    return written(both.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "obj_id long, path array<long>"), "kernel-paths")
-
-
-def immediate_dominators_of(roots: list[int], edges: list[tuple[int, int]]) -> dict[int, int]:
-    """Immediate dominators of the nodes reachable from roots, in depth-first order, by semidominators."""
-    after: dict[int, list[int]] = {}
-    for a, b in edges:
-        after.setdefault(a, []).append(b)
-    after[VROOT] = list(dict.fromkeys(roots))
-    order, parent, number = [], {VROOT: VROOT}, {}
-    stack = [(VROOT, VROOT)]
-    while stack:
-        v, p = stack.pop()
-        if v in number:
-            continue
-        number[v], parent[v] = len(order), p
-        order.append(v)
-        stack += [(w, v) for w in reversed(after.get(v, [])) if w not in number]
-    before: dict[int, list[int]] = {}
-    for v in order:
-        for w in after.get(v, []):
-            before.setdefault(w, []).append(v)
-    semi, label, above = dict(number), {v: v for v in order}, {}
-
-    def least(v: int) -> int:
-        """The node of smallest semidominator on the linked way above v, which is shortened."""
-        way = []
-        while v in above and above[v] in above:
-            way.append(v)
-            v = above[v]
-        for w in reversed(way):
-            u = above[w]
-            if semi[label[u]] < semi[label[w]]:
-                label[w] = label[u]
-            above[w] = above[u]
-        return label[way[0]] if way else label[v]
-
-    for w in reversed(order[1:]):
-        for v in before.get(w, []):
-            u = v if number[v] < number[w] or v not in above else least(v)
-            semi[w] = min(semi[w], semi[u] if u in above or number[u] > number[w] else number[u])
-        above[w] = parent[w]
-    idom = {}
-    for w in order[1:]:
-        d = parent[w]
-        while number[d] > semi[w]:
+    starts = written(roots.select("obj_id").distinct(), "starts")
+    live = edges.where("src != dst").select("src", "dst").distinct().join(starts.withColumnRenamed("obj_id", "dst"), "dst", "left_anti")
+    live = written(live, "live-edges")
+    inner_ids = live.select(F.col("src").alias("dst")).distinct()
+    inner = written(live.join(inner_ids, "dst", "left_semi").groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("src")), "inner-nodes")
+    if inner.where("n > 1").isEmpty():
+        hung = inner.select(F.col("dst").alias("obj_id"), F.col("src").alias("idom"))
+    else:
+        hung = kernel_dominators(live.join(inner_ids, "dst", "left_semi"), starts)
+    hung = written(hung.unionByName(starts.select("obj_id", F.lit(VROOT).cast("long").alias("idom"))), "inner-dominators")
+    outer = live.join(inner.select("dst"), "dst", "left_anti")
+    return hung, outer
+
+
+def kernel_dominators(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """obj_id, idom of nodes behind ``starts``: one task holds the edges among nodes with successors, whose number is its
+    limit (some 250 bytes each), and finds semidominators and nearest common ancestors."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        src, dst = rows.column("src").to_numpy(), rows.column("dst").to_numpy()
+        ids, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        s, d = at[: len(src)], at[len(src) :]
+        top = int(np.searchsorted(ids, VROOT))
+        order = np.argsort(s, kind="stable")
+        begin = np.searchsorted(s[order], np.arange(len(ids) + 1))
+        found = semidominators(begin.tolist(), d[order].tolist(), top)
+        nodes = np.fromiter((v for v in range(len(ids)) if found[v] >= 0 and v != top), np.int64)
+        doms = np.fromiter((found[v] for v in nodes.tolist()), np.int64, len(nodes))
+        return pa.table({"obj_id": pa.array(ids[nodes]), "idom": pa.array(ids[doms] if len(doms) else doms)})
+
+    both = edges.select("src", "dst").unionByName(starts.select(F.lit(VROOT).cast("long").alias("src"), F.col("obj_id").alias("dst")))
+    found = written(both.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "obj_id long, idom long"), "kernel")
+    return found.join(starts, "obj_id", "left_anti")
+
+
+def semidominators(begin: list[int], after: list[int], top: int) -> list[int]:
+    """For nodes 0 to n - 1, of which v's successors are after[begin[v]:begin[v + 1]]: the immediate dominator, -1
+    where ``top`` doesn't lead. Ancestors are shortened on the way, as in the simple form of the published method."""
+    n = len(begin) - 1
+    number, parent, order = [-1] * n, [-1] * n, []  # by depth first
+    todo = [(top, -1)]
+    while todo:
+        v, p = todo.pop()
+        if number[v] < 0:
+            number[v], parent[v] = len(order), p
+            order.append(v)
+            todo += [(w, v) for w in reversed(after[begin[v] : begin[v + 1]]) if number[w] < 0]
+    # from here on nodes go by their depth-first numbers
+    m = len(order)
+    up = [0] + [number[parent[v]] for v in order[1:]]
+    before: list[list[int]] = [[] for _ in range(m)]
+    for k, v in enumerate(order):
+        for w in after[begin[v] : begin[v + 1]]:
+            before[number[w]].append(k)
+    semi, label, above = list(range(m)), list(range(m)), [-1] * m
+    for w in range(m - 1, 0, -1):
+        least = w
+        for v in before[w]:
+            if above[v] < 0:
+                least = min(least, semi[v])
+                continue
+            way = []
+            x = v
+            while above[above[x]] >= 0:
+                way.append(x)
+                x = above[x]
+            for y in reversed(way):
+                a = above[y]
+                if semi[label[a]] < semi[label[y]]:
+                    label[y] = label[a]
+                above[y] = above[a]
+            least = min(least, semi[label[v]])
+        semi[w] = least
+        above[w] = up[w]
+    idom = up
+    for w in range(1, m):
+        d = idom[w]
+        while d > semi[w]:
             d = idom[d]
         idom[w] = d
-    return idom
-
+    out = [-1] * n
+    for k in range(m):
+        out[order[k]] = order[idom[k]]
+    return out
 
-def dominator_tree(nodes: DataFrame, edges: DataFrame, roots: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``nodes`` with idom, depth, dom_path, retained and same_class; the first four null where unreachable.
 
-    same_class says that a proper dominator has the node's class, or is the class object of it.
+def immediate_dominators_of(roots: list[int], edges: list[tuple[int, int]]) -> dict[int, int]:
+    """Immediate dominators of the nodes reachable from roots, all held in memory."""
+    ids = sorted({VROOT, *roots, *(x for e in edges for x in e)})
+    at = {v: k for k, v in enumerate(ids)}
+    after: list[list[int]] = [[] for _ in ids]
+    for a, b in [*((VROOT, r) for r in roots), *edges]:
+        after[at[a]].append(at[b])
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in after])]).tolist()
+    found = semidominators(begin, [w for x in after for w in x], at[VROOT])
+    return {ids[v]: ids[d] for v, d in enumerate(found) if d >= 0 and ids[v] != VROOT}
+
+
+def _doubled(rows: DataFrame, sums: list[str], along: list[str], name: str) -> tuple[DataFrame, list[DataFrame]]:
+    """``rows`` (obj_id, up, measures) with ``sums`` added up over all below and ``along`` added up over the way to the
+    top, and the tables of each round before. At last ``up`` says where the way ends: VROOT, or DEAD.
+
+    Rings of nodes that nothing leads into have no end; they are given up when no chain could be as long."""
+    rows = written(rows, name)
+    most, rounds = rows.count(), []
+    ended = F.col("up").isin(VROOT, DEAD)
+    while (1 << len(rounds)) <= 2 * most and not rows.where(~ended).isEmpty():
+        rounds.append(rows)
+        if sums:
+            more = rows.where(~ended).groupBy(F.col("up").alias("obj_id")).agg(*[F.sum(c).alias(f"more_{c}") for c in sums])
+        over = rows.select(F.col("obj_id").alias("up"), F.col("up").alias("next"), *[F.col(c).alias(f"over_{c}") for c in along])
+        met = rows.join(over, "up", "left")
+        if sums:
+            met = met.join(more, "obj_id", "left")
+        new = {c: F.col(c) + F.coalesce(f"more_{c}", F.lit(0)) for c in sums} | {c: F.col(c) + F.coalesce(f"over_{c}", F.lit(0)) for c in along}
+        moved = F.when(ended, F.col("up")).otherwise(F.coalesce("next", F.lit(DEAD)))
+        rows = written(met.select(*[moved.alias("up") if c == "up" else new.get(c, F.col(c)).alias(c) for c in rows.columns]), name)
+    return rows, rounds
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (obj_id, idom, size) with ahead: 1 and the sizes of the siblings before, added up in parts."""
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("obj_id"), F.lit(PARTS)))
+    parts = rows.groupBy("idom", "part").agg(F.sum("size").alias("s"))
+    before = parts.withColumn("parts_ahead", F.coalesce(F.sum("s").over(W.partitionBy("idom").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("s")
+    own = F.coalesce(F.sum("size").over(W.partitionBy("idom", "part").orderBy("obj_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("own_ahead", own).join(before, ["idom", "part"]).withColumn("ahead", 1 + F.col("own_ahead") + F.col("parts_ahead")).drop("part", "own_ahead", "parts_ahead")
+
+
+def _nearest_common(pairs: DataFrame, inner: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """``pairs`` (dst, a, b) with idom, the nearest node of ``inner`` (obj_id, idom, pre, pre_end) that is over or at both; a.pre <= b.pre."""
+    spans = inner.select("obj_id", "pre", "pre_end")
+    far = spans.select(F.col("obj_id").alias("b"), F.col("pre").alias("at"))
+    at = pairs.join(far, "b").join(spans.withColumnRenamed("obj_id", "a"), "a")
+    over = (F.col("pre") <= F.col("at")) & (F.col("at") < F.col("pre_end"))
+    done = at.where(over).select("dst", F.col("a").alias("idom"))
+    left = at.where(~over).select("dst", "a", "at")
+    for table in reversed(rounds):  # up by 2^k while still not over b
+        jump = table.where(~F.col("up").isin(VROOT, DEAD)).select(F.col("obj_id").alias("a"), "up").join(spans.withColumnRenamed("obj_id", "up"), "up")
+        left = left.join(jump, "a", "left").select("dst", F.when(F.col("up").isNotNull() & ~over, F.col("up")).otherwise(F.col("a")).alias("a"), "at")
+    return done.unionByName(left.join(inner.select(F.col("obj_id").alias("a"), "idom"), "a").select("dst", "idom"))
+
+
+def dominator_tree(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``nodes`` with idom, depth, retained, below (objects it dominates, itself included), same_class, and at, pre,
+    pre_end; all but same_class null where unreachable.
+
+    same_class says that a proper dominator has the node's class, or is the class object of it. Nodes with
+    successors are numbered in the tree's order: those that v dominates have ``pre`` from v's to below its pre_end; ``at``
+    is the dominator's number. Nodes without successors have no numbers of their own.
     """
-    paths = written(dominator_paths(edges, roots, rounds), "dominators")
-    sums = paths.select("obj_id", F.explode("path").alias("over")).join(nodes.select("obj_id", "shallow"), "obj_id").groupBy("over").agg(F.sum("shallow").alias("retained"))
-    steps = paths.where(F.size("path") > 1).join(nodes.select("obj_id", "class_row"), "obj_id").select("obj_id", "class_row", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("over"))
-    owners = nodes.select(F.col("obj_id").alias("over"), F.col("class_row").alias("over_row"), F.col("repr_row").alias("over_repr"))
-    below = steps.join(owners, "over").where("class_row = over_row OR class_row = over_repr").select("obj_id").distinct().withColumn("same_class", F.lit(True))
-    tree = paths.select("obj_id", F.when(F.size("path") > 1, F.element_at("path", -2)).otherwise(F.lit(VROOT)).alias("idom"), F.size("path").alias("depth"), F.col("path").alias("dom_path"))
-    out = nodes.join(tree, "obj_id", "left").join(sums.withColumnRenamed("over", "obj_id"), "obj_id", "left").join(below, "obj_id", "left")
-    return out.withColumn("same_class", F.coalesce("same_class", F.lit(False)))
+    hung, outer = immediate_dominators(edges, roots)
+    first = hung.select("obj_id", F.col("idom").alias("up"), "idom", F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("depth"))
+    sized, rounds = _doubled(first, ["size"], ["depth"], "tree-sizes")
+    inner = sized.where(F.col("up") == VROOT).select("obj_id", "idom", "size", "depth")
+    numbers, _ = _doubled(_numbered(inner).select("obj_id", F.col("idom").alias("up"), "idom", "size", "depth", F.col("ahead").cast("long").alias("pre")), [], ["pre"], "tree-numbers")
+    inner = numbers.select("obj_id", "idom", "depth", "pre", (F.col("pre") + F.col("size")).alias("pre_end"))
+
+    # of a leaf's predecessors the first and the last in the tree's order say where all of them meet
+    ends = outer.join(inner.select(F.col("obj_id").alias("src"), "pre"), "src").groupBy("dst").agg(F.min(F.struct("pre", "src")).alias("a"), F.max(F.struct("pre", "src")).alias("b"))
+    ends = written(ends.select("dst", F.col("a.src").alias("a"), F.col("b.src").alias("b")), "leaf-ends")
+    leaves = ends.where("a = b").select("dst", F.col("a").alias("idom")).unionByName(_nearest_common(ends.where("a != b"), inner, rounds))
+    above = inner.select(F.col("obj_id").alias("idom"), F.col("pre").alias("at"), F.col("depth").alias("over_depth"))
+    none = F.lit(None).cast("long")
+    leaves = leaves.select(F.col("dst").alias("obj_id"), "idom", none.alias("pre"), none.alias("pre_end")).join(above, "idom", "left").withColumn("depth", F.coalesce("over_depth", F.lit(0)) + 1)
+    inner_rows = inner.join(above.drop("over_depth"), "idom", "left")
+    columns = ["obj_id", "idom", "depth", "at", "pre", "pre_end"]
+    hanging = written(inner_rows.select(*columns).unionByName(leaves.select(*columns)), "hanging")
+    known = written(nodes.select("obj_id", "shallow", "class_row", "repr_row").join(hanging, "obj_id"), "known-nodes")
+
+    own = known.where("pre IS NOT NULL").select("obj_id", F.col("idom").alias("up"), "shallow")
+    held = known.where("pre IS NULL").groupBy(F.col("idom").alias("obj_id")).agg(F.sum("shallow").alias("leaf_bytes"), F.count("*").alias("leaves"))
+    start = own.join(held, "obj_id", "left").select("obj_id", "up", (F.col("shallow") + F.coalesce("leaf_bytes", F.lit(0))).alias("retained"), (1 + F.coalesce("leaves", F.lit(0))).alias("below"))
+    sums, _ = _doubled(start, ["retained", "below"], [], "tree-sums")
+    tree = known.join(sums.select("obj_id", "retained", "below"), "obj_id", "left")
+    tree = tree.join(_below_own_class(known), "obj_id", "left")
+    tree = tree.select("obj_id", "idom", F.col("depth").cast("int").alias("depth"), F.coalesce("retained", "shallow").alias("retained"), F.coalesce("below", F.lit(1)).alias("below"), "at", "pre", "pre_end", "same_class")
+    return nodes.join(tree, "obj_id", "left").withColumn("same_class", F.coalesce("same_class", F.lit(False)))
+
+
+def _below_own_class(known: DataFrame) -> DataFrame:
+    """obj_id, same_class (true) of nodes that a node of their class, or their class's object, dominates.
+
+    Such a node's numbers span the dominator's: of each class, spans and places are put in order, and the furthest end
+    so far tells. Each class is gone through in parts by number, which know the furthest end before them."""
+    inner = known.where("pre IS NOT NULL")
+    spans = inner.select(F.col("class_row").alias("cls"), F.col("pre").alias("p"), "pre_end").unionByName(inner.where("repr_row IS NOT NULL").select(F.col("repr_row").alias("cls"), F.col("pre").alias("p"), "pre_end"))
+    classes = F.broadcast(spans.select("cls").distinct())  # as many as the heap has classes
+    places = known.where("at IS NOT NULL").select(F.col("class_row").alias("cls"), F.col("at").alias("p"), F.col("obj_id").alias("id")).join(classes, "cls")
+    rows = spans.withColumn("id", F.lit(None).cast("long")).unionByName(places.withColumn("pre_end", F.lit(None).cast("long")))
+    rows = rows.withColumn("part", F.expr("p div 1048576"))
+    ends = rows.groupBy("cls", "part").agg(F.max("pre_end").alias("far"))
+    ends = ends.withColumn("carried", F.max("far").over(W.partitionBy("cls").orderBy("part").rowsBetween(W.unboundedPreceding, -1))).drop("far")
+    within = F.max("pre_end").over(W.partitionBy("cls", "part").orderBy("p", F.col("id").isNotNull()).rowsBetween(W.unboundedPreceding, 0))
+    far = rows.withColumn("within", within).join(ends, ["cls", "part"])
+    return far.where("id IS NOT NULL AND greatest(within, carried) > p").select(F.col("id").alias("obj_id"), F.lit(True).alias("same_class"))
 
 
 def children(tree: DataFrame) -> DataFrame:
@@ -170,7 +248,7 @@ def children(tree: DataFrame) -> DataFrame:
     return tree.where("idom IS NOT NULL").groupBy("idom").agg(F.count("*").alias("n_children"), F.sum("retained").alias("children_retained"))
 
 
-def unreachable_forest(tree: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def unreachable_forest(tree: DataFrame, edges: DataFrame) -> DataFrame:
     """The dominator tree of what is unreachable, from nodes that no unreachable node refers to.
 
     A cycle that nothing leads into has no such node: its nodes hang from nothing and retain themselves."""
@@ -179,35 +257,63 @@ def unreachable_forest(tree: DataFrame, edges: DataFrame, rounds: int = ROUNDS)
     inside = edges.join(ids.withColumnRenamed("obj_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("obj_id", "dst"), "dst", "left_semi").where("src != dst")
     inside = written(inside.select("src", "dst").distinct(), "unreachable-edges")
     tops = ids.join(inside.select(F.col("dst").alias("obj_id")).distinct(), "obj_id", "left_anti")
-    forest = dominator_tree(dead, inside, tops, rounds)
+    forest = dominator_tree(dead, inside, tops)
     return forest.withColumn("retained", F.coalesce("retained", "shallow"))
 
 
-def merged_paths(tree: DataFrame, name: str = "class_name") -> DataFrame:
-    """For reachable nodes: each prefix of the way from the virtual root as class names, with counts."""
-    steps = tree.where("idom IS NOT NULL").select("obj_id", "shallow", F.posexplode("dom_path").alias("k", "over"))
-    named = steps.join(tree.select(F.col("obj_id").alias("over"), F.col(name).alias("label")), "over")
-    ways = named.groupBy("obj_id", "shallow").agg(F.array_sort(F.collect_list(F.struct("k", "label"))).alias("way"))
-    prefix = F.transform(F.sequence(F.lit(1), F.size("way")), lambda k: F.array_join(F.transform(F.slice("way", 1, k), lambda s: s["label"]), " > "))
-    return ways.select("shallow", F.explode(prefix).alias("path")).groupBy("path").agg(F.count("*").alias("objects"), F.sum("shallow").alias("retained"))
-
-
-def accumulation_points(tree: DataFrame, suspects: DataFrame, ratio: float = 0.7, steps: int = 1000) -> DataFrame:
-    """obj_id, point, hops: descent from each suspect while its largest child retains ``ratio`` of it."""
+def merged_paths(tree: DataFrame, name: str = "class_name", depth: int = 30) -> DataFrame:
+    """For reachable nodes: each way of up to ``depth`` class names from the virtual root, with the objects behind it.
+
+    Nodes at one level and on one way are a node of a tree of names: each stands for all that it dominates, so
+    only sums go on, level by level, and no object carries its path."""
+    rows = written(tree.where(F.col("idom").isNotNull() & (F.col("depth") <= depth)).select("obj_id", "idom", "depth", F.col(name).alias("label"), "below", "retained"), "way-nodes")
+    at = rows.where("depth = 1").select("obj_id", F.col("label").alias("path"), "below", "retained")
+    out, level = None, 1
+    while True:
+        level += 1
+        sums = at.groupBy("path").agg(F.sum("below").alias("objects"), F.sum("retained").alias("retained"))
+        out = sums if out is None else out.unionByName(sums)
+        following = rows.where(F.col("depth") == level)
+        if level > depth or following.isEmpty():
+            return out
+        # a way's name goes with its nodes to the next level only
+        at = written(following.join(at.select(F.col("obj_id").alias("idom"), F.col("path").alias("before")), "idom").select("obj_id", F.concat_ws(" > ", "before", "label").alias("path"), "below", "retained"), "ways")
+
+
+def ways_to(tree: DataFrame, points: DataFrame, depth: int = 30) -> DataFrame:
+    """obj_id, over, depth: each point's (column obj_id) dominators and itself, those ``depth`` nearest to the root."""
+    up = tree.where("idom IS NOT NULL").select("obj_id", F.col("idom").alias("up"), "depth")
+    found = points.select("obj_id").join(up.select("obj_id", "depth"), "obj_id").select("obj_id", F.col("obj_id").alias("over"), "depth")
+    far = found.agg(F.max("depth")).first()[0] or 0
+    step, jumps = 1, up.where(F.col("up") != VROOT).select("obj_id", "up")
+    while step < far:  # as many steps up as the bits of the way's length say, and all ways between
+        more = found.join(jumps.withColumnRenamed("obj_id", "over"), "over").select("obj_id", F.col("up").alias("over"), (F.col("depth") - step).alias("depth"))
+        found = written(found.unionByName(more), "ways")
+        jumps = written(jumps.join(jumps.select(F.col("obj_id").alias("up"), F.col("up").alias("next")), "up").select("obj_id", F.col("next").alias("up")), "jumps")
+        step *= 2
+        # what lies deeper than asked for only matters as the start of longer jumps
+    return found.where(F.col("depth") <= depth)
+
+
+def accumulation_points(tree: DataFrame, suspects: DataFrame, ratio: float = 0.7) -> DataFrame:
+    """obj_id, point, hops: descent from each suspect while its largest child retains ``ratio`` of it.
+
+    Steps from object to heavy child are doubled, so long ways take few rounds."""
     heavy = tree.where("idom >= 0").groupBy("idom").agg(F.max(F.struct("retained", (-F.col("obj_id")).alias("minus_id"))).alias("c"))
-    down = tree.select("obj_id", "retained").join(heavy.withColumnRenamed("idom", "obj_id"), "obj_id").where(F.col("c.retained") >= ratio * F.col("retained")).select(F.col("obj_id").alias("point"), (-F.col("c.minus_id")).alias("next"))
-    down = written(down, "heavy-children")
-    at = written(suspects.select("obj_id", F.col("obj_id").alias("point"), F.lit(0).alias("hops")), "descent")
-    for _ in range(steps):
-        moved = at.join(down, "point", "left").select("obj_id", F.coalesce("next", "point").alias("point"), (F.col("hops") + F.col("next").isNotNull().cast("int")).alias("hops"))
-        moved = written(moved, "descent")
-        if moved.agg(F.sum("hops")).first()[0] == at.agg(F.sum("hops")).first()[0]:
+    down = tree.select("obj_id", "retained").join(heavy.withColumnRenamed("idom", "obj_id"), "obj_id").where(F.col("c.retained") >= ratio * F.col("retained"))
+    down = written(down.select("obj_id", (-F.col("c.minus_id")).alias("point"), F.lit(1).alias("hops")), "heavy-children")
+    while True:
+        on = down.select(F.col("obj_id").alias("point"), F.col("point").alias("next"), F.col("hops").alias("more"))
+        met = down.join(on, "point", "left")
+        if met.where("next IS NOT NULL").isEmpty():
             break
-        at = moved
-    return at
+        down = written(met.select("obj_id", F.coalesce("next", "point").alias("point"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")), "heavy-children")
+    return suspects.select("obj_id").join(down, "obj_id", "left").select("obj_id", F.coalesce("point", "obj_id").alias("point"), F.coalesce("hops", F.lit(0)).alias("hops"))
 
 
 def subtree(tree: DataFrame, top: int, depth: int = 20) -> DataFrame:
     """The nodes that ``top`` dominates, down to ``depth`` below it, with their level."""
-    level = F.array_position("dom_path", F.lit(top))
-    return tree.where(F.array_contains("dom_path", F.lit(top))).withColumn("level", (F.col("depth") - level).cast("int")).where(F.col("level") <= depth)
+    head = F.broadcast(tree.where(F.col("obj_id") == top).select(F.col("pre").alias("from_"), F.col("pre_end").alias("to_"), F.col("depth").alias("top_depth")))
+    held = (F.col("obj_id") == top) | (F.col("at") >= F.col("from_")) & (F.col("at") < F.col("to_"))
+    rows = tree.crossJoin(head).where(held).withColumn("level", F.col("depth") - F.col("top_depth"))  # one row
+    return rows.where(F.col("level") <= depth).drop("from_", "to_", "top_depth")

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
-from cairn.operators.graph import accumulation_points, merged_paths
+from cairn.plans.tables import written
+from cairn.operators.graph import accumulation_points, merged_paths, ways_to
 
 def reached(tree: DataFrame) -> DataFrame:
     return tree.where("idom IS NOT NULL")
@@ -142,8 +143,7 @@ def unreachable_histogram(forest: DataFrame, tree: DataFrame, top: int = 30) ->
 
 def garbage_roots(forest: DataFrame, tree: DataFrame, top: int = 10) -> DataFrame:
     """The heads of the largest garbage trees, with how many objects each holds."""
-    sizes = forest.where("dom_path IS NOT NULL").groupBy(F.element_at("dom_path", 1).alias("obj_id")).agg(F.count("*").alias("objects"))
-    heads = forest.where("idom = -1").select("obj_id", "retained").join(sizes, "obj_id").join(tree.select("obj_id", "class_name"), "obj_id")
+    heads = forest.where("idom = -1").select("obj_id", "retained", F.col("below").alias("objects")).join(tree.select("obj_id", "class_name"), "obj_id")
     return heads.orderBy(F.desc("retained"), "obj_id").limit(top)
 
 
@@ -160,11 +160,17 @@ def top_sizes(tree: DataFrame) -> DataFrame:
 
 
 def top_size_stats(tree: DataFrame) -> DataFrame:
-    """Least, largest, median (element n/2 of the falling list) and total of what top-level objects retain."""
-    at = F.row_number().over(W.orderBy(F.desc("retained"), "obj_id"))
-    rows = tops(tree).select("obj_id", "retained")
-    n = F.broadcast(rows.agg(F.count("*").alias("n"), F.min("retained").alias("least"), F.max("retained").alias("largest"), F.sum("retained").alias("total")))
-    return rows.withColumn("k", at).crossJoin(n).where(F.col("k") == F.floor(F.col("n") / 2) + 1).select("n", "least", "largest", F.col("retained").alias("median"), "total")
+    """Least, largest, median (element n/2 of the falling list) and total of what top-level objects retain.
+
+    Equal sizes are counted before they are put in order, in ranges of powers of two."""
+    counts = tops(tree).groupBy("retained").agg(F.count("*").alias("c")).withColumn("size_range", S.next_power_of_two("retained"))
+    ranges = counts.groupBy("size_range").agg(F.sum("c").alias("rc"), F.sum(F.col("c") * F.col("retained")).alias("bytes"), F.min("retained").alias("lo"), F.max("retained").alias("hi"))
+    over = F.broadcast(ranges.select("size_range", F.coalesce(F.sum("rc").over(W.orderBy(F.desc("size_range")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead")))  # 64 rows at most
+    total = F.broadcast(ranges.agg(F.sum("rc").alias("n"), F.min("lo").alias("least"), F.max("hi").alias("largest"), F.sum("bytes").alias("total")))
+    within = F.sum("c").over(W.partitionBy("size_range").orderBy(F.desc("retained")))
+    rows = counts.withColumn("upto", within).join(over, "size_range").withColumn("upto", F.col("upto") + F.col("ahead")).crossJoin(total)
+    middle = F.floor(F.col("n") / 2) + 1
+    return rows.where((F.col("upto") >= middle) & (F.col("upto") - F.col("c") < middle)).select("n", "least", "largest", F.col("retained").alias("median"), "total")
 
 
 def biggest_objects(tree: DataFrame, top: int = 20) -> DataFrame:
@@ -231,7 +237,8 @@ def merged_root_paths(tree: DataFrame, top: int = 60) -> DataFrame:
 def root_path(tree: DataFrame, depth: int = 30) -> DataFrame:
     """The way from the virtual root to the largest object of each class, by class names."""
     best = reached(tree).groupBy("class_name").agg(F.max(F.struct("retained", (-F.col("obj_id")).alias("m"))).alias("b")).select(F.col("class_name").alias("of_class"), (-F.col("b.m")).alias("obj_id"))
-    steps = best.join(tree, "obj_id").select("of_class", F.posexplode(F.slice("dom_path", 1, depth)).alias("k", "over"))
+    best = written(best, "largest-objects")
+    steps = best.join(ways_to(tree, best, depth), "obj_id").select("of_class", F.col("depth").alias("k"), "over")
     named = steps.join(tree.select(F.col("obj_id").alias("over"), "class_name"), "over")
     return named.groupBy("of_class").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "class_name"))), lambda s: s["class_name"]), " > ").alias("path"))
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.operators import graph
 from cairn.operators.graph import VROOT, dominator_tree, immediate_dominators_of
@@ -41,10 +42,10 @@ CASES = [
 ]
 
 
-def tree_of(spark, roots, edges, n, shallow=None, rows=None, reprs=None, rounds=60):
+def tree_of(spark, roots, edges, n, shallow=None, rows=None, reprs=None):
     nodes = spark.createDataFrame([(i, (rows or [0] * n)[i], (reprs or {}).get(i), (shallow or [1] * n)[i]) for i in range(n)], "obj_id long, class_row long, repr_row long, shallow long")
     e = spark.createDataFrame(edges, "src long, dst long")
-    return nodes, e, dominator_tree(nodes, e, spark.createDataFrame([(r,) for r in roots], "obj_id long"), rounds)
+    return nodes, e, dominator_tree(nodes, e, spark.createDataFrame([(r,) for r in roots], "obj_id long"))
 
 
 @pytest.mark.parametrize("name,roots,edges,n,want", CASES, ids=[c[0] for c in CASES])
@@ -62,14 +63,16 @@ def test_semidominators_against_brute_force():
         assert immediate_dominators_of(roots, edges) == brute(roots, edges, n)
 
 
-@pytest.mark.parametrize("rounds", [60, 1])
-def test_random_cyclic_graph(spark, rounds):
-    rng = random.Random(3)
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_random_cyclic_graph(spark, seed):
+    rng = random.Random(seed)
     n = 40
     edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(70)]
     shallow = [rng.randint(1, 90) for _ in range(n)]
     want = brute([0, 5], edges, n)
-    tree = tree_of(spark, [0, 5], edges, n, shallow, rounds=rounds)[2].collect()
+    rows = [rng.randrange(6) for _ in range(n)]
+    reprs = {7: 2, 8: 3}
+    tree = tree_of(spark, [0, 5], edges, n, shallow, rows, reprs)[2].collect()
     assert {r.obj_id: r.idom for r in tree if r.idom is not None} == want
     below = {v: 0 for v in want}
     for v in want:
@@ -78,6 +81,39 @@ def test_random_cyclic_graph(spark, rounds):
             below[u] += shallow[v]
             u = want[u]
     assert {r.obj_id: r.retained for r in tree if r.idom is not None} == below
+    above = {}
+    for v in want:
+        u, above[v] = want[v], []
+        while u != VROOT:
+            above[v].append(u)
+            u = want[u]
+    assert {r.obj_id: r.depth for r in tree if r.idom is not None} == {v: len(a) + 1 for v, a in above.items()}
+    assert {r.obj_id: r.below for r in tree if r.idom is not None} == {v: 1 + sum(v in a for a in above.values()) for v in want}
+    assert {r.obj_id: r.same_class for r in tree if r.idom is not None} == {v: any(rows[v] in (rows[u], reprs.get(u)) for u in a) for v, a in above.items()}
+
+
+def test_deep_list_with_values_and_a_hub(spark):
+    """A linked list of 3000 entries with a value each, all known to a hub besides; and a plain list."""
+    n = 3000
+    plain = [(0, 1)] + [(i, i + 1) for i in range(1, n)] + [(i, 10_000 + i) for i in range(1, n + 1)]
+    edges = spark.createDataFrame(plain, "src long, dst long")
+    ids = sorted({x for e in plain for x in e})
+    nodes = spark.createDataFrame([(i, i // 10_000, None, 1) for i in ids], "obj_id long, class_row long, repr_row long, shallow long")
+    got = {r.obj_id: r for r in dominator_tree(nodes, edges, spark.createDataFrame([(0,)], "obj_id long")).collect()}
+    assert all(got[i].idom == i - 1 and got[i].depth == i + 1 and got[i].retained == 2 * (n - i + 1) and got[i].same_class for i in range(1, n + 1))
+    assert all(got[10_000 + i].idom == i and not got[10_000 + i].same_class for i in range(1, n + 1))
+    both = plain + [(0, i) for i in range(1, n + 1)] + [(i + 1, i) for i in range(1, n)]
+    got = {r.obj_id: r for r in dominator_tree(nodes, spark.createDataFrame(both, "src long, dst long"), spark.createDataFrame([(0,)], "obj_id long")).collect()}
+    assert all(got[i].idom == 0 and got[i].retained == 2 for i in range(1, n + 1)) and got[0].retained == 2 * n + 1
+
+
+def test_ways_and_merged_paths(spark):
+    _, _, tree = tree_of(spark, [0], [(0, 1), (1, 2), (2, 3), (3, 4), (0, 5), (5, 6)], 7)
+    tree = tree.withColumn("class_name", F.concat(F.lit("c"), F.col("obj_id") % 3))
+    found = graph.ways_to(tree, tree.where("obj_id IN (4, 6)").select("obj_id"), 3)
+    assert {(r.obj_id, r.over, r.depth) for r in found.collect()} == {(4, 0, 1), (4, 1, 2), (4, 2, 3), (6, 0, 1), (6, 5, 2), (6, 6, 3)}
+    got = {(r.path, r.objects, r.retained) for r in graph.merged_paths(tree).collect()}
+    assert got == {("c0", 7, 7), ("c0 > c1", 4, 4), ("c0 > c2", 2, 2), ("c0 > c1 > c2", 3, 3), ("c0 > c2 > c0", 1, 1), ("c0 > c1 > c2 > c0", 2, 2), ("c0 > c1 > c2 > c0 > c1", 1, 1)}
 
 
 def test_retained_and_same_class(spark):
