@@ -37,8 +37,9 @@ def transposed(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def immediate_dominators(edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """obj_id, idom of reachable nodes with successors, and of those without.
+def immediate_dominators(edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """obj_id, idom of reachable nodes with successors; of those without and with one predecessor (dst, idom, which
+    may be unreachable); and the edges (src, dst) to those with several.
 
     Roots hang from the virtual root, so edges into roots and loops change nothing and go first; that removes
     the edges of most hubs. A node with one predecessor is dominated by it. Only where a node with successors has
@@ -46,17 +47,18 @@ def immediate_dominators(edges: DataFrame, roots: DataFrame) -> tuple[DataFrame,
     nothing: theirs is the nearest common dominator of their predecessors, found in the tree of the others.
     """
     starts = written(roots.select("obj_id").distinct(), "starts")
-    live = edges.where("src != dst").select("src", "dst").distinct().join(starts.withColumnRenamed("obj_id", "dst"), "dst", "left_anti")
+    live = edges.where("src != dst").select("src", "dst").join(starts.withColumnRenamed("obj_id", "dst"), "dst", "left_anti")
     live = written(live, "live-edges")
-    inner_ids = live.select(F.col("src").alias("dst")).distinct()
-    inner = written(live.join(inner_ids, "dst", "left_semi").groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("src")), "inner-nodes")
-    if inner.where("n > 1").isEmpty():
+    before = live.groupBy("dst").agg(F.min("src").alias("src"), F.max("src").alias("other"))
+    sources = live.select(F.col("src").alias("dst")).distinct().withColumn("inner", F.lit(True))
+    before = written(before.join(sources, "dst", "left").withColumn("inner", F.coalesce("inner", F.lit(False))), "predecessors")
+    inner, leaves = before.where("inner"), before.where("NOT inner")
+    if inner.where("src != other").isEmpty():
         hung = inner.select(F.col("dst").alias("obj_id"), F.col("src").alias("idom"))
     else:
-        hung = kernel_dominators(live.join(inner_ids, "dst", "left_semi"), starts)
+        hung = kernel_dominators(live.join(inner.select("dst"), "dst", "left_semi"), starts)
     hung = written(hung.unionByName(starts.select("obj_id", F.lit(VROOT).cast("long").alias("idom"))), "inner-dominators")
-    outer = live.join(inner.select("dst"), "dst", "left_anti")
-    return hung, outer
+    return hung, leaves.where("src = other").select("dst", F.col("src").alias("idom")), live.join(leaves.where("src != other").select("dst"), "dst", "left_semi")
 
 
 def kernel_dominators(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -196,7 +198,7 @@ def dominator_tree(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> Data
     successors are numbered in the tree's order: those that v dominates have ``pre`` from v's to below its pre_end; ``at``
     is the dominator's number. Nodes without successors have no numbers of their own.
     """
-    hung, outer = immediate_dominators(edges, roots)
+    hung, alone, outer = immediate_dominators(edges, roots)
     first = hung.select("obj_id", F.col("idom").alias("up"), "idom", F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("depth"))
     sized, rounds = _doubled(first, ["size"], ["depth"], "tree-sizes")
     inner = sized.where(F.col("up") == VROOT).select("obj_id", "idom", "size", "depth")
@@ -207,22 +209,27 @@ def dominator_tree(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> Data
     ends = outer.join(inner.select(F.col("obj_id").alias("src"), "pre"), "src").groupBy("dst").agg(F.min(F.struct("pre", "src")).alias("a"), F.max(F.struct("pre", "src")).alias("b"))
     ends = written(ends.select("dst", F.col("a.src").alias("a"), F.col("b.src").alias("b")), "leaf-ends")
     leaves = ends.where("a = b").select("dst", F.col("a").alias("idom")).unionByName(_nearest_common(ends.where("a != b"), inner, rounds))
+    leaves = leaves.unionByName(alone.join(inner.select(F.col("obj_id").alias("idom")), "idom", "left_semi").select("dst", "idom"))
     above = inner.select(F.col("obj_id").alias("idom"), F.col("pre").alias("at"), F.col("depth").alias("over_depth"))
     none = F.lit(None).cast("long")
     leaves = leaves.select(F.col("dst").alias("obj_id"), "idom", none.alias("pre"), none.alias("pre_end")).join(above, "idom", "left").withColumn("depth", F.coalesce("over_depth", F.lit(0)) + 1)
     inner_rows = inner.join(above.drop("over_depth"), "idom", "left")
-    columns = ["obj_id", "idom", "depth", "at", "pre", "pre_end"]
-    hanging = written(inner_rows.select(*columns).unionByName(leaves.select(*columns)), "hanging")
-    known = written(nodes.select("obj_id", "shallow", "class_row", "repr_row").join(hanging, "obj_id"), "known-nodes")
+    columns = ["obj_id", "idom", "depth", "at", "pre", "pre_end"]  # what is joined to the nodes
+    hanging = inner_rows.select(*columns).unionByName(leaves.select(*columns))
+    placed = written(nodes.join(hanging.withColumn("depth", F.col("depth").cast("int")), "obj_id", "left"), "placed-nodes")
 
+    known = placed.where("idom IS NOT NULL").select("obj_id", "idom", "shallow", "class_row", "repr_row", "at", "pre", "pre_end")
     own = known.where("pre IS NOT NULL").select("obj_id", F.col("idom").alias("up"), "shallow")
     held = known.where("pre IS NULL").groupBy(F.col("idom").alias("obj_id")).agg(F.sum("shallow").alias("leaf_bytes"), F.count("*").alias("leaves"))
     start = own.join(held, "obj_id", "left").select("obj_id", "up", (F.col("shallow") + F.coalesce("leaf_bytes", F.lit(0))).alias("retained"), (1 + F.coalesce("leaves", F.lit(0))).alias("below"))
     sums, _ = _doubled(start, ["retained", "below"], [], "tree-sums")
-    tree = known.join(sums.select("obj_id", "retained", "below"), "obj_id", "left")
-    tree = tree.join(_below_own_class(known), "obj_id", "left")
-    tree = tree.select("obj_id", "idom", F.col("depth").cast("int").alias("depth"), F.coalesce("retained", "shallow").alias("retained"), F.coalesce("below", F.lit(1)).alias("below"), "at", "pre", "pre_end", "same_class")
-    return nodes.join(tree, "obj_id", "left").withColumn("same_class", F.coalesce("same_class", F.lit(False)))
+    out = placed.join(sums.select("obj_id", "retained", "below"), "obj_id", "left").join(_below_own_class(known), "obj_id", "left")
+    alive = F.col("idom").isNotNull()
+    return (
+        out.withColumn("retained", F.when(alive, F.coalesce("retained", "shallow")))
+        .withColumn("below", F.when(alive, F.coalesce("below", F.lit(1))))
+        .withColumn("same_class", F.coalesce("same_class", F.lit(False)))
+    )
 
 
 def _below_own_class(known: DataFrame) -> DataFrame:
