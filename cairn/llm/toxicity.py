@@ -52,13 +52,13 @@ _ENDS = regex.compile(r"[.!?\n]+(?=\s|$)|\n+")
 
 
 def words_of(text: str) -> list[str]:
-    """The words of lower-cased text; three or more single characters in a row also make a word."""
+    """The words of lower-cased text; three or more single characters in a row, also with a mark each, make a word too."""
     words = text.lower().split()
     run: list[str] = []
     more = []
-    for w in [*words, "  "]:
-        if len(w) == 1:
-            run.append(w)
+    for w in [*words, "   "]:
+        if len(w) == 1 or len(w) == 2 and w[0].isalpha() and not w[1].isalnum():
+            run.append(w[0])
         elif run:
             if len(run) >= 3:
                 more.append("".join(run))
