@@ -16,6 +16,7 @@ import json
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -38,7 +39,7 @@ _SETTLED = re.compile("[\x00-\u024f\u2000-\u2064]*")
 #: Fixed value: how byte-level vocabularies of this family split a text into words, each encoded by itself.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^{_SPACES}{_LETTERS}{_DIGITS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 #: Words whose ids are kept in each of two generations of a worker's cache, and their longest.
-KEPT, LONGEST = 150_000, 48
+KEPT, LONGEST = 250_000, 48
 WIDE = np.dtype("<u4")
 
 
@@ -53,7 +54,7 @@ class _Words(dict):
         found = self.old.get(word)
         if found is None:
             pieces = self.tokenize(word.encode("utf-8").decode("latin-1").translate(self.letters))
-            found = np.array([t.id for t in pieces], WIDE).tobytes()
+            found = array("I", [t.id for t in pieces]).tobytes()
         if len(word) <= LONGEST:
             if len(self) >= KEPT:
                 self.old = dict(self)
@@ -155,6 +156,6 @@ def pack_documents(docs: DataFrame, path: str, length: int = 2048, end_id: int =
         return pa.table({"doc_id": group.column("doc_id").take(pa.array(of[:, 0]))} | {k: pa.array(v) for k, v in columns.items()})
 
     tokens = rows.mapInArrow(lean(tokenised), "doc_id long, row long, doc_tokens long, whole binary, rest binary")
-    dealt = tokens.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
+    dealt = tokens.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     # a task for each bucket, so that tasks stay alike however large the table is
-    return dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return dealt.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

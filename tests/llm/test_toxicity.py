@@ -32,8 +32,9 @@ def test_kernel_against_brute_force():
 
 
 def test_words():
-    assert words_of("You I D I O T, a b no") == ["you", "i", "d", "i", "o", "t,", "a", "b", "no", "idio"]
+    assert words_of("You I D I O T, a b no") == ["you", "i", "d", "i", "o", "t,", "a", "b", "no", "idiotab"]
     assert words_of("You i d i o t a")[-1] == "idiota"
+    assert words_of("an i. d. i. o. t. he is")[-1] == "idiot"
 
 
 def test_svm_and_logistic():
