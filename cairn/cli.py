@@ -45,7 +45,9 @@ def analyse(spark: SparkSession, path: str, args: argparse.Namespace) -> dict:
         "fields": ("Fields by retained size", C.fields_by_size(DV.held_objects(dump, heap.tree))),
         "properties": ("System properties", DV.system_properties(dump)),
     }
+    facts = [triage.facts_of(heap.tree, heap.roots, dump.id_size + dump.ref_size), DV.facts_always(dump, heap.tree)]
     if args.find_duplicates:
+        facts.append(DV.facts_of_duplicates(dump))
         texts = D.java_strings(dump)
         more["strings"] = ("Duplicate strings", C.duplicate_strings(texts))
         more["string_stats"] = ("Strings", C.string_stats(texts))
@@ -62,11 +64,11 @@ def analyse(spark: SparkSession, path: str, args: argparse.Namespace) -> dict:
         more["biggest"] = ("Biggest collections", C.biggest_collections(found, DV.contents_of(dump, found, heap.tree)).orderBy(F.desc("elements"), "obj_id"))
         more["contents"] = ("Contents of collections", C.collection_contents(found, DV.contents_of(dump, found, heap.tree)).orderBy("kind"))
         more["array_fill"] = ("Object arrays by fill", DV.array_fill(dump, heap.nodes).orderBy("bucket"))
-        more["constant_arrays"] = ("Constant arrays", DV.constant_primitive_arrays(dump, heap.tree).limit(100))
-        facts = one_row(triage.facts_of(heap.tree, heap.roots, dump.id_size + dump.ref_size), DV.facts_of_fields(dump, heap.tree, found))
-        more["triage"] = ("Triage", triage.evaluate(facts).orderBy("rank"))
+        more["constant_arrays"] = ("Constant arrays", DV.constant_primitive_arrays(dump).limit(100))
+        facts.append(DV.facts_of_collections(dump, heap.tree, found))
         more["collections"] = ("Collections by kind", C.collections_by_kind(found).orderBy("kind"))
         more["fill"] = ("Collections by fill", C.fill_ratios(found.where("capacity IS NOT NULL"), dump.ref_size).orderBy("bucket"))
+    more["triage"] = ("Triage", triage.evaluate(one_row(*facts)).orderBy("rank"))
     return build(heap, path, args.detail, more)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,6 +48,64 @@ def matched_once(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFra
     return both.withColumn("matched", F.least("ours", "theirs"))
 
 
+def suspects_compared(ours: DataFrame, theirs: DataFrame, total: int) -> DataFrame:
+    """Their suspects (class_name, retained, pct) with ours of the name: missing, match, differs, or explained where only
+    the class objects that the other tool roots differ; and the same of the percentage to two decimals."""
+    rows = theirs.join(ours.groupBy("class_name").agg(F.max("retained").alias("ours")), "class_name", "left")
+    gap = F.col("class_name") == "java.lang.Class"
+    outcome = F.when(F.col("ours").isNull(), "missing").when(F.col("ours") == F.col("retained"), "match").when(gap, "explained").otherwise("differs")
+    shown = F.format_string("%.2f", F.col("pct").cast("double"))
+    share = lambda c: F.format_string("%.2f", F.lit(0.0) if not total else F.col(c) / float(total) * 100)
+    pct = F.when(F.col("ours").isNull(), "missing").when(share("ours") == shown, "rounded").when(gap & (share("retained") == shown), "explained").otherwise("differs")
+    return rows.select("class_name", outcome.alias("retained_outcome"), pct.alias("pct_outcome"))
+
+
+def classes_compared(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Their biggest classes (class_name, objects, retained): missing, match or differs on our side."""
+    mine = ours.select("class_name", F.col("objects").alias("o"), F.col("retained").alias("r"))
+    same = (F.col("o") == F.col("objects")) & (F.col("r") == F.col("retained"))
+    return theirs.join(mine, "class_name", "left").select("class_name", F.when(F.col("r").isNull(), "missing").when(same, "match").otherwise("differs").alias("outcome"))
+
+
+def packages_compared(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Their packages (package, objects, retained) with ours: skipped where we have none, match, differs, or explained.
+
+    Differences are explained where all of them are on the way to java.lang or below it, and the other
+    tool has more top-level objects at each: it roots class objects that we don't."""
+    mine = ours.select("package", F.col("objects").alias("o"), F.col("retained").alias("r"))
+    rows = theirs.join(mine, "package", "left").withColumn("apart", F.coalesce(F.col("r") != F.col("retained"), F.lit(False)))
+    chain = F.col("package").isin("", "java", "java.lang") | F.col("package").startswith("java.lang.")
+    proof = F.broadcast(rows.where("apart").agg(F.coalesce(F.bool_and(chain & (F.col("objects") > F.col("o"))), F.lit(False)).alias("proven")))  # one row
+    outcome = F.when(F.col("r").isNull(), "skipped").when(~F.col("apart"), "match").when(chain & F.col("proven"), "explained").otherwise("differs")
+    return rows.crossJoin(proof).select("package", outcome.alias("outcome"))
+
+
+def display_band(shown: str | Column) -> Column:
+    """low, high: the bytes that a shown size ("1.2 GB", one decimal at most) may stand for; null where it is none."""
+    text = F.col(shown) if isinstance(shown, str) else shown
+    value = F.regexp_replace(F.regexp_extract(text, r"^([0-9,]+(?:\.[0-9]+)?) (B|KB|MB|GB|TB)$", 1), ",", "")
+    unit = F.regexp_extract(text, r" (B|KB|MB|GB|TB)$", 1)
+    scale = F.create_map(*[F.lit(x) for k, u in enumerate(("B", "KB", "MB", "GB", "TB")) for x in (u, float(1 << 10 * k))])[unit]
+    half = scale * 0.5 / F.pow(F.lit(10.0), F.when(value.contains("."), F.length(F.substring_index(value, ".", -1))).otherwise(0))
+    middle = F.when(value != "", value.cast("double")) * scale
+    return F.when(middle.isNotNull(), F.struct(F.greatest(middle - half, F.lit(0.0)).alias("low"), (middle + half).alias("high")))
+
+
+def verdict(growth_rows: DataFrame, first_shallow: int, last_shallow: int, new_suspects: int = 0) -> str:
+    """One sentence on how the heap grew, from the rows of ``growth`` and both shallow totals."""
+    delta = last_shallow - first_shallow
+    share = delta / first_shallow * 100 if first_shallow > 0 else 0.0
+    if delta > 0:
+        lead = growth_rows.where("delta_retained > 0").orderBy(F.desc("delta_retained"), "class_name").first()
+        driver = f"; largest driver `{lead.class_name}` ({lead.delta_retained:+,} bytes retained)" if lead else ""
+        line = f"Heap grew {share:.1f}% ({delta:+,} bytes shallow){driver}."
+    elif delta < 0:
+        line = f"Heap shrank {-share:.1f}% ({delta:+,} bytes shallow); no net growth."
+    else:
+        line = "Heap size is unchanged."
+    return line + (f" {new_suspects} new suspect{'' if new_suspects == 1 else 's'}." if new_suspects else "")
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables hold the same rows, as often, in any order."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

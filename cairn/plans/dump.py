@@ -71,14 +71,19 @@ def class_names(dump: Dump) -> DataFrame:
 
 @once
 def super_chain(dump: Dump) -> DataFrame:
-    """class_addr, over (the class or one above it), up (steps)."""
-    dump.classes.select("class_addr", "super_addr").createOrReplaceTempView("cairn_classes")
-    return dump.classes.sparkSession.sql("""
-        WITH RECURSIVE chain (class_addr, over, up) AS (
-            SELECT class_addr, class_addr, 0 FROM cairn_classes
-            UNION ALL
-            SELECT c.class_addr, k.super_addr, c.up + 1 FROM chain c JOIN cairn_classes k ON k.class_addr = c.over WHERE k.super_addr <> 0 AND c.up < 200)
-        SELECT chain.* FROM chain LEFT SEMI JOIN cairn_classes k ON k.class_addr = chain.over""")
+    """class_addr, over (the class or one above it), up (steps): ways that are known are doubled each round, so
+    chains of any length take few rounds."""
+    known = dump.classes.select(F.col("class_addr").alias("over"))
+    jumps = written(dump.classes.where("super_addr <> 0").select("class_addr", F.col("super_addr").alias("over")).join(known, "over", "left_semi").select("class_addr", "over"), "super-jumps")
+    found, step = written(dump.classes.select("class_addr", F.col("class_addr").alias("over"), F.lit(0).alias("up")), "super-chain"), 1
+    while not jumps.isEmpty() and step < 1 << 31:
+        further = found.join(jumps.select(F.col("class_addr").alias("over"), F.col("over").alias("next")), "over")
+        found = written(found.unionByName(further.select("class_addr", F.col("next").alias("over"), (F.col("up") + step).alias("up"))), "super-chain")
+        jumps = written(jumps.join(jumps.select(F.col("class_addr").alias("over"), F.col("over").alias("next")), "over").select("class_addr", F.col("next").alias("over")), "super-jumps")
+        step *= 2
+        if step > 1 << 16:
+            raise ValueError("a class is above itself")
+    return found
 
 
 @once

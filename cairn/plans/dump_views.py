@@ -80,13 +80,12 @@ def array_fill(dump: D.Dump, nodes: DataFrame) -> DataFrame:
     return C.array_fill_ratios(arrays, dump.ref_size)
 
 
-def primitive_contents(dump: D.Dump, tree: DataFrame) -> DataFrame:
-    """class_name, items (the bytes of each element, as hex), owner of primitive arrays with elements."""
+def primitive_contents(dump: D.Dump) -> DataFrame:
+    """class_name, bytes, first (the first element's bytes), elements, owner of primitive arrays with elements."""
     width = S.element_width("elem_type")
-    items = F.transform(F.sequence(F.lit(1), F.col("elements").cast("int")), lambda k: F.hex(F.substring(F.col("bytes"), (k - 1) * width + 1, width)))
     owners = D.field_references(dump).groupBy(F.col("dst").alias("addr")).agg(F.min(F.concat_ws("#", "declared", "field")).alias("owner"))
     rows = dump.prim_arrays.where("elements > 0").join(owners, "addr", "left")
-    return rows.select(F.col("addr").alias("obj_id"), F.concat(S.element_type("elem_type"), F.lit("[]")).alias("class_name"), "elem_type", "bytes", items.alias("items"), "owner")
+    return rows.select(F.col("addr").alias("obj_id"), F.concat(S.element_type("elem_type"), F.lit("[]")).alias("class_name"), "bytes", F.substring(F.col("bytes"), F.lit(1), width).alias("first"), F.col("elements").cast("int").alias("elements"), "owner")
 
 
 def duplicate_primitive_arrays(dump: D.Dump) -> DataFrame:
@@ -95,10 +94,13 @@ def duplicate_primitive_arrays(dump: D.Dump) -> DataFrame:
     return same.groupBy(F.concat(S.element_type("elem_type"), F.lit("[]")).alias("class_name")).agg(F.count("*").alias("groups"), F.sum("n").alias("arrays"), F.sum((F.col("n") - 1) * F.length("bytes")).alias("wasted")).orderBy(F.desc("wasted"), "class_name")
 
 
-def constant_primitive_arrays(dump: D.Dump, tree: DataFrame) -> DataFrame:
+def constant_primitive_arrays(dump: D.Dump) -> DataFrame:
     """Arrays of two elements or more that are all equal: type, length, value (hex), objects, bytes, main owner."""
-    rows = primitive_contents(dump, tree).where((F.size("items") >= 2) & S.all_equal("items"))
-    each = rows.groupBy("class_name", F.size("items").alias("length"), F.element_at("items", 1).alias("value"), "owner").agg(F.count("*").alias("n"), F.sum(F.length("bytes")).alias("b"))
+    # moved on by one element, an array of equal ones is itself
+    width = F.length("first")
+    same = F.substring(F.col("bytes"), width + 1, F.length("bytes") - width) == F.substring(F.col("bytes"), F.lit(1), F.length("bytes") - width)
+    rows = primitive_contents(dump).where((F.col("elements") >= 2) & same)
+    each = rows.groupBy("class_name", F.col("elements").alias("length"), F.hex("first").alias("value"), "owner").agg(F.count("*").alias("n"), F.sum(F.length("bytes")).alias("b"))
     sums = each.groupBy("class_name", "length", "value").agg(F.sum("n").alias("objects"), F.sum("b").alias("bytes"), F.min(F.struct((-F.col("n")).alias("m"), "owner")).alias("o"))
     return sums.select("class_name", "length", "value", "objects", "bytes", F.col("o.owner").alias("main_owner")).orderBy(F.desc("bytes"), F.desc("objects"), "class_name", "length", "value")
 
@@ -141,11 +143,26 @@ def system_properties(dump: D.Dump) -> DataFrame:
     return every.join(part("key"), "addr").join(part("value"), "addr").select("key", "value").distinct().orderBy("key", "value").limit(PROPERTIES)
 
 
-def facts_of_fields(dump: D.Dump, tree: DataFrame, found: DataFrame) -> DataFrame:
-    """The facts for triage that need fields: one row."""
+def facts_always(dump: D.Dump, tree: DataFrame) -> DataFrame:
+    """The facts for triage that any analysis gathers from fields: one row."""
+    weak = C.only_weakly_retained(reference_rows(dump, tree)).agg(F.coalesce(F.sum("objects"), F.lit(0)).alias("only_weak"))
+    stacks = D.threads(dump, tree).agg(F.count("*").alias("threads"), F.max("retained").alias("max_thread_retained"), F.max("locals").alias("max_thread_locals"))
+    return one_row(null_key_entries(dump), direct_buffer_bytes(dump), weak, stacks)
+
+
+def facts_of_duplicates(dump: D.Dump) -> DataFrame:
+    """The facts for triage about strings and arrays of equal contents: one row."""
     texts = D.java_strings(dump)
     slack = C.char_array_waste(texts.select(F.col("array").alias("obj_id"), "used", "capacity").distinct())
-    weak = C.only_weakly_retained(reference_rows(dump, tree)).agg(F.coalesce(F.sum("objects"), F.lit(0)).alias("only_weak"))
+    return one_row(
+        C.string_stats(texts).select(F.coalesce("wasted", F.lit(0)).alias("string_waste")),
+        slack.select(F.coalesce("wasted", F.lit(0)).alias("char_waste"), F.col("wasteful").alias("wasteful_char_arrays")),
+        duplicate_primitive_arrays(dump).agg(F.coalesce(F.sum("wasted"), F.lit(0)).alias("array_waste")),
+    )
+
+
+def facts_of_collections(dump: D.Dump, tree: DataFrame, found: DataFrame) -> DataFrame:
+    """The facts for triage about collections and arrays: one row."""
     sized = found.join(tree.select("obj_id", "retained"), "obj_id")
     half = (F.col("capacity") > 0) & (F.col("elements") * 2 <= F.col("capacity"))
     held = sized.agg(
@@ -153,11 +170,5 @@ def facts_of_fields(dump: D.Dump, tree: DataFrame, found: DataFrame) -> DataFram
         F.coalesce(F.sum(F.when(half, (F.col("capacity") - F.col("elements")) * dump.ref_size)), F.lit(0)).alias("half_empty_waste"),
         F.count_if(F.col("kind") == "Map").alias("maps"), F.count_if((F.col("kind") == "Map") & (F.col("used") * 10 > F.col("capacity") * 9)).alias("full_maps"),
     )
-    stacks = D.threads(dump, tree).agg(F.count("*").alias("threads"), F.max("retained").alias("max_thread_retained"), F.max("locals").alias("max_thread_locals"))
-    return one_row(
-        null_key_entries(dump), direct_buffer_bytes(dump), weak, held, stacks,
-        C.string_stats(texts).select(F.coalesce("wasted", F.lit(0)).alias("string_waste")),
-        slack.select(F.coalesce("wasted", F.lit(0)).alias("char_waste"), F.col("wasteful").alias("wasteful_char_arrays")),
-        duplicate_primitive_arrays(dump).agg(F.coalesce(F.sum("wasted"), F.lit(0)).alias("array_waste")),
-        constant_primitive_arrays(dump, tree).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("constant_array_bytes")),
-    )
+    sparse = array_fill(dump, tree).where("bucket <= 1").agg(F.sum("objects").alias("sparse_arrays"), F.sum("wasted").alias("sparse_waste"))
+    return one_row(held, sparse, constant_primitive_arrays(dump).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("constant_array_bytes")))

@@ -76,8 +76,20 @@ over_heap("big_drops", lambda h: V.big_drops(h.tree), f", b AS (SELECT idom AS o
 over_heap("immediate_dominators", lambda h: V.immediate_dominators(h.tree), ", b AS (SELECT idom, count(*) AS n, sum(shallow) AS s FROM d WHERE idom >= 0 GROUP BY 1) SELECT class_name, count(*) AS dominators, CAST(sum(shallow) AS BIGINT) AS dominators_shallow, CAST(sum(n) AS BIGINT) AS dominated, CAST(sum(s) AS BIGINT) AS dominated_shallow FROM b JOIN d ON d.obj_id = b.idom GROUP BY 1 ORDER BY dominated_shallow DESC, dominated DESC, class_name LIMIT 30")
 over_heap("merged_root_paths", lambda h: V.merged_root_paths(h.tree), f", w AS (SELECT shallow, CASE class_name WHEN 'com.shop.geo.Region' THEN ['Region'] WHEN 'com.shop.geo.Nation' THEN ['Region', 'Nation'] WHEN 'com.shop.party.Customer' THEN ['Region', 'Nation', 'Customer'] WHEN 'com.shop.party.Supplier' THEN ['Region', 'Nation', 'Supplier'] WHEN 'java.lang.Double' THEN ['Region', 'Nation', 'Supplier', 'Double'] WHEN 'com.shop.sales.Order' THEN ['Region', 'Nation', 'Customer', 'Order'] ELSE CASE depth WHEN 1 THEN ['Items'] WHEN 2 THEN ['Region', 'Items'] ELSE ['Region', 'Nation', 'Items'] END END AS way FROM {LIVE}), e AS (SELECT shallow, unnest([array_to_string(list_transform(way[1:i], lambda x: CASE x WHEN 'Region' THEN 'com.shop.geo.Region' WHEN 'Nation' THEN 'com.shop.geo.Nation' WHEN 'Customer' THEN 'com.shop.party.Customer' WHEN 'Supplier' THEN 'com.shop.party.Supplier' WHEN 'Order' THEN 'com.shop.sales.Order' WHEN 'Double' THEN 'java.lang.Double' ELSE 'com.shop.sales.LineItem[]' END), ' > ') FOR i IN range(1, len(way) + 1)]) AS path FROM w) SELECT path, count(*) AS objects, CAST(sum(shallow) AS BIGINT) AS retained FROM e GROUP BY 1 ORDER BY retained DESC, path LIMIT 60")
 over_heap("allocation_sites", lambda h: V.allocation_sites(h.tree), "SELECT alloc_serial, count(*) AS objects, CAST(sum(shallow) AS BIGINT) AS shallow, CAST(sum(coalesce(retained, 0)) AS BIGINT) AS retained FROM d WHERE alloc_serial <> 0 GROUP BY 1 ORDER BY objects DESC, retained DESC, alloc_serial LIMIT 50")
-query("suspects_descent", lambda spark, sf_dir: V.suspects_descent(relational_heap(spark, sf_dir).tree))
-query("root_path", lambda spark, sf_dir: V.root_path(relational_heap(spark, sf_dir).tree))
+_HEAVY = """, t AS (SELECT sum(shallow) AS total FROM d WHERE idom IS NOT NULL),
+c AS (SELECT idom AS obj_id, obj_id AS child, retained AS r, row_number() OVER (PARTITION BY idom ORDER BY retained DESC, obj_id) AS k FROM d WHERE idom >= 0),
+h AS (SELECT c.obj_id, c.child FROM c JOIN d USING (obj_id) WHERE c.k = 1 AND c.r >= 0.7 * d.retained),
+s AS (SELECT obj_id FROM d, t WHERE idom = -1 AND retained * 100 >= total * 10),
+w AS (SELECT s.obj_id, coalesce(h4.child, h3.child, h2.child, h1.child, s.obj_id) AS point,
+             (h1.child IS NOT NULL)::INT + (h2.child IS NOT NULL)::INT + (h3.child IS NOT NULL)::INT + (h4.child IS NOT NULL)::INT AS hops
+      FROM s LEFT JOIN h h1 ON h1.obj_id = s.obj_id LEFT JOIN h h2 ON h2.obj_id = h1.child LEFT JOIN h h3 ON h3.obj_id = h2.child LEFT JOIN h h4 ON h4.obj_id = h3.child)
+"""
+over_heap("suspects_descent", lambda h: V.suspects_descent(h.tree), _HEAVY + "SELECT w.obj_id, point, hops, class_name AS point_class, retained AS point_retained FROM w JOIN d ON d.obj_id = point")
+_BEST = """, b AS (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY retained DESC, obj_id) AS k FROM d WHERE idom IS NOT NULL)
+SELECT b.class_name AS of_class, concat_ws(' > ', d3.class_name, d2.class_name, d1.class_name, b.class_name) AS path
+FROM b LEFT JOIN d d1 ON d1.obj_id = b.idom LEFT JOIN d d2 ON d2.obj_id = d1.idom LEFT JOIN d d3 ON d3.obj_id = d2.idom WHERE k = 1
+"""
+over_heap("root_path", lambda h: V.root_path(h.tree), _BEST)
 
 # Contents: strings are the documents' texts, primitive arrays the embeddings, collections the conversations.
 _FILES = lambda spark, sf_dir, name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -167,7 +179,8 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REP = "e AS (SELECT CAST(floor(epoch(ts) / 604800) AS BIGINT) AS w, event_type || '.' || user_id % 5 AS class_name, CAST(floor(value) AS BIGINT) AS v FROM events), q AS (SELECT w, class_name, count(*) AS instances, CAST(sum(v) AS BIGINT) AS retained FROM e GROUP BY 1, 2 HAVING NOT (w % 2 = 0 AND class_name LIKE '%.3')), p AS (SELECT *, dense_rank() OVER (ORDER BY w) - 1 AS report FROM q), f AS (SELECT class_name, sum(retained) FILTER (report = 0) AS first_retained, sum(retained) FILTER (report = (SELECT max(report) FROM p)) AS last_retained, sum(instances) FILTER (report = 0) AS first_instances, sum(instances) FILTER (report = (SELECT max(report) FROM p)) AS last_instances FROM p GROUP BY 1)"
 query("growth", lambda sp, d: G.growth(reports(sp, d)), f"WITH {_REP} SELECT class_name, CASE WHEN first_retained IS NULL AND last_retained IS NULL THEN 'passing' WHEN first_retained IS NULL THEN 'new' WHEN last_retained IS NULL THEN 'gone' ELSE 'kept' END AS state, CAST(coalesce(first_retained, 0) AS BIGINT) AS first_retained, CAST(coalesce(last_retained, 0) AS BIGINT) AS last_retained, CAST(coalesce(last_retained, 0) - coalesce(first_retained, 0) AS BIGINT) AS delta_retained, CAST(coalesce(last_instances, 0) - coalesce(first_instances, 0) AS BIGINT) AS delta_instances FROM f")
 query("growth_series", lambda sp, d: G.series(reports(sp, d)), f"WITH {_REP} SELECT class_name, report, retained, CAST(retained - lag(retained) OVER (PARTITION BY class_name ORDER BY report) AS BIGINT) AS step FROM p")
-query("new_classes", lambda sp, d: G.growth(reports(sp, d)).where("state = 'new'").select("class_name"), f"WITH {_REP} SELECT class_name FROM f WHERE first_retained IS NULL AND last_retained IS NOT NULL")
+_NEW_SQL = "SELECT class_name FROM p GROUP BY 1 HAVING count(*) FILTER (report = 0 AND class_name NOT LIKE '%.4') = 0 AND count(*) FILTER (report = (SELECT max(report) FROM p)) > 0"
+query("new_classes", lambda sp, d: G.growth(reports(sp, d).where("NOT (report = 0 AND class_name LIKE '%.4')")).where("state = 'new'").select("class_name"), f"WITH {_REP} {_NEW_SQL}")
 
 
 # Functions and joins on plain tables.
@@ -225,6 +238,28 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 _SIDES = "o AS (SELECT 'C' || o_custkey % 97 AS class_name, o_orderkey FROM orders), a AS (SELECT class_name, count(*) AS i, sum(o_orderkey % 50) AS r FROM o WHERE class_name <> 'C5' GROUP BY 1), b AS (SELECT class_name, count(*) AS i, sum(o_orderkey % 50) + CASE WHEN class_name LIKE '%3' THEN 9 ELSE 0 END AS r FROM o WHERE class_name <> 'C7' GROUP BY 1)"
 query("parity_compare", lambda sp, d: G.compared(*_sides(sp, d), ["class_name"], ["instances", "retained"]), f"WITH {_SIDES} SELECT coalesce(a.class_name, b.class_name) AS class_name, CASE WHEN a.class_name IS NULL THEN 'missing' WHEN b.class_name IS NULL THEN 'extra' WHEN a.i = b.i AND a.r = b.r THEN 'match' ELSE 'differs' END AS outcome, CASE WHEN a.class_name IS NULL OR b.class_name IS NULL OR (a.i = b.i AND a.r = b.r) THEN '' ELSE concat_ws(',', CASE WHEN a.i <> b.i THEN 'instances' END, CASE WHEN a.r <> b.r THEN 'retained' END) END AS measures FROM a FULL JOIN b ON a.class_name = b.class_name")
+query("compared_classes", lambda sp, d: G.classes_compared(*(s.withColumnRenamed("instances", "objects") for s in _sides(sp, d))), f"WITH {_SIDES} SELECT class_name, CASE WHEN a.r IS NULL THEN 'missing' WHEN a.i = b.i AND a.r = b.r THEN 'match' ELSE 'differs' END AS outcome FROM b LEFT JOIN a USING (class_name)")
+_CLASS = lambda t: t.withColumn("class_name", F.when(F.col("class_name") == "C13", "java.lang.Class").otherwise(F.col("class_name")))
+_SUSPECTS_SQL = """, m AS (SELECT CASE WHEN class_name = 'C13' THEN 'java.lang.Class' ELSE class_name END AS class_name, r FROM a),
+n AS (SELECT CASE WHEN class_name = 'C13' THEN 'java.lang.Class' ELSE class_name END AS class_name, r, round(r / 99991.0 * 100, 2) AS pct FROM b)
+SELECT class_name, CASE WHEN m.r IS NULL THEN 'missing' WHEN m.r = n.r THEN 'match' WHEN class_name = 'java.lang.Class' THEN 'explained' ELSE 'differs' END AS retained_outcome,
+       CASE WHEN m.r IS NULL THEN 'missing' WHEN round(m.r / 99991.0 * 100, 2) = pct THEN 'rounded' WHEN class_name = 'java.lang.Class' THEN 'explained' ELSE 'differs' END AS pct_outcome
+FROM n LEFT JOIN m USING (class_name)
+"""
+query("compared_suspects", lambda sp, d: G.suspects_compared(_CLASS(_sides(sp, d)[0]), _CLASS(_sides(sp, d)[1]).withColumn("pct", F.round(F.col("retained") / 99_991.0 * 100, 2)), 99_991), f"WITH {_SIDES} {_SUSPECTS_SQL}")
+
+
+def _package_sides(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Parts by container as packages; the other side counts one object and seven bytes more under ``name``."""
+    p = _FILES(spark, sf_dir, "part").select(F.concat(F.lit("java.lang."), F.regexp_replace("p_brand", "#", "")).alias("package"), "p_size")
+    ours = p.groupBy("package").agg(F.count("*").alias("objects"), F.sum("p_size").cast("long").alias("retained"))
+    odd = F.col("package").endswith(name).cast("long")
+    return ours.where("NOT endswith(package, '5')"), ours.select("package", (F.col("objects") + odd).alias("objects"), (F.col("retained") + 7 * odd).alias("retained"))
+
+
+query("compared_packages", lambda sp, d: G.packages_compared(*_package_sides(sp, d, "2")), "SELECT DISTINCT 'java.lang.' || replace(p_brand, '#', '') AS package, CASE WHEN p_brand LIKE '%5' THEN 'skipped' WHEN p_brand LIKE '%2' THEN 'explained' ELSE 'match' END AS outcome FROM part")
+_BAND = "concat(format_number(p_size * 37, 0), '.', p_partkey % 10, ' ', element_at(array('B', 'KB', 'MB', 'GB', 'TB'), cast(p_partkey % 5 as int) + 1))"
+query("display_band", lambda sp, d: _FILES(sp, d, "part").select("p_partkey", G.display_band(F.expr(_BAND)).alias("b")).select("p_partkey", "b.low", "b.high"), "SELECT p_partkey, greatest((p_size * 37 + (p_partkey % 10) / 10.0::DOUBLE - 0.05::DOUBLE) * (1024 ** (p_partkey % 5)), 0)::DOUBLE AS low, ((p_size * 37 + (p_partkey % 10) / 10.0::DOUBLE + 0.05::DOUBLE) * (1024 ** (p_partkey % 5)))::DOUBLE AS high FROM part")
 query("parity_any_equal", lambda sp, d: G.any_equal(*_sides(sp, d), "class_name", ["instances", "retained"]), f"WITH {_SIDES} SELECT class_name, i AS instances, CAST(r AS BIGINT) AS retained, EXISTS (SELECT 1 FROM a WHERE a.class_name = b.class_name AND a.i = b.i AND a.r = b.r) AS found FROM b")
 query("parity_matched_once", lambda sp, d: G.matched_once(*(s.withColumn("n", F.pmod("retained", F.lit(10))) for s in _sides(sp, d)), ["n"]), f"WITH {_SIDES}, x AS (SELECT CAST(r % 10 AS BIGINT) AS n, count(*) AS ours FROM a GROUP BY 1), y AS (SELECT CAST(r % 10 AS BIGINT) AS n, count(*) AS theirs FROM b GROUP BY 1) SELECT coalesce(x.n, y.n) AS n, coalesce(ours, 0) AS ours, coalesce(theirs, 0) AS theirs, least(coalesce(ours, 0), coalesce(theirs, 0)) AS matched FROM x FULL JOIN y ON x.n = y.n")
 query("sweep_gate", lambda sp, d: G.sweep_gate(_FILES(sp, d, "supplier").select(F.lit(0).alias("fails"), F.pmod("s_suppkey", F.lit(4)).alias("compared"))), "SELECT CAST(0 AS BIGINT) AS fails, count(*) FILTER (s_suppkey % 4 > 0) AS comparisons, count(*) FILTER (s_suppkey % 4 > 0) >= 15 AS passed FROM supplier")

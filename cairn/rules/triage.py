@@ -97,7 +97,7 @@ def evaluate(facts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 # Packages whose objects are what a parser left.
-PARSERS = ("com.fasterxml.jackson", "org.json", "com.google.gson", "org.w3c.dom", "org.dom4j", "org.jdom", "org.antlr", "com.sun.org.apache.xerces")
+PARSERS = ("org.w3c.dom.", "com.fasterxml.jackson.", "com.google.gson.", "org.dom4j.", "org.jdom.", "nu.xom.", "javax.xml.", "jakarta.xml.")
 
 
 def facts_of(tree: DataFrame, roots: DataFrame, header: int = 12) -> DataFrame:
@@ -105,6 +105,7 @@ def facts_of(tree: DataFrame, roots: DataFrame, header: int = 12) -> DataFrame:
     hist = V.class_histogram(tree)
     name, n = F.col("class_name"), F.col("instances")
     most = lambda cond: F.max(F.when(cond, n))
+    object_ = ~name.endswith("[]")
     total = V.reached(tree).agg(F.sum("shallow").alias("total"), F.count("*").alias("objects"), F.max(F.when(F.col("kind") == S.PRIMITIVE_ARRAY, F.col("shallow"))).alias("largest_prim_array"))
     by_class = hist.crossJoin(F.broadcast(total.select("total"))).agg(
         F.max(F.when((n >= 10_000_000) & (F.col("shallow") <= 64 * n) & (F.col("shallow") * 10 >= F.col("total")) & ~name.endswith("[]"), name)).alias("swarm_class"),
@@ -113,10 +114,10 @@ def facts_of(tree: DataFrame, roots: DataFrame, header: int = 12) -> DataFrame:
         F.countDistinct("loader").alias("loaders"), F.count("*").alias("classes"), F.count_if(S.is_anonymous(name)).alias("anonymous_classes"),
         most(name == "java.lang.ref.Finalizer").alias("finalizers"),
         F.sum(F.when(name.isin("java.lang.reflect.Method", "java.lang.reflect.Field", "java.lang.reflect.Constructor"), n)).alias("reflection_objects"),
-        most(name.contains("Session")).alias("max_sessions"),
-        most(name.rlike("Connection|Socket") & ~name.rlike("Weak|Reference")).alias("max_connections"),
-        most(name.rlike("Listener|Observer|Subscriber")).alias("max_listeners"),
-        F.sum(F.when(F.greatest(*[name.startswith(p) for p in PARSERS]), n)).alias("parser_objects"),
+        most(name.contains("Session") & object_).alias("max_sessions"),
+        most(name.rlike("Connection|Socket") & ~name.rlike("Weak|Reference") & object_).alias("max_connections"),
+        most(name.rlike("Listener|Observer|Subscriber") & object_).alias("max_listeners"),
+        most(F.greatest(*[name.startswith(p) for p in PARSERS]) & object_).alias("parser_objects"),
         most(name == "java.lang.String").alias("strings"),
     )
     kinds = V.composition(tree).where("reachable").crossJoin(F.broadcast(total.select("total")))

@@ -1,5 +1,6 @@
 import pytest
 
+from cairn.plans.tables import one_row
 from cairn.operators import contents as C
 from cairn.operators import views
 from cairn.plans import dump as D
@@ -78,12 +79,12 @@ def test_views_of_fields(dump, spark):
     assert [(r.key, r.value) for r in DV.system_properties(dump).collect()] == [("os", "linux"), ("user", "linux")]
     assert [(r.kind, r.class_name, r.reachable) for r in DV.reference_rows(dump, heap.tree).collect()] == [("Weak", "java.lang.Object", True)]
     found = D.collections_of(dump, descriptors(spark, BUILT_IN), heap.nodes)
-    facts = DV.facts_of_fields(dump, heap.tree, found).first()
+    facts = one_row(DV.facts_always(dump, heap.tree), DV.facts_of_duplicates(dump), DV.facts_of_collections(dump, heap.tree, found)).first()
     assert (facts.null_key_entries, facts.direct_buffer_bytes, facts.only_weak, facts.collections, facts.threads, facts.maps) == (1, 4096, 0, 2, 1, 1)
     assert facts.array_waste == 16 and facts.constant_array_bytes == 32 + 2
     copies = DV.duplicate_primitive_arrays(dump).collect()
     assert [(r.class_name, r.groups, r.arrays, r.wasted) for r in copies] == [("int[]", 1, 2, 16)]
-    constant = {(r.class_name, r.length, r.value): r.objects for r in DV.constant_primitive_arrays(dump, heap.tree).collect()}
+    constant = {(r.class_name, r.length, r.value): r.objects for r in DV.constant_primitive_arrays(dump).collect()}
     assert constant == {("int[]", 4, "00000007"): 2, ("byte[]", 2, "78"): 1}
     frames = DV.allocation_frames(dump, views.allocation_sites(heap.tree)).collect()
     assert [(r.alloc_serial, r.objects, r.frame) for r in frames] == [(1, 2, "Sub.run(Main.java:12)")]
