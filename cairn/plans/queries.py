@@ -259,7 +259,7 @@ def _package_sides(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFra
 
 query("compared_packages", lambda sp, d: G.packages_compared(*_package_sides(sp, d, "2")), "SELECT DISTINCT 'java.lang.' || replace(p_brand, '#', '') AS package, CASE WHEN p_brand LIKE '%5' THEN 'skipped' WHEN p_brand LIKE '%2' THEN 'explained' ELSE 'match' END AS outcome FROM part")
 _BAND = "concat(format_number(p_size * 37, 0), '.', p_partkey % 10, ' ', element_at(array('B', 'KB', 'MB', 'GB', 'TB'), cast(p_partkey % 5 as int) + 1))"
-query("display_band", lambda sp, d: _FILES(sp, d, "part").select("p_partkey", G.display_band(F.expr(_BAND)).alias("b")).select("p_partkey", "b.low", "b.high"), "SELECT p_partkey, greatest((p_size * 37 + (p_partkey % 10) / 10.0::DOUBLE - 0.05::DOUBLE) * (1024 ** (p_partkey % 5)), 0)::DOUBLE AS low, ((p_size * 37 + (p_partkey % 10) / 10.0::DOUBLE + 0.05::DOUBLE) * (1024 ** (p_partkey % 5)))::DOUBLE AS high FROM part")
+query("display_band", lambda sp, d: _FILES(sp, d, "part").select("p_partkey", G.display_band(F.expr(_BAND)).alias("b")).select("p_partkey", "b.low", "b.high"), "WITH x AS (SELECT p_partkey, CAST((p_size * 37)::VARCHAR || '.' || p_partkey % 10 AS DOUBLE) AS x, 0.05::DOUBLE AS h, 1024.0::DOUBLE ** (p_partkey % 5) AS k FROM part) SELECT p_partkey, greatest((x - h) * k, 0.0::DOUBLE) AS low, (x + h) * k AS high FROM x")
 query("parity_any_equal", lambda sp, d: G.any_equal(*_sides(sp, d), "class_name", ["instances", "retained"]), f"WITH {_SIDES} SELECT class_name, i AS instances, CAST(r AS BIGINT) AS retained, EXISTS (SELECT 1 FROM a WHERE a.class_name = b.class_name AND a.i = b.i AND a.r = b.r) AS found FROM b")
 query("parity_matched_once", lambda sp, d: G.matched_once(*(s.withColumn("n", F.pmod("retained", F.lit(10))) for s in _sides(sp, d)), ["n"]), f"WITH {_SIDES}, x AS (SELECT CAST(r % 10 AS BIGINT) AS n, count(*) AS ours FROM a GROUP BY 1), y AS (SELECT CAST(r % 10 AS BIGINT) AS n, count(*) AS theirs FROM b GROUP BY 1) SELECT coalesce(x.n, y.n) AS n, coalesce(ours, 0) AS ours, coalesce(theirs, 0) AS theirs, least(coalesce(ours, 0), coalesce(theirs, 0)) AS matched FROM x FULL JOIN y ON x.n = y.n")
 query("sweep_gate", lambda sp, d: G.sweep_gate(_FILES(sp, d, "supplier").select(F.lit(0).alias("fails"), F.pmod("s_suppkey", F.lit(4)).alias("compared"))), "SELECT CAST(0 AS BIGINT) AS fails, count(*) FILTER (s_suppkey % 4 > 0) AS comparisons, count(*) FILTER (s_suppkey % 4 > 0) >= 15 AS passed FROM supplier")
