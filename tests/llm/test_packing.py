@@ -60,3 +60,9 @@ def test_costs_are_balanced():
     full = [cost[s] for s in range(len(rooms)) if rooms[s] == 256]
     assert max(full) < 1.45 * sum(full) / len(full)
     assert len(pieces) <= len(lengths) + len(rooms)  # a cut fills a sequence
+
+
+def test_table_smaller_than_a_sequence(spark, docs_of):
+    got = pack_documents(docs_of([(1, "a few words"), (2, None)]), PATH).collect()
+    assert sum(r.length for r in got) == len(THEIRS.encode("a few words").ids) + 2
+    assert {r.doc_id for r in got} == {1, 2} and max(r.offset + r.length for r in got) < 2048

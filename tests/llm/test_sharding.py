@@ -51,3 +51,35 @@ def test_large_hypergeometric_like_the_small_one(monkeypatch):
 def test_bijection():
     for n in (1, 2, 3, 17, 1000):
         assert sorted(permuted(np.arange(n), n, [1, 2, 3]).tolist()) == list(range(n))
+
+
+def test_few_rows_and_long_text(spark, docs_of):
+    rows = [(1, "x" * 3_000_000), (2, None), (None, "é")]
+    got = shard_documents(docs_of(rows), n_shards=40).collect()
+    assert sorted((r.size, r.slot) for r in got) == [(16, 0), (18, 0), (3_000_016, 0)]
+    assert len({r.shard for r in got}) == 3 and all(0 <= r.shard < 40 for r in got)
+
+
+def test_permutations_of_few_rows_are_uniform():
+    # every order of five rows is as likely: 119 degrees of freedom, 0.001 of chance beyond 173
+    seen = Counter(tuple(permuted(np.arange(5), 5, [7, k]).tolist()) for k in range(6000))
+    assert len(seen) == 120 and sum((n - 50) ** 2 / 50 for n in seen.values()) < 173
+    for n in (2, 16, 40, 4096, 5000):
+        assert sorted(permuted(np.arange(n), n, [3, n]).tolist()) == list(range(n))
+    gaps = Counter()
+    for k in range(4000):
+        first, second = permuted(np.arange(2), 16, [9, k]).tolist()
+        gaps[(second - first) % 16 // 4] += 1
+    assert sum((gaps[g] - e) ** 2 / e for g, e in enumerate((800, 1066.7, 1066.7, 1066.7))) < 16.3
+
+
+def test_slots_of_the_query_are_uniform(spark, docs_of):
+    """Each row is as likely in each shard and slot, over many seeds: the place of one row of nine in three shards."""
+    docs = docs_of([(i, f"t{i}") for i in range(9)], 3).cache()
+    places = Counter()
+    for seed in range(40):
+        for r in shard_documents(docs, 3, seed).collect():
+            places[(r.doc_id, r.shard * 3 + r.slot)] += 1
+    expected = 40 / 9
+    # 64 degrees of freedom, 0.001 of chance beyond 105
+    assert sum((places[(i, p)] - expected) ** 2 / expected for i in range(9) for p in range(9)) < 105
