@@ -225,11 +225,8 @@ def dominator_tree(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> Data
     sums, _ = _doubled(start, ["retained", "below"], [], "tree-sums")
     out = placed.join(sums.select("obj_id", "retained", "below"), "obj_id", "left").join(_below_own_class(known), "obj_id", "left")
     alive = F.col("idom").isNotNull()
-    return (
-        out.withColumn("retained", F.when(alive, F.coalesce("retained", "shallow")))
-        .withColumn("below", F.when(alive, F.coalesce("below", F.lit(1))))
-        .withColumn("same_class", F.coalesce("same_class", F.lit(False)))
-    )
+    out = out.withColumn("retained", F.when(alive, F.coalesce("retained", "shallow"))).withColumn("below", F.when(alive, F.coalesce("below", F.lit(1))))
+    return written(out.withColumn("same_class", F.coalesce("same_class", F.lit(False))), "tree")
 
 
 def _below_own_class(known: DataFrame) -> DataFrame:

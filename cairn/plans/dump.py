@@ -170,7 +170,7 @@ def heap_of_dump(dump: Dump, exclude_referents: bool = False) -> Heap:
     edges = references(dump, exclude_referents)
     edges = written(edges.join(ids.withColumnRenamed("obj_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("obj_id", "dst"), "dst", "left_semi"), "edges")
     roots = written(roots_of(dump, nodes), "roots")
-    tree = written(dominator_tree(nodes, edges, roots), "tree")
+    tree = dominator_tree(nodes, edges, roots)
     return Heap(nodes, edges, roots, tree, written(unreachable_forest(tree, edges), "forest"))
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
@@ -25,11 +27,28 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+@contextlib.contextmanager
+def by_real_size(spark: SparkSession) -> Iterator[None]:
+    """Joins planned within choose a broadcast by the bytes that were really exchanged, not by the size of files: ids in
+    order take next to no space in a file, and very much when they are sent to every executor."""
+    most, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {k: spark.conf.get(k, None) for k in (most, adaptive)}
+    if before[adaptive] is None:
+        spark.conf.set(adaptive, spark.conf.get(most))
+    spark.conf.set(most, "-1")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write and reread: cuts the lineage of a loop, and a lost executor costs a reread only. The table is removed
     when the driver's Python ends."""
     path = f"{shared_folder(df.sparkSession)}/heap-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with by_real_size(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -103,7 +103,7 @@ def relational_heap(spark: SparkSession, sf_dir: str) -> Heap:
     if key not in _HEAPS:
         nodes, edges, roots = relational_graph(spark, sf_dir)
         nodes, edges, roots = written(nodes, "nodes"), written(edges, "edges"), written(roots, "roots")
-        tree = written(dominator_tree(nodes, edges, roots), "tree")
+        tree = dominator_tree(nodes, edges, roots)
         _HEAPS[key] = Heap(nodes, edges, roots, tree, written(unreachable_forest(tree, edges), "forest"))
     return _HEAPS[key]
 
