@@ -14,7 +14,7 @@ from cairn.functions import scalars as S
 from cairn.operators.graph import dominator_tree, union_edges, unreachable_forest
 from cairn.operators.views import compressed_references
 from cairn.plans.tables import written
-from cairn.sources.hprof import SCHEMAS, HprofSource
+from cairn.sources.hprof import SCHEMAS, HprofSource, columns_of
 from cairn.sources.relational import Heap
 
 # Fields through which the collector doesn't keep objects alive, as (class, field).
@@ -39,9 +39,17 @@ class Dump:
 
 
 def open_relations(spark: SparkSession, path: str) -> Dump:
-    """All relations, written as tables, so that every later scan reads only the columns it needs."""
+    """All relations, decoded in one pass into one table with a folder for each, so that every later scan reads only the
+    folder and the columns it needs."""
     spark.dataSource.register(HprofSource)
-    tables = {r: written(spark.read.format("hprof").option("relation", r).load(path), r) for r in SCHEMAS}
+    writers = "spark.sql.maxConcurrentOutputFileWriters"  # one for each relation: rows needn't be sorted by it
+    before = spark.conf.get(writers)
+    spark.conf.set(writers, len(SCHEMAS))
+    try:
+        decoded = written(spark.read.format("hprof").option("relation", "all").load(path), "relations", by=("record",))
+    finally:
+        spark.conf.set(writers, before)
+    tables = {r: decoded.where(F.col("record") == r).select(*[F.col("kind").alias(c) if c == "record" else F.col(c) for c in columns_of(r)]) for r in SCHEMAS}
     for r, key in (("instances", "addr"), ("obj_arrays", "addr"), ("prim_arrays", "addr"), ("classes", "class_addr")):
         first = tables[r].groupBy(key).agg(F.min("file_off").alias("file_off"))  # of repeated addresses the first
         tables[r] = tables[r].join(first, [key, "file_off"], "left_semi")

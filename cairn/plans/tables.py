@@ -43,12 +43,12 @@ def by_real_size(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write and reread: cuts the lineage of a loop, and a lost executor costs a reread only. The table is removed
-    when the driver's Python ends."""
+    when the driver's Python ends. ``by`` names columns whose values get folders of their own."""
     path = f"{shared_folder(df.sparkSession)}/heap-{name}-{uuid.uuid4().hex}"
     with by_real_size(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path, partitionBy=list(by) or None)
     _WRITTEN.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -6,7 +6,8 @@ from cairn.operators import views
 from cairn.plans import dump as D
 from cairn.plans import dump_views as DV
 from cairn.sources.collections import BUILT_IN, descriptors, parse_config
-from cairn.sources.hprof import DumpError, HprofReader, is_dump
+from cairn.sources import hprof
+from cairn.sources.hprof import SCHEMAS, DumpError, HprofReader, is_dump
 from tests.dump_writer import DumpWriter, sample
 
 
@@ -115,6 +116,38 @@ def test_broken_files(tmp_path):
         [list(reader.read(p)) for p in reader.partitions()]
 
 
+def read(path, relation):
+    reader = HprofReader(path, relation)
+    return [row for part in reader.partitions() for batch in reader.read(part) for row in batch.to_pylist()]
+
+
+@pytest.mark.parametrize("window", [1, 7, 64, 1 << 20])
+def test_windows_and_batches(tmp_path, monkeypatch, window):
+    """Records that lie across windows, batches of few rows, one pass against one for each relation, another file system."""
+    path = sample().write(tmp_path / "a.hprof")
+    whole = {relation: read(path, relation) for relation in SCHEMAS}
+    monkeypatch.setattr(hprof, "WINDOW", window)
+    monkeypatch.setattr(hprof, "BATCH_BYTES", 200)
+    every = read(f"file://{path}", "all")
+    for relation, rows in whole.items():
+        names = ["kind" if c == "record" else c for c in hprof.columns_of(relation)]
+        found = [tuple(row[c] for c in names) for row in every if row["record"] == relation]
+        wanted = [tuple(row.values()) for row in rows]
+        if relation == "dump_info":
+            assert [r[:3] for r in found] == [r[:3] for r in wanted]
+        else:
+            assert found == wanted and read(path, relation) == rows
+    assert len(every) == sum(map(len, whole.values()))
+
+
+def test_serials_beyond_the_sign(tmp_path):
+    w = DumpWriter()
+    w.cls(0x9000, "A", serial=0xFFFFFFFE)
+    w.instance(0x10000, 0x9000, b"", serial=0xFFFFFFFF)
+    path = w.write(tmp_path / "a.hprof")
+    assert read(path, "load_class")[0]["serial"] == -2 and read(path, "instances")[0]["alloc_serial"] == -1
+
+
 def test_config():
     mine = parse_config('[[collection]]\nclass = "com/x/Bag"\nkind = "Set"\nsize_field = "com/x/Bag#n"\narray_field = "com/x/Bag#items"\n')
     assert mine == [("com/x/Bag", "Set", "com/x/Bag", "n", "com/x/Bag", "items")]
