@@ -98,8 +98,21 @@ def run_analyse(args: argparse.Namespace) -> int:
 
 def run_compare_reports(args: argparse.Namespace) -> int:
     spark = session()
-    rows = G.growth(reports.class_rows(reports.read_reports(spark, args.inputs))).orderBy(F.desc("delta_retained"), "class_name")
-    report = {"version": VERSION, "source": " → ".join(args.inputs), "sections": {"growth": {"title": "Growth by class", "columns": rows.columns, "rows": [list(r) for r in rows.collect()]}}}
+    given = reports.read_reports(spark, args.inputs)
+    classes = reports.class_rows(given)
+    rows = G.growth(classes)
+    last = len(args.inputs) - 1
+    suspects = G.changes(reports.suspect_rows(given), last)
+    totals = reports.shallow_totals(given)
+    line = G.verdict(rows, totals[0], totals[-1], suspects.where("state = 'new'").count())
+    tables = {
+        "growth": ("Growth by class", rows.orderBy(F.desc("delta_retained"), "class_name")),
+        "histories": ("Every report by class", G.histories(classes).orderBy(F.desc("delta_retained"), "class_name")),
+        "suspect_changes": ("Suspects that are new, gone or kept", suspects.orderBy("state", F.desc("last_retained"), "class_name")),
+    }
+    sections = {"verdict": {"title": "Verdict", "columns": ["verdict"], "rows": [[line]]}}
+    sections |= {k: {"title": title, "columns": t.columns, "rows": [list(r) for r in t.collect()]} for k, (title, t) in tables.items()}
+    report = {"version": VERSION, "source": " → ".join(args.inputs), "sections": sections}
     fmt = render.format_of(args.format, args.output)
     render.write(render.page(report, "growth") if fmt == "html" else render.FORMATS[fmt](report), args.output)
     return 0

@@ -15,8 +15,12 @@ def series(reports: DataFrame) -> DataFrame:
 
 def growth(reports: DataFrame) -> DataFrame:
     """First against last report (class_name, report, retained, instances) for each class, summed over loaders."""
-    ends = F.broadcast(reports.agg(F.max("report").alias("last")))
-    rows = reports.crossJoin(ends)
+    return changes(reports, F.broadcast(reports.agg(F.max("report").alias("last"))))
+
+
+def changes(reports: DataFrame, last: int | DataFrame) -> DataFrame:
+    """The same where the last report's number is known, or in a table of one row: rows may be missing from whole reports."""
+    rows = reports.withColumn("last", F.lit(last)) if isinstance(last, int) else reports.crossJoin(last)
     pick = lambda c, when: F.sum(F.when(when, F.col(c)))
     first, last = F.col("report") == 0, F.col("report") == F.col("last")
     sums = rows.groupBy("class_name").agg(pick("retained", first).alias("fr"), pick("retained", last).alias("lr"), pick("instances", first).alias("fi"), pick("instances", last).alias("li"))
@@ -26,6 +30,26 @@ def growth(reports: DataFrame) -> DataFrame:
     return sums.select("class_name", state.alias("state"), value("fr").alias("first_retained"), value("lr").alias("last_retained"), (value("lr") - value("fr")).alias("delta_retained"), (value("li") - value("fi")).alias("delta_instances"))
 
 
+def histories(reports: DataFrame) -> DataFrame:
+    """class_name, state, and of every report in order its retained size and instances (0 where the class is missing), with
+    the difference of the ends: arrays as long as there are reports."""
+    ends = F.broadcast(reports.agg(F.max("report").cast("int").alias("last")))  # one row
+    found = reports.groupBy("class_name", "report").agg(F.sum("retained").alias("retained"), F.sum("instances").alias("instances"))
+    maps = found.groupBy("class_name").agg(*[F.map_from_entries(F.collect_list(F.struct(F.col("report").cast("int").alias("k"), F.col(c).alias("v")))).alias(c) for c in ("retained", "instances")])
+    every = F.sequence(F.lit(0), F.col("last"))
+    along = lambda c: F.transform(every, lambda k: F.coalesce(F.try_element_at(F.col(c), k), F.lit(0).cast("long")))
+    start, end = F.array_contains(F.map_keys("retained"), 0), F.array_contains(F.map_keys("retained"), F.col("last"))
+    state = F.when(start & end, "kept").when(start, "gone").when(end, "new").otherwise("passing")
+    rows = maps.crossJoin(ends).select("class_name", state.alias("state"), along("retained").alias("retained"), along("instances").alias("instances"))
+    return rows.withColumn("delta_retained", F.element_at("retained", -1) - F.element_at("retained", 1))
+
+
+def heavy_classes(reports: DataFrame, share: int = 10) -> DataFrame:
+    """The rows of classes that hold ``share`` percent of their report's retained sum: suspects where only rows are known."""
+    total = reports.groupBy("report").agg(F.sum("retained").alias("total"))
+    return reports.join(F.broadcast(total), "report").where(F.col("retained").cast("decimal(38,0)") * 100 >= F.col("total").cast("decimal(38,0)") * share).drop("total")
+
+
 def compared(ours: DataFrame, theirs: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
     """One row for each key of either side: match, differs, missing (on our side) or extra, and which measures."""
     a = ours.select(*keys, *[F.col(m).alias(f"ours_{m}") for m in measures], F.lit(True).alias("in_ours"))

@@ -209,6 +209,24 @@ def suspects_descent(tree: DataFrame, share: int = 10) -> DataFrame:
     return found.join(at, "point")
 
 
+def heaviest_nodes(tree: DataFrame, nodes: int = 5000, depth: int = 20) -> DataFrame:
+    """The top of the dominator tree: the ``nodes`` heaviest objects down to ``depth``.
+
+    A dominator retains no less than what it dominates and is less deep, so in this order it comes first and the rows
+    always are a whole top of the tree."""
+    live = tree.where(F.col("idom").isNotNull() & (F.col("depth") <= depth))
+    return live.select("obj_id", "idom", "depth", "class_name", "shallow", "retained", F.col("below").alias("objects")).orderBy(F.desc("retained"), "depth", "obj_id").limit(nodes)
+
+
+def point_children(tree: DataFrame, points: DataFrame, shown: int = 50) -> DataFrame:
+    """point, child_rank, obj_id, class_name, shallow, retained: the ``shown`` heaviest objects that each accumulation point
+    (column point) dominates immediately. Ranks are limited before they are exchanged."""
+    at = F.broadcast(points.select("point").distinct())  # of suspects, each a tenth of the heap: ten at most
+    rows = tree.join(at, F.col("idom") == F.col("point")).select("point", "obj_id", "class_name", "shallow", "retained")
+    rank = F.row_number().over(W.partitionBy("point").orderBy(F.desc("retained"), "obj_id"))
+    return rows.withColumn("child_rank", rank).where(F.col("child_rank") <= shown)
+
+
 def dominated_by_class(tree: DataFrame, points: DataFrame) -> DataFrame:
     """Children of points (column point) in the dominator tree, by class."""
     rows = tree.join(points.select(F.col("point").alias("idom")).distinct(), "idom")

@@ -202,8 +202,20 @@ def java_strings(dump: Dump) -> DataFrame:
     return rows.select("obj_id", text.alias("value"), "array", F.octet_length(text).cast("long").alias("used"), F.length("bytes").cast("long").alias("capacity"))
 
 
+def thread_states(dump: Dump) -> DataFrame:
+    """addr, is_daemon, priority, state of each thread: its own fields, or those of the object it keeps them in."""
+    holder = "java/lang/Thread$FieldHolder"
+    wanted = {"daemon": 1, "priority": 4, "threadStatus": 4}
+    plan = field_plan(dump).where(F.col("declared").isin("java/lang/Thread", holder) & F.col("field").isin(*wanted))
+    places = F.broadcast(plan.groupBy("class_addr").agg(*[F.max(F.when(F.col("field") == f, F.col("offset"))).alias(f) for f in wanted]))  # classes of threads
+    own = dump.instances.join(places, "class_addr").select("addr", *[S.big_endian("blob", F.col(f), w).alias(f) for f, w in wanted.items()])
+    held = named_field(dump, "java/lang/Thread", "holder").join(own.withColumnRenamed("addr", "ref"), "ref").drop("ref")
+    first = own.unionByName(held).groupBy("addr").agg(*[F.max(f).alias(f) for f in wanted])
+    return first.select("addr", (F.col("daemon") != 0).alias("is_daemon"), F.col("priority").cast("int").alias("priority"), S.thread_state("threadStatus").alias("state"))
+
+
 def threads(dump: Dump, tree: DataFrame) -> DataFrame:
-    """Threads that have frames: serial, name, object, retained size, locals, and the frames as text."""
+    """Threads that have frames: serial, name, object, retained size, locals, daemon, priority, state, and the frames as text."""
     names = java_strings(dump).select(F.col("obj_id").alias("ref"), F.col("value").alias("name"))
     held = named_field(dump, "java/lang/Thread", "name").join(names, "ref", "left").select("addr", "name")
     texts = dump.utf8_strings
@@ -213,8 +225,8 @@ def threads(dump: Dump, tree: DataFrame) -> DataFrame:
     stacks = dump.stack_traces.where(F.size("frame_ids") > 0).select("thread_serial", F.posexplode("frame_ids").alias("k", "frame_id")).join(frames, "frame_id", "left")
     shown = stacks.groupBy("thread_serial").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce("text", F.lit("?")).alias("text")))), lambda x: x["text"]).alias("frames"))
     local = dump.thread_locals.groupBy("thread_serial").agg(F.countDistinct("addr").alias("locals"))
-    rows = shown.join(dump.thread_objs.groupBy("thread_serial").agg(F.min("addr").alias("addr")), "thread_serial", "left").join(held, "addr", "left").join(local, "thread_serial", "left")
-    return rows.join(tree.select(F.col("obj_id").alias("addr"), "retained"), "addr", "left").select("thread_serial", "name", F.col("addr").alias("obj_id"), "retained", F.coalesce("locals", F.lit(0)).alias("locals"), "frames").orderBy("thread_serial")
+    rows = shown.join(dump.thread_objs.groupBy("thread_serial").agg(F.min("addr").alias("addr")), "thread_serial", "left").join(held, "addr", "left").join(local, "thread_serial", "left").join(thread_states(dump), "addr", "left")
+    return rows.join(tree.select(F.col("obj_id").alias("addr"), "retained"), "addr", "left").select("thread_serial", "name", F.col("addr").alias("obj_id"), "retained", F.coalesce("locals", F.lit(0)).alias("locals"), "is_daemon", "priority", F.coalesce("state", F.lit("unknown")).alias("state"), "frames").orderBy("thread_serial")
 
 
 def locals_by_frame(dump: Dump, tree: DataFrame, shown: int = 20) -> DataFrame:

@@ -85,6 +85,14 @@ w AS (SELECT s.obj_id, coalesce(h4.child, h3.child, h2.child, h1.child, s.obj_id
       FROM s LEFT JOIN h h1 ON h1.obj_id = s.obj_id LEFT JOIN h h2 ON h2.obj_id = h1.child LEFT JOIN h h3 ON h3.obj_id = h2.child LEFT JOIN h h4 ON h4.obj_id = h3.child)
 """
 over_heap("suspects_descent", lambda h: V.suspects_descent(h.tree), _HEAVY + "SELECT w.obj_id, point, hops, class_name AS point_class, retained AS point_retained FROM w JOIN d ON d.obj_id = point")
+over_heap("heaviest_nodes", lambda h: V.heaviest_nodes(h.tree).drop("objects"), "SELECT obj_id, idom, depth, class_name, shallow, retained FROM d WHERE idom IS NOT NULL AND depth <= 20 ORDER BY retained DESC, depth, obj_id LIMIT 5000")
+over_heap(
+    "point_children",
+    lambda h: V.point_children(h.tree, V.suspects_descent(h.tree)),
+    _HEAVY
+    + """SELECT point, k AS child_rank, d.obj_id, d.class_name, d.shallow, d.retained
+FROM (SELECT DISTINCT point FROM w) JOIN c ON c.obj_id = point JOIN d ON d.obj_id = c.child WHERE k <= 50""",
+)
 _BEST = """, b AS (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY retained DESC, obj_id) AS k FROM d WHERE idom IS NOT NULL)
 SELECT b.class_name AS of_class, concat_ws(' > ', d3.class_name, d2.class_name, d1.class_name, b.class_name) AS path
 FROM b LEFT JOIN d d1 ON d1.obj_id = b.idom LEFT JOIN d d2 ON d2.obj_id = d1.idom LEFT JOIN d d3 ON d3.obj_id = d2.idom WHERE k = 1
@@ -179,6 +187,24 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REP = "e AS (SELECT CAST(floor(epoch(ts) / 604800) AS BIGINT) AS w, event_type || '.' || user_id % 5 AS class_name, CAST(floor(value) AS BIGINT) AS v FROM events), q AS (SELECT w, class_name, count(*) AS instances, CAST(sum(v) AS BIGINT) AS retained FROM e GROUP BY 1, 2 HAVING NOT (w % 2 = 0 AND class_name LIKE '%.3')), p AS (SELECT *, dense_rank() OVER (ORDER BY w) - 1 AS report FROM q), f AS (SELECT class_name, sum(retained) FILTER (report = 0) AS first_retained, sum(retained) FILTER (report = (SELECT max(report) FROM p)) AS last_retained, sum(instances) FILTER (report = 0) AS first_instances, sum(instances) FILTER (report = (SELECT max(report) FROM p)) AS last_instances FROM p GROUP BY 1)"
 query("growth", lambda sp, d: G.growth(reports(sp, d)), f"WITH {_REP} SELECT class_name, CASE WHEN first_retained IS NULL AND last_retained IS NULL THEN 'passing' WHEN first_retained IS NULL THEN 'new' WHEN last_retained IS NULL THEN 'gone' ELSE 'kept' END AS state, CAST(coalesce(first_retained, 0) AS BIGINT) AS first_retained, CAST(coalesce(last_retained, 0) AS BIGINT) AS last_retained, CAST(coalesce(last_retained, 0) - coalesce(first_retained, 0) AS BIGINT) AS delta_retained, CAST(coalesce(last_instances, 0) - coalesce(first_instances, 0) AS BIGINT) AS delta_instances FROM f")
 query("growth_series", lambda sp, d: G.series(reports(sp, d)), f"WITH {_REP} SELECT class_name, report, retained, CAST(retained - lag(retained) OVER (PARTITION BY class_name ORDER BY report) AS BIGINT) AS step FROM p")
+query(
+    "growth_histories",
+    lambda sp, d: G.histories(reports(sp, d)).select("class_name", "state", "delta_retained", *[F.array_join(c, ",").alias(c) for c in ("retained", "instances")]),
+    f"""WITH {_REP}, n AS (SELECT DISTINCT report FROM p), a AS (SELECT class_name, n.report,
+  CAST(coalesce(p.retained, 0) AS BIGINT) AS r, coalesce(p.instances, 0) AS i, p.report IS NOT NULL AS there
+  FROM (SELECT DISTINCT class_name FROM p) c CROSS JOIN n LEFT JOIN p USING (class_name, report))
+SELECT class_name, CASE WHEN arg_min(there, report) AND arg_max(there, report) THEN 'kept' WHEN arg_min(there, report) THEN 'gone'
+  WHEN arg_max(there, report) THEN 'new' ELSE 'passing' END AS state, CAST(arg_max(r, report) - arg_min(r, report) AS BIGINT) AS delta_retained,
+  string_agg(r, ',' ORDER BY report) AS retained, string_agg(i, ',' ORDER BY report) AS instances FROM a GROUP BY 1""",
+)
+query(
+    "heavy_class_changes",
+    lambda sp, d: G.growth(G.heavy_classes(reports(sp, d), 5)).select("class_name", "state", "first_retained", "last_retained"),
+    f"""WITH {_REP}, x AS (SELECT * FROM p QUALIFY retained * 100 >= 5 * sum(retained) OVER (PARTITION BY report)),
+y AS (SELECT class_name, sum(retained) FILTER (report = 0) AS fr, sum(retained) FILTER (report = (SELECT max(report) FROM x)) AS lr FROM x GROUP BY 1)
+SELECT class_name, CASE WHEN fr IS NULL AND lr IS NULL THEN 'passing' WHEN fr IS NULL THEN 'new' WHEN lr IS NULL THEN 'gone' ELSE 'kept' END AS state,
+  CAST(coalesce(fr, 0) AS BIGINT) AS first_retained, CAST(coalesce(lr, 0) AS BIGINT) AS last_retained FROM y""",
+)
 _NEW_SQL = "SELECT class_name FROM p GROUP BY 1 HAVING count(*) FILTER (report = 0 AND class_name NOT LIKE '%.4') = 0 AND count(*) FILTER (report = (SELECT max(report) FROM p)) > 0"
 query("new_classes", lambda sp, d: G.growth(reports(sp, d).where("NOT (report = 0 AND class_name LIKE '%.4')")).where("state = 'new'").select("class_name"), f"WITH {_REP} {_NEW_SQL}")
 

@@ -42,6 +42,8 @@ SECTIONS: tuple[tuple[str, str, Callable[[Heap, Detail], DataFrame]], ...] = (
     ("histogram", "Class histogram", lambda h, d: V.class_histogram(h.tree).orderBy(F.desc("retained"), "class_name", "loader")),
     ("suspects", "Leak suspects", lambda h, d: V.leak_suspects(h.tree).orderBy(F.desc("retained"), "class_name", "obj_id")),
     ("descent", "Accumulation points", lambda h, d: V.suspects_descent(h.tree)),
+    ("point_children", "Children of accumulation points", lambda h, d: V.point_children(h.tree, V.suspects_descent(h.tree), d.leak_children).orderBy("point", "child_rank")),
+    ("dominator_tree", "Dominator tree", lambda h, d: V.heaviest_nodes(h.tree, d.dom_nodes, d.dom_depth)),
     ("biggest_objects", "Biggest objects", lambda h, d: V.biggest_objects(h.tree, d.top_consumers)),
     ("biggest_classes", "Biggest classes", lambda h, d: V.biggest_classes(h.tree, d.top_consumers)),
     ("packages", "Packages", lambda h, d: V.package_tree(h.tree).orderBy("package")),

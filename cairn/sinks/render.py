@@ -89,14 +89,32 @@ def table(columns: list[str], rows: list[list], limit: int | None = None) -> lis
     return out
 
 
+def drawn_tree(columns: list[str], rows: list[list], limit: int) -> list[str]:
+    """The rows of a tree (obj_id, idom, class_name, retained) with lines before them, the heaviest child first; ``limit`` rows."""
+    at = {c: columns.index(c) for c in ("obj_id", "idom", "class_name", "retained")}
+    below: dict[int, list[list]] = {}
+    for r in sorted(rows, key=lambda r: (-r[at["retained"]], r[at["obj_id"]])):
+        below.setdefault(r[at["idom"]], []).append(r)
+    out, todo = [], [(r, []) for r in reversed(below.get(-1, []))]
+    while todo and len(out) < limit:
+        r, last = todo.pop()
+        out.append(f"{tree_prefix(last)}{cell(r[at['class_name']], '')} {cell(r[at['obj_id']], 'obj_id')} {size(r[at['retained']])}")
+        under = below.get(r[at["obj_id"]], [])
+        todo += [(c, [*last, k == len(under) - 1]) for k, c in reversed(list(enumerate(under)))]
+    return out
+
+
 def markdown(report: dict, bars: bool = False, limit: int = 50) -> str:
     out = [f"# Heap report: {report['source']}", "", "## Contents", ""]
     out += [f"- [{s['title']}](#{s['title'].lower().replace(' ', '-')})" for s in report["sections"].values()]
-    for s in report["sections"].values():
+    for key, s in report["sections"].items():
         out += ["", f"## {s['title']}", ""]
         if not s["rows"]:
             out.append("Nothing to show.")
             continue
+        if key == "dominator_tree":
+            out += ["```", *drawn_tree(s["columns"], s["rows"], limit), "```"]
+            continue
         out += table(s["columns"], s["rows"], limit)
         measure = next((c for c in ("retained", "objects", "shallow") if c in s["columns"]), None)
         if bars and measure and len(s["rows"]) > 1:

@@ -33,6 +33,17 @@ def read_reports(spark: SparkSession, paths: list[str], version: int = 1) -> Dat
     return out
 
 
+def suspect_rows(reports: DataFrame) -> DataFrame:
+    """report, class_name, instances, retained of the leak suspects: single objects and groups, summed by class."""
+    rows = section(reports, "suspects")
+    return rows.groupBy(F.col("ord").alias("report"), "class_name").agg(F.sum(F.col("objects").cast("long")).alias("instances"), F.sum(F.col("retained").cast("long")).alias("retained"))
+
+
+def shallow_totals(reports: DataFrame) -> list[int]:
+    """Shallow bytes of what is reachable, by report: a number for each file that was named."""
+    return [r.bytes for r in section(reports, "totals").select("ord", F.col("reachable_shallow").cast("long").alias("bytes")).orderBy("ord").collect()]
+
+
 def class_rows(reports: DataFrame) -> DataFrame:
     """report, class_name, instances, retained of the histograms, for growth; loaders' rows are summed."""
     rows = section(reports, "histogram")

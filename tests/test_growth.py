@@ -1,4 +1,5 @@
 from cairn.operators import growth as G
+from cairn.sinks import render
 
 
 def test_verdict(spark):
@@ -8,6 +9,23 @@ def test_verdict(spark):
     assert G.verdict(rows, 0, 0) == "Heap size is unchanged."
 
 
+def test_histories_and_changes(spark):
+    rows = [("a", 0, 5, 1), ("a", 0, 1, 1), ("a", 2, 9, 3), ("b", 1, 7, 1), ("c", 2, 4, 2), ("d", 0, 3, 1)]
+    reports = spark.createDataFrame(rows, "class_name string, report int, retained long, instances long")
+    found = {r.class_name: (r.state, r.retained, r.instances, r.delta_retained) for r in G.histories(reports).collect()}
+    assert found == {"a": ("kept", [6, 0, 9], [2, 0, 3], 3), "b": ("passing", [0, 7, 0], [0, 1, 0], 0), "c": ("new", [0, 0, 4], [0, 0, 2], 4), "d": ("gone", [3, 0, 0], [1, 0, 0], -3)}
+    # the last report has no row at all
+    assert {r.class_name: r.state for r in G.changes(reports, 3).collect()} == {"a": "gone", "b": "passing", "c": "passing", "d": "gone"}
+    assert G.histories(reports.limit(0)).count() == 0 and G.changes(reports.limit(0), 1).count() == 0
+
+
+def test_drawn_tree():
+    columns = ["obj_id", "idom", "class_name", "retained"]
+    rows = [[1, -1, "A", 30], [2, 1, "B", 9], [3, 1, "C", 20], [4, 3, "D", 5], [5, -1, "E", 7]]
+    assert render.drawn_tree(columns, rows, 9) == ["A 0x1 30 B", "├─ C 0x3 20 B", "│  └─ D 0x4 5 B", "└─ B 0x2 9 B", "E 0x5 7 B"]
+    assert len(render.drawn_tree(columns, rows, 2)) == 2
+
+
 def test_bands_of_shown_sizes(spark):
     rows = spark.createDataFrame([("5 MB",), ("1.2 GB",), ("1,024 B",), ("0 B",), ("much",), (None,)], "t string")
     got = [r.b and (r.b.low, r.b.high) for r in rows.select(G.display_band("t").alias("b")).collect()]

@@ -1,3 +1,5 @@
+import struct
+
 import pytest
 
 from cairn.plans.tables import one_row
@@ -148,6 +150,22 @@ def test_serials_beyond_the_sign(tmp_path):
     assert read(path, "load_class")[0]["serial"] == -2 and read(path, "instances")[0]["alloc_serial"] == -1
 
 
+def test_thread_states(spark, tmp_path):
+    """A thread with fields of its own, one that keeps them in another object, one with none of them."""
+    w = DumpWriter()
+    w.cls(0x9000, "java/lang/Thread", fields=[("name", 2), ("holder", 2), ("daemon", 4), ("priority", 10), ("threadStatus", 10)])
+    w.cls(0x9100, "java/lang/Thread$FieldHolder", fields=[("priority", 10), ("daemon", 4), ("threadStatus", 10)])
+    w.cls(0x9200, "Worker", 0x9000, fields=[("n", 10)])
+    w.instance(0x10000, 0x9000, struct.pack(">QQBii", 0, 0, 1, 5, 5))
+    w.instance(0x10100, 0x9200, struct.pack(">iQQBii", 9, 0, 0x10200, 0, 0, 0))
+    w.instance(0x10200, 0x9100, struct.pack(">iBi", 7, 1, 2))
+    dump = D.open_relations(spark, w.write(tmp_path / "a.hprof"))
+    found = {r.addr: (r.is_daemon, r.priority) for r in D.thread_states(dump).collect()}
+    assert found[0x10000] == (True, 5) and found[0x10100] == (True, 7)
+    states = {r.addr: r.state for r in D.thread_states(dump).collect()}
+    assert states[0x10000] != "unknown" and states[0x10100] != "unknown" and states[0x10000] != states[0x10100]
+
+
 def test_config():
     mine = parse_config('[[collection]]\nclass = "com/x/Bag"\nkind = "Set"\nsize_field = "com/x/Bag#n"\narray_field = "com/x/Bag#items"\n')
     assert mine == [("com/x/Bag", "Set", "com/x/Bag", "n", "com/x/Bag", "items")]

@@ -64,6 +64,10 @@ def test_growth_of_reports_and_stream(spark, saved):
     rows = json.loads(open(target).read())["sections"]["growth"]
     grown = {r[rows["columns"].index("class_name")]: r[rows["columns"].index("delta_retained")] for r in rows["rows"]}
     assert grown["Sub"] == 1000 and sum(grown.values()) == 1000
+    sections = json.loads(open(target).read())["sections"]
+    assert sections["verdict"]["rows"] == [["Heap size is unchanged."]]
+    history = {r[0]: r for r in sections["histories"]["rows"]}["Sub"]
+    assert history[2][1] - history[2][0] == 1000 and history[1] == "kept" and {r[1] for r in sections["suspect_changes"]["rows"]} <= {"kept"}
     from cairn.streaming.growth import report_stream, streamed_growth
 
     q = streamed_growth(report_stream(spark, str(folder / "s"))).writeStream.format("memory").queryName("grown").outputMode("complete").trigger(availableNow=True).start()
