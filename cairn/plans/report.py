@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators import views as V
+from cairn.plans.tables import written
 from cairn.rules import triage
 from cairn.sources.relational import Heap
 
@@ -30,6 +31,13 @@ class Detail:
 
 DETAILS = {"minimal": Detail(10, 15, 15, 10, 5, 500, 10), "default": Detail(), "max": Detail(200, 500, 500, 100, 100, 100_000, 50)}
 
+def points(heap: Heap) -> DataFrame:
+    """The accumulation points, worked out once for all sections that start from them."""
+    if "points" not in heap.__dict__:
+        heap.__dict__["points"] = written(V.suspects_descent(heap.tree), "points")
+    return heap.__dict__["points"]
+
+
 #: title, rows, in the order of the report.
 SECTIONS: tuple[tuple[str, str, Callable[[Heap, Detail], DataFrame]], ...] = (
     ("triage", "Triage", lambda h, d: triage.evaluate(triage.facts_of(h.tree, h.roots)).orderBy("rank")),
@@ -41,8 +49,8 @@ SECTIONS: tuple[tuple[str, str, Callable[[Heap, Detail], DataFrame]], ...] = (
     ("roots_retained", "GC roots by retained size", lambda h, d: V.roots_retained(h.tree, h.roots).orderBy(F.desc("retained"), "root_type")),
     ("histogram", "Class histogram", lambda h, d: V.class_histogram(h.tree).orderBy(F.desc("retained"), "class_name", "loader")),
     ("suspects", "Leak suspects", lambda h, d: V.leak_suspects(h.tree).orderBy(F.desc("retained"), "class_name", "obj_id")),
-    ("descent", "Accumulation points", lambda h, d: V.suspects_descent(h.tree)),
-    ("point_children", "Children of accumulation points", lambda h, d: V.point_children(h.tree, V.suspects_descent(h.tree), d.leak_children).orderBy("point", "child_rank")),
+    ("descent", "Accumulation points", lambda h, d: points(h)),
+    ("point_children", "Children of accumulation points", lambda h, d: V.point_children(h.tree, points(h), d.leak_children).orderBy("point", "child_rank")),
     ("dominator_tree", "Dominator tree", lambda h, d: V.heaviest_nodes(h.tree, d.dom_nodes, d.dom_depth)),
     ("biggest_objects", "Biggest objects", lambda h, d: V.biggest_objects(h.tree, d.top_consumers)),
     ("biggest_classes", "Biggest classes", lambda h, d: V.biggest_classes(h.tree, d.top_consumers)),
