@@ -1,23 +1,26 @@
-"""Near-duplicates by deletion-variant signatures at a Jaccard similarity of 0.8 of five-word shingle sets.
+"""Near-duplicates by SimHash and deletion variants at a Jaccard similarity of 0.8 of five-word shingle sets.
 
 ``simhash`` links 64-bit fingerprints within two bits. Sets at a similarity of 0.8 differ in about 15 % of a SimHash's
-bits, nine of 64 and up to 14: a segment that differs by one bit at most is then only some seven bits long, and under so
-short a key a large corpus meets as a whole. So here the symbols of a signature are min-hashes, of which
-such sets share 80 %, and the index is the same: the signature is cut into few segments, so that one differs by
-one symbol at most, and each segment is indexed under its variants with one symbol taken out. SEGMENTS of LENGTH
-symbols find a pair at 0.8 with a chance of 1 - (1 - 0.737)^6 = 0.9997, and more similar ones oftener. What meets by
-equality is verified on the two sets themselves, so no link is below the bound.
-
-A key under which many texts meet (a family of near copies) isn't compared pair by pair at first: each
-text meets a few of them, first the one that shares most crowded keys, as the original of a family does. What the links
-so found leave in different components is compared in blocks within tasks, by sketches of 512 more min-hashes of
-eight bits: only pairs whose sketches agree in 74.5 % (99.9 % of pairs at 0.8 do) leave the task to be verified, each
-under one key. So a loose family costs comparisons of some nanoseconds a byte, but not rows by the square of its size.
+bits, so here a fingerprint is longer, and so many segments are cut from it that one of them differs by one bit at
+most: 43 of 16 bits for up to a million texts, longer and more ones beyond (``segments_of``). The chance is 1 - (1 - 0.2785)^43
+= 0.999999 at 0.8, more above, and 0.9997 for sets of four and five shingles, whose bits differ most. Segments meet by
+equality, as they are or with one bit taken out. A row moves twice a segment: a variant keeps one half of its
+segment whole, so rows are dealt by either half, and the variants of the other half are made inside the task. Of what meets,
+pairs whose first 128 bits, which are no segment's, differ in over 42 are dropped, then pairs whose whole fingerprints
+differ by 4.5 standard deviations more than such pairs do, or whose sets' sizes rule 0.8 out; all others are verified on
+the two sets themselves, so no link is below the bound.
+
+Texts of which many meet (a family of near copies) aren't compared pair by pair at first: each text meets a few others,
+such as the one nearest to the bits that most have, as the original of a family is. What the links so found
+leave in different components is compared in blocks within tasks by 2048 more bits of SimHash, under short pieces of these,
+again so many that one is the same: only pairs that differ in few enough bits (99.9 % of pairs at 0.8 do) leave the task to be
+verified, each under one piece.
+So a loose family costs comparisons of some nanoseconds a byte, but not rows by the square of its size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,23 +32,37 @@ from cairn.llm._common import by_batch, lean, sieved, text_key, text_or_empty, w
 from cairn.llm.components import components
 from cairn.llm.simhash import without_copies
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 #: Words in a shingle.
 WIDTH = 5
-#: Segments of a signature, and min-hashes in each; a segment has as many keys.
-SEGMENTS, LENGTH = 6, 5
-KEYS = SEGMENTS * LENGTH
-#: Texts under a key that are compared pair by pair at once, and those that all others meet beyond that.
-PAIRED, PIVOTS = 32, 4
-#: Min-hashes of a sketch, those that are looked at first, and how many of either must agree.
-SKETCH, GLANCE = 512, 64
-AGREE, AGREE_AT_A_GLANCE = 381, 40
+#: A bit of the SimHashes of two sets at 0.8 differs with this chance, and at least one of the segments must
+#: meet but for a chance of e^-MISSED.
+DIFFERS, MISSED = 0.1515, 14
+#: That chance for sets of fewer than SMALL shingles; standard deviations beyond it that whole fingerprints may differ.
+SMALL, SMALL_DIFFERS, BEYOND = 6, 0.19, 4.5
+#: Texts for each value of a segment that its length allows for, and the shortest one.
+OCCUPIED, SHORTEST = 16, 16
+#: Words of 64 bits that belong to no segment, and how many of their bits may differ.
+CHECK, CHECK_DIFFERS = 2, 42
+#: Texts of one value of a segment that are compared pair by pair, and those that a text meets under a key before it is in a family;
+#: and the segments under which pairs within a family are made.
+PAIRED, MET, LINKED = 64, 3, 4
+#: Words of a sketch, those that are looked at first, and how many bits of either may differ; in a set of fewer than SMALL.
+SKETCH, GLANCE = 32, 4
+SKETCH_DIFFERS, GLANCE_DIFFERS = 360, 61
+SMALL_SKETCH_DIFFERS, SMALL_GLANCE_DIFFERS = 440, 72
+#: Texts of families for each value of a piece of a sketch that its length allows for, the shortest and longest one,
+#: and as MISSED for pieces.
+CROWD, PIECES, PIECES_MISSED = 512, (4, 14), 10
 #: Texts of a block that are held against the others, and comparisons that a task makes at most.
 HELD, COMPARED = 20_000, 50_000_000
-_FACTORS, _TERMS = np.random.default_rng(5).integers(0, 1 << 64, (2, KEYS, 1), np.uint64)
+#: Rows of whole keys that a task joins at once, and pairs of them.
+ROWS, AT_ONCE = 50_000, 2_000_000
+_FACTORS, _TERMS = np.random.default_rng(5).integers(0, 1 << 64, (2, 256), np.uint64)
 _FACTORS |= np.uint64(1)
-_MORE = np.random.default_rng(7).integers(0, 1 << 64, (2, SKETCH, 1), np.uint64)
+_MORE = np.random.default_rng(7).integers(0, 1 << 64, (2, SKETCH), np.uint64)
 _MORE[0] |= np.uint64(1)
-_SALTS = np.random.default_rng(6).integers(0, 1 << 64, (2, SEGMENTS, LENGTH), np.uint64)
 
 
 def shingles(text: str) -> np.ndarray:
@@ -70,21 +87,56 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def variant_keys(found: np.ndarray) -> np.ndarray:
-    """The keys of a set's signature: each segment's hash without one of its symbols."""
-    least = np.full((KEYS, 1), (1 << 64) - 1, np.uint64)
-    for at in range(0, len(found), 512):
-        least = np.minimum(least, _mixed(found[at : at + 512] * _FACTORS + _TERMS).min(axis=1, keepdims=True))
-    symbols = _mixed(least.reshape(SEGMENTS, LENGTH) ^ _SALTS[0])
-    return _mixed(symbols.sum(axis=1, keepdims=True, dtype=np.uint64) - symbols + _SALTS[1]).ravel()
+def simhash(found: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """A set's SimHash, 64 bits for each of the factors; zero for no shingles.
+
+    A bit is set where more than half of the shingles' hashes have it, as in ``simhash.fingerprint``."""
+    counts = np.zeros(64 * len(factors), np.int64)
+    for at in range(0, len(found), 255):
+        octets = _mixed(found[at : at + 255, None] * factors + terms).view(np.uint8)
+        counts += np.add.reduce(np.unpackbits(octets, axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(found), bitorder="little").view("<u8")
+
+
+def segments_of(n: int) -> tuple[int, int]:
+    """The length and number of segments for ``n`` texts."""
+    length = SHORTEST
+    while length < 32 and n > OCCUPIED << length:
+        length += 2
+    same = 1 - DIFFERS
+    meets = same**length + length * DIFFERS * same ** (length - 1)
+    return length, int(np.ceil(-MISSED / np.log1p(-meets)))
+
+
+def words_of(length: int, count: int) -> int:
+    return CHECK + -(-length * count // 64)
+
+
+def places(prints: np.ndarray, length: int, count: int) -> np.ndarray:
+    """For each fingerprint (a row of words) two longs a segment: the number of segment and half, that half, the other half."""
+    bits = np.unpackbits(np.ascontiguousarray(prints[:, CHECK:]).view(np.uint8), axis=1, bitorder="little")[:, : length * count]
+    value = bits.reshape(-1, count, length).astype(np.int64) @ (1 << np.arange(length, dtype=np.int64))
+    half = length // 2
+    turned = ((value & ((1 << half) - 1)) << half) | (value >> half)
+    return (np.arange(2 * count) << 32) | np.stack([value, turned], axis=2).reshape(-1, 2 * count)
 
 
-def sketch(found: np.ndarray) -> np.ndarray:
-    """Eight bits of each of a set's SKETCH further min-hashes."""
-    least = np.full((SKETCH, 1), (1 << 64) - 1, np.uint64)
-    for at in range(0, len(found), 64):
-        least = np.minimum(least, _mixed(found[at : at + 64] * _MORE[0] + _MORE[1]).min(axis=1, keepdims=True))
-    return (_mixed(least) >> np.uint64(40)).astype(np.uint8).ravel()
+def pieces_of(n: int) -> tuple[int, int]:
+    """The length and number of a sketch's pieces for ``n`` texts of families."""
+    length = PIECES[0]
+    while length < PIECES[1] and n > CROWD << length:
+        length += 1
+    return length, int(np.ceil(-PIECES_MISSED / np.log1p(-((1 - DIFFERS) ** length))))
+
+
+def pieces(marks: np.ndarray, length: int, count: int) -> np.ndarray:
+    """For each sketch (a row of words) a long a piece: its number and its bits."""
+    bits = np.unpackbits(np.ascontiguousarray(marks).view(np.uint8), axis=1, bitorder="little")[:, : length * count]
+    return (np.arange(count) << 32) | bits.reshape(-1, count, length).astype(np.int64) @ (1 << np.arange(length, dtype=np.int64))
+
+
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -95,56 +147,162 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * both >= 4 * (len(a) + len(b))
 
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, key (the text's digest), node (the digest of its set of shingles), keys."""
+def _signed(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, key (the text's digest), node (the digest of its set of shingles), n (its shingles), print (its SimHash)."""
 
     def rows(batch: dict[str, list]) -> dict[str, list]:
         sets = [shingles(t) for t in batch["text"]]
         nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-        return {"doc_id": batch["doc_id"], "key": batch["key"], "node": pa.array(nodes), "keys": [variant_keys(s).tobytes() for s in sets]}
+        prints = [simhash(s, _FACTORS[:words], _TERMS[:words]).tobytes() for s in sets]
+        return {"doc_id": batch["doc_id"], "key": batch["key"], "node": pa.array(nodes), "n": [len(s) for s in sets], "print": prints}
 
     chosen = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), text_key().alias("key"))
-    return by_batch(chosen, "doc_id long, key binary, node long, keys binary", rows)
-
-
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes = batch.column(0).to_numpy()
-        keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(nodes, KEYS))], names=["band", "node"])
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs (u, v) of rows (band, node) with one band, from rows in the order of bands; bands are small."""
-    band, held, out = None, [], []
-    for batch in batches:
-        for key, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if key != band:
-                band, held = key, []
-            out += [(u, node) for u in held]
-            held.append(node)
-        if len(out) > 10_000:
-            yield _pairs(out)
-            out = []
-    yield _pairs(out)
+    return by_batch(chosen, "doc_id long, key binary, node long, n long, print binary", rows)
+
+
+def _words(prints: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
+
+
+def _spread(length: int, count: int) -> Batches:
+    """Rows (place, node, first, second: the words of the check) from rows (node, print)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                prints = _words(part.column(1).to_pylist())
+                again = [np.repeat(c, 2 * count) for c in (part.column(0).to_numpy(), *prints[:, :CHECK].view(np.int64).T)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (places(prints, length, count).ravel(), *again)], names=["place", "node", "first", "second"])
+
+    return lean(run)
+
+
+def _products(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of runs that start at x and y and have nx and ny rows, some at once."""
+    ends = np.cumsum(nx * ny)
+    cuts = np.unique(np.searchsorted(ends, np.arange(AT_ONCE, ends[-1] + AT_ONCE, AT_ONCE), "left") + 1) if len(ends) else []
+    for a, b in zip([0, *cuts], cuts, strict=False):
+        n = (nx * ny)[a:b]
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.repeat(ny[a:b], n)
+        yield np.repeat(x[a:b], n) + k // wide, np.repeat(y[a:b], n) + k % wide
+
+
+def joined(place: np.ndarray, node: np.ndarray, check: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """u, v: rows of one segment, equal or with one bit taken out, whose checks agree; and the nodes of families, of
+    which not all pairs are made. Rows are in the order of places and hold whole halves.
+
+    Equal segments meet under their first half only, others under the half that doesn't differ."""
+    start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
+    value, size = place[start], np.diff(np.concatenate([start, [len(place)]]))
+    left, right, crowded = [], [], np.zeros(len(place), bool)
+
+    def meet(a: np.ndarray, b: np.ndarray) -> None:
+        good = (node[a] != node[b]) & (_differing(check[a], check[b]) <= CHECK_DIFFERS)
+        left.append(a[good])
+        right.append(b[good])
+
+    def star(a: np.ndarray, b: np.ndarray) -> None:
+        """A few rows of the many b for each of a: the one nearest to the bits that most of b have, and that of the least node."""
+        crowded[a] = crowded[b] = True
+        if place[a[0]] >> 33 >= LINKED:
+            return
+        most = np.packbits(2 * np.unpackbits(check[b].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64) > len(b)).view(np.uint64)
+        for pivot in {int(b[_differing(check[b], most).argmin()]), int(b[node[b].argmin()])}:
+            meet(a, np.full(len(a), pivot))
+
+    first = (value >> 32) % 2 == 0
+    own = np.flatnonzero(first & (size > 1) & (size <= PAIRED))
+    for a, b in _products(start[own], size[own], start[own], size[own]):
+        meet(a[a < b], b[a < b])
+    for k in np.flatnonzero(first & (size > PAIRED)):
+        rows = np.arange(start[k], start[k] + size[k])
+        star(rows, rows)
+    for bit in range(length // 2):
+        low = np.flatnonzero((value >> bit) & 1 == 0)
+        at = np.searchsorted(value, value[low] | (1 << bit))
+        there = (at < len(value)) & (value[np.minimum(at, len(value) - 1)] == value[low] | (1 << bit))
+        x, y = low[there], at[there]
+        few = size[x] * size[y] <= PAIRED * PAIRED
+        for a, b in _products(start[x[few]], size[x[few]], start[y[few]], size[y[few]]):
+            meet(a, b)
+        for i, k in zip(x[~few], y[~few], strict=True):
+            i, k = sorted((i, k), key=size.__getitem__)
+            star(np.arange(start[i], start[i] + size[i]), np.arange(start[k], start[k] + size[k]))
+
+    a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (left, right))
+    crowded |= np.bincount(a, minlength=len(place)) + np.bincount(b, minlength=len(place)) > MET
+    family = crowded[a] & crowded[b]
+    # of the pairs within a family each row's nearest one under some segments
+    some = np.flatnonzero(family & (place[a] >> 33 < LINKED))
+    one, near = np.concatenate([a[some], b[some]]), _differing(check[a[some]], check[b[some]])
+    ranked = np.lexsort((np.tile(near, 2), one))
+    best = ranked[np.diff(one[ranked], prepend=-1) != 0]
+    kept = np.unique(np.concatenate([np.flatnonzero(~family), np.tile(some, 2)[best]]))
+    return node[a[kept]], node[b[kept]], np.unique(node[crowded])
+
+
+def _meet(length: int) -> Batches:
+    """``joined`` of rows (place, node, first, second) in the order of places: u, v, and the nodes of families as u alone."""
+
+    def out(held: list[np.ndarray]) -> pa.RecordBatch:
+        u, v, family = joined(held[0], held[1], np.stack(held[2:], axis=1).view(np.uint64), length)
+        columns = [pa.array(np.concatenate([u, family])), pa.concat_arrays([pa.array(v), pa.nulls(len(family), pa.int64())])]
+        return pa.RecordBatch.from_arrays(columns, names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[np.zeros(0, np.int64)] for _ in range(2 + CHECK)]
+        n = 0
+        for batch in batches:
+            for at, column in zip(held, batch.columns, strict=True):
+                at.append(column.to_numpy())
+            n += batch.num_rows
+            if n >= ROWS:
+                rows = [np.concatenate(c) for c in held]
+                half = rows[0] >> (length // 2)
+                last = int(np.searchsorted(half, half[-1]))  # the last half may go on in the next batch
+                if last:
+                    yield out([c[:last] for c in rows])
+                held, n = [[c[last:].copy()] for c in rows], n - last
+        yield out([np.concatenate(c) for c in held])
+
+    return lean(run)
 
 
 def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], names=["u", "v"])
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, found (hashes of its shingles) of all nodes of ``pairs``; ``nodes`` (node, key) tells a text of each."""
+def _sets(docs: DataFrame, nodes: DataFrame, met: DataFrame) -> DataFrame:
+    """node, found (hashes of its shingles) of all nodes of ``met`` (u, v); ``nodes`` (node, key) tells a text of each."""
 
     def sets_of(batch: dict[str, list]) -> dict[str, list]:
         return {"node": batch["node"], "found": [shingles(t).tobytes() for t in batch["text"]]}
 
-    met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = written(nodes.select("node", "key").join(met, "node"), "near-candidates")
+    some = met.select(F.explode(F.array("u", "v")).alias("node")).where("node IS NOT NULL").distinct()
+    wanted = written(nodes.select("node", "key").join(some, "node"), "near-candidates")
     texts = sieved(docs.select(text_or_empty().alias("text"), text_key().alias("key")), "key", wanted).join(wanted, "key").select("node", "text")
     return written(by_batch(texts.dropDuplicates(["node"]), "node long, found binary", sets_of), "near-sets")
 
 
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``pairs`` (u, v) that sizes of sets and whole fingerprints don't rule out."""
+
+    def most(bits: int, chance: float) -> float:
+        return bits * chance + BEYOND * (bits * chance * (1 - chance)) ** 0.5
+
+    def check(batch: dict[str, list]) -> dict[str, list]:
+        n, m, a, b = np.array(batch["n"]), np.array(batch["m"]), _words(batch["a"]), _words(batch["b"])
+        bits = 64 * a.shape[1]
+        at = np.flatnonzero((5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (_differing(a, b) <= np.where(np.minimum(n, m) < SMALL, most(bits, SMALL_DIFFERS), most(bits, DIFFERS))))
+        return {k: [batch[k][i] for i in at] for k in ("u", "v")}
+
+    left = pairs.join(nodes.select(F.col("node").alias("u"), "n", F.col("print").alias("a")), "u")
+    both = left.join(nodes.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("print").alias("b")), "v").select("u", "v", "n", "m", "a", "b")
+    return written(by_batch(both, "u long, v long", check), "near-likely")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs`` (u, v) whose sets are similar."""
 
@@ -157,59 +315,77 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(by_batch(both, "u long, v long", check), "near-links")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely pairs (u, v) of one band in different components, from rows (band, c, s, role, node, root, apart, keys,
+def _blocks(length: int, count: int) -> Batches:
+    """Likely pairs (u, v) of one band in different components, from rows (band, c, s, role, node, root, apart, small,
     sketch) in that order: in each block rows of role 0 are held and those of role 1 pass by."""
-    block, held, node, root, keys, marks = None, [], *[np.zeros(0)] * 4
 
-    def met(band: int, passing: list[tuple]) -> pa.RecordBatch:
-        v_node, v_root = np.array([r[0] for r in passing], np.int64), np.array([r[1] for r in passing], np.int64)
-        v_apart, v_keys = np.array([r[2] for r in passing]), np.frombuffer(b"".join(r[3] for r in passing), np.int64).reshape(-1, KEYS)
-        v_marks = np.frombuffer(b"".join(r[4] for r in passing), np.uint8).reshape(-1, SKETCH)
+    def columns(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+        node, root, apart, small, marks = zip(*rows, strict=True)
+        sketches = _words(marks)
+        return np.array(node), np.array(root), np.array(apart), pieces(sketches, length, count), np.array(small), sketches
+
+    def met(band: int, here: tuple | None, passing: list[tuple]) -> pa.RecordBatch:
         out = []
-        for i in range(len(node)):
+        v_node, v_root, v_apart, v_bands, v_small, v_marks = columns(passing)
+        for node, root, _, bands, small, marks in zip(*here, strict=True) if here else ():
             # two texts that stand apart meet once
-            open_ = np.flatnonzero((v_root != root[i]) & (~v_apart | (v_node > node[i])))
-            open_ = open_[(v_marks[open_, :GLANCE] == marks[i, :GLANCE]).sum(axis=1) >= AGREE_AT_A_GLANCE]
-            open_ = open_[(v_marks[open_] == marks[i]).sum(axis=1) >= AGREE]
-            if len(open_):  # under the first key that both share
-                first = (v_keys[open_] == keys[i]).argmax(axis=1)
-                out += [(int(node[i]), int(v)) for v in v_node[open_[v_keys[open_, first] == band]]]
+            open_ = np.flatnonzero((v_root != root) & (~v_apart | (v_node > node)))
+            tiny = v_small[open_] | small
+            open_ = open_[_differing(v_marks[open_, :GLANCE], marks[:GLANCE]) <= np.where(tiny, SMALL_GLANCE_DIFFERS, GLANCE_DIFFERS)]
+            tiny = v_small[open_] | small
+            open_ = open_[_differing(v_marks[open_], marks) <= np.where(tiny, SMALL_SKETCH_DIFFERS, SKETCH_DIFFERS)]
+            if len(open_):  # under the first band that both share
+                first = (v_bands[open_] == bands).argmax(axis=1)
+                out += [(int(node), int(v)) for v in v_node[open_[bands[first] == band]]]
         return _pairs(out)
 
-    def hold() -> None:
-        nonlocal held, node, root, keys, marks
-        if held:
-            node, root = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64)
-            keys = np.frombuffer(b"".join(r[3] for r in held), np.int64).reshape(-1, KEYS)
-            marks = np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(-1, SKETCH)
-            held = []
-
-    for batch in batches:
-        passing: list[tuple] = []
-        for band, c, s, role, *row in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-            if (band, c, s) != block:
-                if passing:
-                    hold()
-                    yield met(block[0], passing)
-                block, held, node, passing = (band, c, s), [], np.zeros(0, np.int64), []
-            (passing if role else held).append(row)
-            if len(passing) == 512:
-                hold()
-                yield met(band, passing)
-                passing = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, here, passing = None, [], None, []
+        for batch in batches:
+            for band, c, s, role, *row in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                if (band, c, s) != block:
+                    if passing:
+                        yield met(block[0], here, passing)
+                    block, held, here, passing = (band, c, s), [], None, []
+                if role == 0:
+                    held.append(row)
+                    continue
+                if held:
+                    here, held = columns(held), []
+                passing.append(row)
+                if len(passing) == 512:
+                    yield met(band, here, passing)
+                    passing = []
         if passing:
-            hold()
-            yield met(block[0], passing)
+            yield met(block[0], here, passing)
+
+    return lean(run)
+
+
+def _bands(length: int, count: int) -> Batches:
+    """Rows (band, node, root) from rows (node, root, sketch): a band is a piece of a sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bands = pieces(_words(batch.column(2).to_pylist()), length, count)
+                again = [pa.array(np.repeat(batch.column(k).to_numpy(), count)) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([pa.array(bands.ravel()), *again], names=["band", "node", "root"])
+
+    return lean(run)
 
 
-def _crossing(members: DataFrame, nodes: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """u, v: pairs of ``members`` (band, node) of one band in different components that may well be similar."""
+def _crossing(family: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """u, v: pairs of ``family`` (node) in different components that may well be similar."""
 
     def sketches(batch: dict[str, list]) -> dict[str, list]:
-        return {"node": batch["node"], "sketch": [sketch(np.frombuffer(b, np.uint64)).tobytes() for b in batch["found"]]}
+        found = [np.frombuffer(b, np.uint64) for b in batch["found"]]
+        return {"node": batch["node"], "small": [len(s) < SMALL for s in found], "sketch": [simhash(s, *_MORE).tobytes() for s in found]}
 
-    rooted = written(members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "near-rooted")
+    length, count = pieces_of(family.count())
+    marks = written(by_batch(sets.join(family, "node", "left_semi"), "node long, small boolean, sketch binary", sketches), "near-sketches")
+    known = marks.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "sketch")
+    rooted = written(known.mapInArrow(_bands(length, count), "band long, node long, root long"), "near-rooted")
     parts = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
     bands = parts.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("n_apart")).where("n_apart > 0")
     bands = bands.select("band", "main", F.expr(f"cast(ceil(n_apart / {HELD}) as int)").alias("cs"), F.expr(f"cast(ceil(n * least(n_apart, {HELD}) / {COMPARED}) as int)").alias("ss"))
@@ -218,34 +394,23 @@ def _crossing(members: DataFrame, nodes: DataFrame, sets: DataFrame, roots: Data
     own = lambda k, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(k)).cast("int")
     held = rows.where("apart").select("band", own("cs", 1).alias("c"), every("ss").alias("s"), F.lit(0).alias("role"), "node", "root", "apart")
     passing = rows.select("band", every("cs").alias("c"), own("ss", 2).alias("s"), F.lit(1).alias("role"), "node", "root", "apart")
-    known = sets.join(rows.select("node").distinct(), "node", "left_semi")
-    marks = written(by_batch(known, "node long, sketch binary", sketches).join(nodes.select("node", "keys"), "node"), "near-sketches")
-    dealt = held.unionByName(passing).join(marks, "node").select("band", "c", "s", "role", "node", "root", "apart", "keys", "sketch")
-    return dealt.repartition("band", "c", "s").sortWithinPartitions("band", "c", "s", "role").mapInArrow(lean(_blocks), "u long, v long")
+    dealt = held.unionByName(passing).join(marks, "node").select("band", "c", "s", "role", "node", "root", "apart", "small", "sketch")
+    return dealt.repartition("band", "c", "s").sortWithinPartitions("band", "c", "s", "role").mapInArrow(_blocks(length, count), "u long, v long")
 
 
-def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
+def links(docs: DataFrame, signed: DataFrame, length: int, count: int) -> DataFrame:
     """u, v: verified links that connect all nodes which candidates at 0.8 or more connect."""
-    nodes = written(signed.groupBy("node").agg(F.min("key").alias("key"), F.first("keys").alias("keys")), "near-nodes")
-    dealt = nodes.select("node", "keys").mapInArrow(lean(_spread), "band long, node long")
-    sizes = written(dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes")
-    met = written(dealt.join(sizes, "band"), "near-met-keys")
-    few = met.where(F.col("n") <= PAIRED).select("band", "node")
-    pairs = few.repartition("band").sortWithinPartitions("band", "node").mapInArrow(lean(_meet), "u long, v long")
-    many = met.where(F.col("n") > PAIRED)
-    # the original of a family shares more crowded keys than its copies, each of which has lost some
-    weight = written(many.groupBy("node").agg(F.sum("n").alias("weight")), "near-weights")
-    members = written(many.join(weight, "node").select("band", "node", "weight"), "near-members")
-    others = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node"))["node"] for k in range(PIVOTS - 1)]
-    pivots = written(members.groupBy("band").agg(F.array_distinct(F.array(F.max(F.struct("weight", "node"))["node"], *others)).alias("pivots")), "near-pivots")
-    starred = members.join(pivots, "band").select(F.explode("pivots").alias("u"), F.col("node").alias("v")).where("u != v")
+    nodes = written(signed.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("print").alias("print")), "near-nodes")
+    dealt = nodes.select("node", "print").mapInArrow(_spread(length, count), "place long, node long, first long, second long")
+    dealt = dealt.repartition(F.shiftright("place", length // 2)).sortWithinPartitions("place", "node")
     ordered = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
-    pairs = written(pairs.unionByName(starred).select(*ordered).distinct(), "near-pairs")
-    sets = _sets(docs, nodes, pairs)
+    met = written(dealt.mapInArrow(_meet(length), "u long, v long").select(ordered[0], F.when(F.col("v").isNotNull(), ordered[1]).alias("v")).distinct(), "near-met")
+    family, pairs = met.where("v IS NULL"), _likely(met.where("v IS NOT NULL"), nodes)
+    sets = _sets(docs, nodes, pairs.unionByName(family))
     found = _verified(pairs, sets)
-    if weight.isEmpty():
+    if family.isEmpty():
         return found
-    crossed = written(_crossing(members.drop("weight"), nodes, sets, components(found)).select(*ordered).distinct(), "near-crossed")
+    crossed = written(_crossing(family.select(F.col("u").alias("node")), sets, components(found)).select(*ordered).distinct(), "near-crossed")
     return found.unionByName(_verified(crossed, sets))
 
 
@@ -254,7 +419,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     of that id, the one whose text has the smallest digest.
 
     Rows are in one component if a chain of similar texts joins them. Texts without words are alike."""
-    signed = written(_signed(docs), "near-signed")
-    joined = components(links(docs, signed))
-    found = signed.drop("keys").join(joined, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
+    length, count = segments_of(docs.count())
+    signed = written(_signed(docs, words_of(length, count)), "near-signed")
+    roots = components(links(docs, signed, length, count))
+    found = signed.drop("n", "print").join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
     return without_copies(docs, written(found, "near-groups"))

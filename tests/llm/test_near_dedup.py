@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -50,3 +51,53 @@ def test_copies_of_one_text_and_no_rows(spark, docs_of):
     got = near_dedup.one_of_each(docs_of(rows)).collect()
     assert len(got) == 4
     assert near_dedup.one_of_each(docs_of(rows).limit(0)).count() == 0
+
+
+def test_index_is_of_simhash_and_deletion_variants():
+    rng = np.random.default_rng(3)
+    shingled = [np.unique(rng.integers(0, 1 << 64, 30, np.uint64)) for _ in range(400)]
+    shingled += [np.unique(np.concatenate([s[:28], rng.integers(0, 1 << 64, 1, np.uint64)])) for s in shingled[:200]]
+    for length, count in (near_dedup.segments_of(1000), (6, 9), (22, 85)):
+        words = near_dedup.words_of(length, count)
+        factors, terms = near_dedup._FACTORS[:words], near_dedup._TERMS[:words]
+        prints = np.stack([near_dedup.simhash(s, factors, terms) for s in shingled])
+        for s, found in zip(shingled[:5], prints, strict=False):  # bit by bit: the majority of the shingles' hashes
+            for k in (0, 63, 64, 64 * words - 1):
+                ones = sum(int(near_dedup._mixed(h * factors[k // 64 :][:1] + terms[k // 64 :][:1])[0]) >> (k % 64) & 1 for h in s)
+                assert int(found[k // 64]) >> (k % 64) & 1 == (2 * ones > len(s))
+        whole = [int.from_bytes(p.tobytes(), "little") for p in prints]
+        cut = [[(w >> (128 + j * length)) & ((1 << length) - 1) for j in range(count)] for w in whole]
+        want = set()
+        for i, a in enumerate(cut):
+            for j in range(i):
+                if ((whole[i] ^ whole[j]) & ((1 << 128) - 1)).bit_count() <= near_dedup.CHECK_DIFFERS and any((x ^ y).bit_count() <= 1 for x, y in zip(a, cut[j], strict=True)):
+                    want.add((j, i))
+        place = near_dedup.places(prints, length, count)
+        node = np.repeat(np.arange(len(prints)), 2 * count)
+        order = np.lexsort((node, place.ravel()))
+        u, v, family = near_dedup.joined(place.ravel()[order], node[order], prints[node[order], : near_dedup.CHECK], length)
+        assert {(min(p), max(p)) for p in zip(u.tolist(), v.tolist(), strict=True)} == want and not len(family)
+        assert len(want) >= 199
+
+
+def test_families_are_marked_and_recall_at_the_bound():
+    rng = np.random.default_rng(4)
+    length, count = near_dedup.segments_of(200_000)
+    words = near_dedup.words_of(length, count)
+    factors, terms = near_dedup._FACTORS[:words], near_dedup._TERMS[:words]
+    for both, one in ((4, (0, 1)), (8, (1, 1)), (80, (10, 10)), (80, (0, 20))):
+        missed = 0
+        for _ in range(500):
+            h = rng.integers(0, 1 << 64, both + sum(one), np.uint64)
+            a, b = (near_dedup.simhash(np.unique(s), factors, terms) for s in (h[: both + one[0]], np.concatenate([h[:both], h[both + one[0] :]])))
+            met = (np.bitwise_count(np.bitwise_xor(*near_dedup.places(np.stack([a, b]), length, count)))[::2] <= 1).any()
+            missed += not (met and near_dedup._differing(a[:2], b[:2]) <= near_dedup.CHECK_DIFFERS)
+        assert missed <= 3  # at a Jaccard similarity of 0.8
+    base = rng.integers(0, 1 << 64, 100, np.uint64)
+    prints = np.stack([near_dedup.simhash(np.concatenate([base[:98], rng.integers(0, 1 << 64, 2, np.uint64)]), factors, terms) for _ in range(300)])
+    place = near_dedup.places(prints, length, count).ravel()
+    node = np.repeat(np.arange(300), 2 * count)
+    order = np.lexsort((node, place))
+    u, v, family = near_dedup.joined(place[order], node[order], prints[node[order], : near_dedup.CHECK], length)
+    assert family.tolist() == list(range(300))  # all are compared again
+    assert len({(min(p), max(p)) for p in zip(u.tolist(), v.tolist(), strict=True)}) < 300 * 40
