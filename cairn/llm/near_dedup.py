@@ -6,16 +6,16 @@ most: 43 of 16 bits for up to a million texts, longer and more ones beyond (``se
 = 0.999999 at 0.8, more above, and 0.9997 for sets of four and five shingles, whose bits differ most. Segments meet by
 equality, as they are or with one bit taken out. A row moves twice a segment: a variant keeps one half of its
 segment whole, so rows are dealt by either half, and the variants of the other half are made inside the task. Of what meets,
-pairs whose first 128 bits, which are no segment's, differ in over 42 are dropped, then pairs whose whole fingerprints
-differ by 4.5 standard deviations more than such pairs do, or whose sets' sizes rule 0.8 out; all others are verified on
-the two sets themselves, so no link is below the bound.
+pairs whose first 128 bits, which are no segment's, differ in over 42 are dropped, and pairs whose first 256 bits
+differ by 4.5 standard deviations more than such pairs do or whose sets' sizes rule 0.8 out, all inside the task. The whole
+fingerprints rule out more in the same way; all others are verified on the two sets themselves, so no link is below the bound.
 
 Texts of which many meet (a family of near copies) aren't compared pair by pair at first: each text meets a few others,
 such as the one nearest to the bits that most have, as the original of a family is. What the links so found
 leave in different components is compared in blocks within tasks by 2048 more bits of SimHash, under short pieces of these,
-again so many that one is the same: only pairs that differ in few enough bits (99.9 % of pairs at 0.8 do) leave the task to be
-verified, each under one piece.
-So a loose family costs comparisons of some nanoseconds a byte, but not rows by the square of its size.
+again so many that one is the same. Pairs that differ in few enough bits (99.9 % of pairs at 0.8 do), each under one piece, don't
+leave the task either: the texts that are in any have their sets sent to the same blocks, which verify there and only give links
+that join components. So a loose family costs comparisons in the tasks, but not rows, by the square of its size.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import by_batch, lean, sieved, text_key, text_or_empty, written
+from cairn.llm._common import _ARROW, _kinds, by_batch, lean, sieved, text_key, text_or_empty, written
 from cairn.llm.components import components
 from cairn.llm.simhash import without_copies
 
@@ -45,6 +45,8 @@ SMALL, SMALL_DIFFERS, BEYOND = 6, 0.19, 4.5
 OCCUPIED, SHORTEST = 16, 16
 #: Words of 64 bits that belong to no segment, and how many of their bits may differ.
 CHECK, CHECK_DIFFERS = 2, 42
+#: Words of a fingerprint that go with every segment, those first, so that few pairs that can't be similar leave a task.
+CARRIED = 4
 #: Texts of one value of a segment that are compared pair by pair, and those that a text meets under a key before it is in a family;
 #: and the segments under which pairs within a family are made.
 PAIRED, MET, LINKED = 64, 3, 4
@@ -57,8 +59,10 @@ SMALL_SKETCH_DIFFERS, SMALL_GLANCE_DIFFERS = 440, 72
 CROWD, PIECES, PIECES_MISSED = 512, (4, 14), 10
 #: Texts of a block that are held against the others, and comparisons that a task makes at most.
 HELD, COMPARED = 20_000, 50_000_000
-#: Rows of whole keys that a task joins at once, and pairs of them.
-ROWS, AT_ONCE = 50_000, 2_000_000
+#: Bytes of sets that a block holds, and that pass by at once.
+HELD_BYTES = 1 << 23
+#: Rows of whole keys that a task joins at once, pairs of them, and pairs whose carried words are looked at together.
+ROWS, AT_ONCE, LOOKED_AT = 50_000, 2_000_000, 1 << 18
 _FACTORS, _TERMS = np.random.default_rng(5).integers(0, 1 << 64, (2, 256), np.uint64)
 _FACTORS |= np.uint64(1)
 _MORE = np.random.default_rng(7).integers(0, 1 << 64, (2, SKETCH), np.uint64)
@@ -139,9 +143,24 @@ def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
+def _sizes_allow(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Where sets of n and m shingles may have a Jaccard similarity of 0.8 or more."""
+    return 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
+
+
+def _bits_allow(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Where words of the fingerprints of sets of n and m shingles don't rule out 0.8."""
+
+    def most(chance: float) -> float:
+        bits = 64 * a.shape[1]
+        return bits * chance + BEYOND * (bits * chance * (1 - chance)) ** 0.5
+
+    return _differing(a, b) <= np.where(np.minimum(n, m) < SMALL, most(SMALL_DIFFERS), most(DIFFERS))
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets, not both empty, have a Jaccard similarity of 0.8 or more."""
-    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+    if not _sizes_allow(len(a), len(b)):
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 9 * both >= 4 * (len(a) + len(b))
@@ -164,16 +183,19 @@ def _words(prints: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
 
 
+_CARRIED = [f"w{k}" for k in range(CARRIED)]
+
+
 def _spread(length: int, count: int) -> Batches:
-    """Rows (place, node, first, second: the words of the check) from rows (node, print)."""
+    """Rows (place, node, n, w0 and so on: the carried words) from rows (node, n, print)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                prints = _words(part.column(1).to_pylist())
-                again = [np.repeat(c, 2 * count) for c in (part.column(0).to_numpy(), *prints[:, :CHECK].view(np.int64).T)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (places(prints, length, count).ravel(), *again)], names=["place", "node", "first", "second"])
+                prints = _words(part.column(2).to_pylist())
+                again = [np.repeat(c, 2 * count) for c in (part.column(0).to_numpy(), part.column(1).to_numpy(), *prints[:, :CARRIED].view(np.int64).T)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (places(prints, length, count).ravel(), *again)], names=["place", "node", "n", *_CARRIED])
 
     return lean(run)
 
@@ -189,17 +211,23 @@ def _products(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> I
         yield np.repeat(x[a:b], n) + k // wide, np.repeat(y[a:b], n) + k % wide
 
 
-def joined(place: np.ndarray, node: np.ndarray, check: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def joined(place: np.ndarray, node: np.ndarray, words: np.ndarray, length: int, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """u, v: rows of one segment, equal or with one bit taken out, whose checks agree; and the nodes of families, of
     which not all pairs are made. Rows are in the order of places and hold whole halves.
 
-    Equal segments meet under their first half only, others under the half that doesn't differ."""
+    ``words`` are the check and, with ``n`` (the sets' sizes), the other carried words; then neither they nor the sizes
+    rule a pair out. Equal segments meet under their first half only, others under the half that doesn't differ."""
+    check = words[:, :CHECK]
     start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
     value, size = place[start], np.diff(np.concatenate([start, [len(place)]]))
     left, right, crowded = [], [], np.zeros(len(place), bool)
 
     def meet(a: np.ndarray, b: np.ndarray) -> None:
-        good = (node[a] != node[b]) & (_differing(check[a], check[b]) <= CHECK_DIFFERS)
+        good = np.flatnonzero((node[a] != node[b]) & (_differing(check[a], check[b]) <= CHECK_DIFFERS))
+        if n is not None:
+            good = good[_sizes_allow(n[a[good]], n[b[good]])]
+            parts = [good[at : at + LOOKED_AT] for at in range(0, len(good), LOOKED_AT)]
+            good = np.concatenate([good[:0], *(g[_bits_allow(words[a[g]], words[b[g]], n[a[g]], n[b[g]])] for g in parts)])
         left.append(a[good])
         right.append(b[good])
 
@@ -244,15 +272,15 @@ def joined(place: np.ndarray, node: np.ndarray, check: np.ndarray, length: int)
 
 
 def _meet(length: int) -> Batches:
-    """``joined`` of rows (place, node, first, second) in the order of places: u, v, and the nodes of families as u alone."""
+    """``joined`` of rows (place, node, n, w0 and so on) in the order of places: u, v, and the nodes of families as u alone."""
 
     def out(held: list[np.ndarray]) -> pa.RecordBatch:
-        u, v, family = joined(held[0], held[1], np.stack(held[2:], axis=1).view(np.uint64), length)
+        u, v, family = joined(held[0], held[1], np.stack(held[3:], axis=1).view(np.uint64), length, held[2])
         columns = [pa.array(np.concatenate([u, family])), pa.concat_arrays([pa.array(v), pa.nulls(len(family), pa.int64())])]
         return pa.RecordBatch.from_arrays(columns, names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[np.zeros(0, np.int64)] for _ in range(2 + CHECK)]
+        held = [[np.zeros(0, np.int64)] for _ in range(3 + CARRIED)]
         n = 0
         for batch in batches:
             for at, column in zip(held, batch.columns, strict=True):
@@ -270,10 +298,6 @@ def _meet(length: int) -> Batches:
     return lean(run)
 
 
-def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], names=["u", "v"])
-
-
 def _sets(docs: DataFrame, nodes: DataFrame, met: DataFrame) -> DataFrame:
     """node, found (hashes of its shingles) of all nodes of ``met`` (u, v); ``nodes`` (node, key) tells a text of each."""
 
@@ -289,13 +313,9 @@ def _sets(docs: DataFrame, nodes: DataFrame, met: DataFrame) -> DataFrame:
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The ``pairs`` (u, v) that sizes of sets and whole fingerprints don't rule out."""
 
-    def most(bits: int, chance: float) -> float:
-        return bits * chance + BEYOND * (bits * chance * (1 - chance)) ** 0.5
-
     def check(batch: dict[str, list]) -> dict[str, list]:
         n, m, a, b = np.array(batch["n"]), np.array(batch["m"]), _words(batch["a"]), _words(batch["b"])
-        bits = 64 * a.shape[1]
-        at = np.flatnonzero((5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (_differing(a, b) <= np.where(np.minimum(n, m) < SMALL, most(bits, SMALL_DIFFERS), most(bits, DIFFERS))))
+        at = np.flatnonzero(_sizes_allow(n, m) & _bits_allow(a, b, n, m))
         return {k: [batch[k][i] for i in at] for k in ("u", "v")}
 
     left = pairs.join(nodes.select(F.col("node").alias("u"), "n", F.col("print").alias("a")), "u")
@@ -315,49 +335,99 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(by_batch(both, "u long, v long", check), "near-links")
 
 
-def _blocks(length: int, count: int) -> Batches:
-    """Likely pairs (u, v) of one band in different components, from rows (band, c, s, role, node, root, apart, small,
-    sketch) in that order: in each block rows of role 0 are held and those of role 1 pass by."""
-
-    def columns(rows: list[tuple]) -> tuple[np.ndarray, ...]:
-        node, root, apart, small, marks = zip(*rows, strict=True)
+#: Rows of blocks: of the texts that are held (role 0) and of those that pass by (role 1).
+_BLOCK = "band long, c int, s int, h int, role int, node long, root long, apart boolean"
+Block = tuple[int, int, int, int]
+#: What a block does with the texts that it holds and some of those that pass by; the last is its own while it lasts.
+Settle = Callable[[Block, tuple, tuple, dict], list[tuple]]
+
+
+def _crossing_in(band: int, here: tuple, passing: tuple) -> Iterator[tuple[int, np.ndarray]]:
+    """For the places of texts in ``here`` the places in ``passing`` of texts of other components that may well be similar,
+    each pair in one block. Both are columns node, root, apart, n, bands, sketch."""
+    v_node, v_root, v_apart, v_n, v_bands, v_marks = passing[:6]
+    for i, (node, root, _, n, bands, marks) in enumerate(zip(*here[:6], strict=True)):
+        # two texts that stand apart meet once
+        open_ = np.flatnonzero((v_root != root) & (~v_apart | (v_node > node)) & _sizes_allow(v_n, n))
+        tiny = np.minimum(v_n[open_], n) < SMALL
+        open_ = open_[_differing(v_marks[open_, :GLANCE], marks[:GLANCE]) <= np.where(tiny, SMALL_GLANCE_DIFFERS, GLANCE_DIFFERS)]
+        tiny = np.minimum(v_n[open_], n) < SMALL
+        open_ = open_[_differing(v_marks[open_], marks) <= np.where(tiny, SMALL_SKETCH_DIFFERS, SKETCH_DIFFERS)]
+        if len(open_):  # under the first band that both share
+            first = (v_bands[open_] == bands).argmax(axis=1)
+            open_ = open_[bands[first] == band]
+        if len(open_):
+            yield i, open_
+
+
+def _who_cross(block: Block, here: tuple, passing: tuple, told: dict) -> list[tuple]:
+    """The rows of a block's texts that ``_crossing_in`` gives partners, each once."""
+    theirs = np.zeros(len(passing[0]), bool)
+    mine = set()
+    for i, open_ in _crossing_in(block[0], here, passing):
+        mine.add(i)
+        theirs[open_] = True
+    new = sorted(mine - told.keys())
+    told.update(dict.fromkeys(new))
+    row = lambda role, of, k: (*block, role, int(of[0][k]), int(of[1][k]), bool(of[2][k]))
+    return [row(0, here, i) for i in new] + [row(1, passing, int(k)) for k in np.flatnonzero(theirs)]
+
+
+def _links_across(block: Block, here: tuple, passing: tuple, parent: dict) -> list[tuple]:
+    """Verified links (u, v) that join all components which similar texts of a block join: one less than these at most."""
+
+    def top(root: int) -> int:
+        while (up := parent.get(root, root)) != root:
+            parent[root] = parent.get(up, up)
+            root = up
+        return root
+
+    out = []
+    for i, open_ in _crossing_in(block[0], here, passing):
+        for k in open_.tolist():
+            a, b = top(int(here[1][i])), top(int(passing[1][k]))
+            if a != b and similar(here[6][i], passing[6][k]):
+                parent[max(a, b)] = min(a, b)
+                out.append((int(here[0][i]), int(passing[0][k])))
+    return out
+
+
+def _blocks(length: int, count: int, schema: str, settle: Settle) -> Batches:
+    """Rows of ``settle`` from rows (those of _BLOCK, n, sketch, found or null) in the order of blocks and roles."""
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def columns(rows: list[tuple]) -> tuple:
+        node, root, apart, n, marks, found = zip(*rows, strict=True)
         sketches = _words(marks)
-        return np.array(node), np.array(root), np.array(apart), pieces(sketches, length, count), np.array(small), sketches
-
-    def met(band: int, here: tuple | None, passing: list[tuple]) -> pa.RecordBatch:
-        out = []
-        v_node, v_root, v_apart, v_bands, v_small, v_marks = columns(passing)
-        for node, root, _, bands, small, marks in zip(*here, strict=True) if here else ():
-            # two texts that stand apart meet once
-            open_ = np.flatnonzero((v_root != root) & (~v_apart | (v_node > node)))
-            tiny = v_small[open_] | small
-            open_ = open_[_differing(v_marks[open_, :GLANCE], marks[:GLANCE]) <= np.where(tiny, SMALL_GLANCE_DIFFERS, GLANCE_DIFFERS)]
-            tiny = v_small[open_] | small
-            open_ = open_[_differing(v_marks[open_], marks) <= np.where(tiny, SMALL_SKETCH_DIFFERS, SKETCH_DIFFERS)]
-            if len(open_):  # under the first band that both share
-                first = (v_bands[open_] == bands).argmax(axis=1)
-                out += [(int(node), int(v)) for v in v_node[open_[bands[first] == band]]]
-        return _pairs(out)
+        sets = [None if f is None else np.frombuffer(f, np.uint64) for f in found]
+        return np.array(node), np.array(root), np.array(apart), np.array(n), pieces(sketches, length, count), sketches, sets
+
+    def settled(block: Block, here: tuple | None, passing: list[tuple], own: dict) -> pa.RecordBatch:
+        out = settle(block, here, columns(passing), own) if here else []
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], _ARROW[kind]) for k, kind in enumerate(_kinds(schema))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, here, passing = None, [], None, []
-        for batch in batches:
-            for band, c, s, role, *row in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                if (band, c, s) != block:
+        block, held, here, passing, size, own = None, [], None, [], 0, {}
+        parts = (batch.slice(at, 1024) for batch in batches for at in range(0, batch.num_rows, 1024))
+        for part in parts:
+            for *now, role, node, root, apart, n, marks, found in zip(*(col.to_pylist() for col in part.columns), strict=True):
+                if tuple(now) != block:
                     if passing:
-                        yield met(block[0], here, passing)
-                    block, held, here, passing = (band, c, s), [], None, []
+                        yield settled(block, here, passing, own)
+                    block, held, here, passing, size, own = tuple(now), [], None, [], 0, {}
+                row = (node, root, apart, n, marks, found)
                 if role == 0:
                     held.append(row)
                     continue
                 if held:
                     here, held = columns(held), []
                 passing.append(row)
-                if len(passing) == 512:
-                    yield met(band, here, passing)
-                    passing = []
+                size += len(found or b"")
+                if len(passing) == 512 or size >= HELD_BYTES:
+                    yield settled(block, here, passing, own)
+                    passing, size = [], 0
         if passing:
-            yield met(block[0], here, passing)
+            yield settled(block, here, passing, own)
 
     return lean(run)
 
@@ -376,14 +446,22 @@ def _bands(length: int, count: int) -> Batches:
 
 
 def _crossing(family: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """u, v: pairs of ``family`` (node) in different components that may well be similar."""
+    """u, v: verified links that join all components which similar texts of ``family`` (node) join.
+
+    Blocks first tell, by sketches, who meets a text of another component at all. The sets of these alone go to the same
+    blocks, which verify inside the task and give no more links than join what they hold, however many pairs they look at."""
 
     def sketches(batch: dict[str, list]) -> dict[str, list]:
         found = [np.frombuffer(b, np.uint64) for b in batch["found"]]
-        return {"node": batch["node"], "small": [len(s) < SMALL for s in found], "sketch": [simhash(s, *_MORE).tobytes() for s in found]}
+        return {"node": batch["node"], "n": [len(s) for s in found], "sketch": [simhash(s, *_MORE).tobytes() for s in found]}
+
+    def settled(rows: DataFrame, schema: str, settle: Settle) -> DataFrame:
+        key = ["band", "c", "s", "h"]
+        rows = rows.select(*key, "role", "node", "root", "apart", "n", "sketch", "found")
+        return rows.repartition(*key).sortWithinPartitions(*key, "role").mapInArrow(_blocks(length, count, schema, settle), schema)
 
     length, count = pieces_of(family.count())
-    marks = written(by_batch(sets.join(family, "node", "left_semi"), "node long, small boolean, sketch binary", sketches), "near-sketches")
+    marks = written(by_batch(sets.join(family, "node", "left_semi"), "node long, n long, sketch binary", sketches), "near-sketches")
     known = marks.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "sketch")
     rooted = written(known.mapInArrow(_bands(length, count), "band long, node long, root long"), "near-rooted")
     parts = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
@@ -394,14 +472,19 @@ def _crossing(family: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame
     own = lambda k, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(k)).cast("int")
     held = rows.where("apart").select("band", own("cs", 1).alias("c"), every("ss").alias("s"), F.lit(0).alias("role"), "node", "root", "apart")
     passing = rows.select("band", every("cs").alias("c"), own("ss", 2).alias("s"), F.lit(1).alias("role"), "node", "root", "apart")
-    dealt = held.unionByName(passing).join(marks, "node").select("band", "c", "s", "role", "node", "root", "apart", "small", "sketch")
-    return dealt.repartition("band", "c", "s").sortWithinPartitions("band", "c", "s", "role").mapInArrow(_blocks(length, count), "u long, v long")
+    dealt = held.unionByName(passing).withColumn("h", F.lit(0)).join(marks, "node").withColumn("found", F.lit(None).cast("binary"))
+    meet = written(settled(dealt, _BLOCK, _who_cross), "near-meet").drop("h").join(marks, "node")
+    hs = meet.where("role = 0").groupBy("band", "c", "s").agg(F.expr(f"cast(ceil(sum(8 * n) / {HELD_BYTES}) as int)").alias("hs"))
+    meet = meet.join(hs, ["band", "c", "s"])
+    held = meet.where("role = 0").withColumn("h", own("hs", 3))
+    passing = meet.where("role = 1").withColumn("h", every("hs"))
+    return settled(held.unionByName(passing).join(sets, "node"), "u long, v long", _links_across)
 
 
 def links(docs: DataFrame, signed: DataFrame, length: int, count: int) -> DataFrame:
     """u, v: verified links that connect all nodes which candidates at 0.8 or more connect."""
     nodes = written(signed.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("print").alias("print")), "near-nodes")
-    dealt = nodes.select("node", "print").mapInArrow(_spread(length, count), "place long, node long, first long, second long")
+    dealt = nodes.select("node", "n", "print").mapInArrow(_spread(length, count), "place long, node long, n long, " + ", ".join(f"{w} long" for w in _CARRIED))
     dealt = dealt.repartition(F.shiftright("place", length // 2)).sortWithinPartitions("place", "node")
     ordered = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
     met = written(dealt.mapInArrow(_meet(length), "u long, v long").select(ordered[0], F.when(F.col("v").isNotNull(), ordered[1]).alias("v")).distinct(), "near-met")
@@ -410,8 +493,7 @@ def links(docs: DataFrame, signed: DataFrame, length: int, count: int) -> DataFr
     found = _verified(pairs, sets)
     if family.isEmpty():
         return found
-    crossed = written(_crossing(family.select(F.col("u").alias("node")), sets, components(found)).select(*ordered).distinct(), "near-crossed")
-    return found.unionByName(_verified(crossed, sets))
+    return found.unionByName(written(_crossing(family.select(F.col("u").alias("node")), sets, components(found)).select(*ordered).distinct(), "near-crossed"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

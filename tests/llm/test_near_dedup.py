@@ -101,3 +101,60 @@ def test_families_are_marked_and_recall_at_the_bound():
     u, v, family = near_dedup.joined(place[order], node[order], prints[node[order], : near_dedup.CHECK], length)
     assert family.tolist() == list(range(300))  # all are compared again
     assert len({(min(p), max(p)) for p in zip(u.tolist(), v.tolist(), strict=True)}) < 300 * 40
+
+
+def test_loose_family_makes_rows_by_its_size_not_its_square(spark, docs_of, monkeypatch):
+    rows_of = {}
+
+    def counted(df, name, write=near_dedup.written):
+        out = write(df, name)
+        rows_of[name] = max(rows_of.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    rng = random.Random(12)
+    base = " ".join(f"w{k}" for k in range(404))
+    n = 300  # most pairs are just below 0.8, some at it
+    rows = [(i, changed(rng, base, 6)) for i in range(n)]
+    want = brute_kept(rows)
+    assert n / 4 < len(want) < n - 10
+    assert sorted(r.doc_id for r in near_dedup.one_of_each(docs_of(rows)).collect()) == want
+    # a text is in 14 blocks, held and passing by
+    assert rows_of["near-crossed"] < n * 2 and max(rows_of.values()) <= n * 28, rows_of
+
+
+def test_blocks_hold_few_sets_at_once_and_lose_nothing(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HELD_BYTES", 10_000)
+    rng = random.Random(13)
+    base = " ".join(f"w{k}" for k in range(404))
+    rows = [(i, changed(rng, base, 6)) for i in range(200)]  # three sets at once
+    assert sorted(r.doc_id for r in near_dedup.one_of_each(docs_of(rows)).collect()) == brute_kept(rows)
+
+
+def test_carried_words_and_sizes_rule_pairs_out_inside_the_task():
+    rng = np.random.default_rng(6)
+    length, count = near_dedup.segments_of(200_000)
+    words = near_dedup.words_of(length, count)
+    factors, terms = near_dedup._FACTORS[:words], near_dedup._TERMS[:words]
+
+    def met(sets, carried):
+        prints = np.stack([near_dedup.simhash(s, factors, terms) for s in sets])
+        place = near_dedup.places(prints, length, count).ravel()
+        node = np.repeat(np.arange(len(sets)), 2 * count)
+        order = np.lexsort((node, place))
+        n = np.array([len(s) for s in sets])[node[order]] if carried else None
+        u, v, _ = near_dedup.joined(place[order], node[order], prints[node[order], : near_dedup.CARRIED if carried else near_dedup.CHECK], length, n)
+        return {(min(p), max(p)) for p in zip(u.tolist(), v.tolist(), strict=True)}
+
+    base = rng.integers(0, 1 << 64, 57, np.uint64)
+    loose = [np.unique(np.concatenate([base, rng.integers(0, 1 << 64, 43, np.uint64)])) for _ in range(40)]  # 0.4
+    assert len(met(loose, False)) > 200 and len(met(loose, True)) < 60
+    uneven = [np.unique(np.concatenate([base, rng.integers(0, 1 << 64, k, np.uint64)])) for k in (0, 15) * 5]
+    assert {(i - j) % 2 for i, j in met(uneven, False)} == {0, 1} and {(i - j) % 2 for i, j in met(uneven, True)} == {0}
+    for both, one in ((4, (0, 1)), (8, (1, 1)), (80, (10, 10)), (80, (0, 20))):  # a Jaccard similarity of 0.8
+        found = []
+        for _ in range(300):
+            h = rng.integers(0, 1 << 64, both + sum(one), np.uint64)
+            found += [np.unique(h[: both + one[0]]), np.unique(np.concatenate([h[:both], h[both + one[0] :]]))]
+        pairs = met(found, True)
+        assert sum((k, k + 1) not in pairs for k in range(0, 600, 2)) <= 2
