@@ -1,9 +1,10 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import graph
+from cairn.operators import graph, views
 from cairn.operators.graph import VROOT, dominator_tree, immediate_dominators_of
 
 
@@ -138,3 +139,11 @@ def test_descent_and_subtree(spark):
     got = graph.accumulation_points(tree, tree.where("obj_id = 0").select("obj_id")).first()
     assert (got.point, got.hops) == (1, 1)
     assert {(r.obj_id, r.level) for r in graph.subtree(tree, 1, 1).collect()} == {(1, 0), (2, 1), (3, 1)}
+
+
+def test_descent_joins_the_tree_without_sending_it(spark):
+    _, _, tree = tree_of(spark, [0], [(0, 1), (1, 2), (1, 3), (2, 4)], 5, [1, 1, 1, 50, 60])
+    found = views.suspects_descent(tree.withColumn("class_name", F.lit("c")).withColumn("loader", F.lit("l")))
+    joins = re.findall("BroadcastHashJoin .*", found._jdf.queryExecution().sparkPlan().toString())
+    assert [(r.obj_id, r.point, r.hops) for r in found.collect()] == [(0, 1, 1)]
+    assert len(joins) == 1 and "BuildLeft" in joins[0]  # the points are left, the tree is right
