@@ -51,3 +51,19 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_held_sums_in_the_order_of_the_files(spark, tmp_path):
+    """0.1 + 0.2 + 0.7 is 1.0 in this order, but 0.1 + (0.2 + 0.7), as two tasks add it up, is less."""
+    for part, prices in enumerate([[0.1], [0.2, 0.7]]):
+        rows = spark.createDataFrame([(0, 0, "F", p, "1-URGENT") for p in prices], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{part}")
+        (tmp_path / "orders.parquet").mkdir(exist_ok=True)
+        next((tmp_path / str(part)).glob("*.parquet")).rename(tmp_path / "orders.parquet" / f"{part}.parquet")
+    name = "spark.sql.files.maxPartitionBytes"
+    size = spark.conf.get(name)
+    spark.conf.set(name, "1k")  # a file is a task
+    try:
+        assert [(r.pointees, r.retained) for r in queries.QUERIES["fields_by_size"](spark, str(tmp_path)).collect()] == [(1, 1)]
+    finally:
+        spark.conf.set(name, size)
