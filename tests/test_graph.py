@@ -147,3 +147,11 @@ def test_descent_joins_the_tree_without_sending_it(spark):
     joins = re.findall("BroadcastHashJoin .*", found._jdf.queryExecution().sparkPlan().toString())
     assert [(r.obj_id, r.point, r.hops) for r in found.collect()] == [(0, 1, 1)]
     assert len(joins) == 1 and "BuildLeft" in joins[0]  # the points are left, the tree is right
+
+
+def test_no_range_of_addresses_holds_many_arrays(spark):
+    arrays = spark.range(600_000).select((F.col("id") * 16).alias("addr"), F.lit(0).cast("long").alias("elements"))
+    assert views._address_ranges(arrays).groupBy("bucket").count().agg(F.max("count")).first()[0] <= 262_144
+    assert not views.compressed_references(arrays).first()[0]
+    tight = spark.createDataFrame([((1 << 22) - 24, 1), (1 << 22, 0), ((1 << 28) - 20, 1), (1 << 28, 0)], "addr long, elements long")
+    assert not views.compressed_references(tight.limit(2)).first()[0] and views.compressed_references(tight).first()[0]
