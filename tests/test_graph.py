@@ -155,3 +155,17 @@ def test_no_range_of_addresses_holds_many_arrays(spark):
     assert not views.compressed_references(arrays).first()[0]
     tight = spark.createDataFrame([((1 << 22) - 24, 1), (1 << 22, 0), ((1 << 28) - 20, 1), (1 << 28, 0)], "addr long, elements long")
     assert not views.compressed_references(tight.limit(2)).first()[0] and views.compressed_references(tight).first()[0]
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_leaves_that_meet_across_blocks_of_numbers(spark, seed, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK_BITS", 2)
+    rng = random.Random(seed)
+    n, leaves = 60, 200
+    edges = [(rng.randrange(max(0, i - 9), i), i) for i in range(1, n) if i % 20] + [(rng.randrange(n), n + i) for i in range(leaves) for _ in range(rng.randint(1, 3))]
+    want = brute([0, 20, 40], edges, n + leaves)
+    depth = lambda v: 1 if want[v] == VROOT else 1 + depth(want[v])
+    got = tree_of(spark, [0, 20, 40], edges, n + leaves)[2].collect()
+    assert {r.obj_id: (r.idom, r.depth) for r in got if r.idom is not None} == {v: (d, depth(v)) for v, d in want.items()}
+    number = {r.obj_id: r.pre for r in got}
+    assert all(r.at == number.get(r.idom) for r in got if r.idom is not None)
