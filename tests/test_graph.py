@@ -169,3 +169,36 @@ def test_leaves_that_meet_across_blocks_of_numbers(spark, seed, monkeypatch):
     assert {r.obj_id: (r.idom, r.depth) for r in got if r.idom is not None} == {v: (d, depth(v)) for v, d in want.items()}
     number = {r.obj_id: r.pre for r in got}
     assert all(r.at == number.get(r.idom) for r in got if r.idom is not None)
+
+
+def test_rounds_leave_out_nodes_that_nothing_hangs_from(spark):
+    star = spark.createDataFrame([(0, -1, 1, 1)] + [(i, 0 if i < 90 else 7, 1, 1) for i in range(1, 100)] + [(100, 555, 1, 1), (101, 100, 1, 1)], "obj_id long, up long, size long, depth long")
+    rows, rounds = graph._doubled(star, ["size"], ["depth"], "star")
+    got = {r.obj_id: (r.up, r.size, r.depth) for r in rows.collect()}
+    assert got[0] == (VROOT, 100, 1) and got[7] == (VROOT, 11, 2) and got[99] == (VROOT, 1, 3) and got[8] == (VROOT, 1, 2)
+    assert got[100][0] == got[101][0] == graph.DEAD and len(got) == 102
+    assert all(t.count() == 3 for t in rounds) and rounds
+
+
+def test_children_are_numbered_in_parts_only_where_they_are_many(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, i % 3, 1 + i % 4) for i in range(60)], "obj_id long, idom long, size long")
+    for most in (5, 100):
+        monkeypatch.setattr(graph, "SIBLINGS", most)
+        found = graph._numbered(rows)
+        for idom in range(3):
+            spans = sorted((r.ahead, r.ahead + r["size"]) for r in found.where(f"idom = {idom}").collect())
+            assert spans[0][0] == 1 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_views_join_no_more_of_the_tree_than_they_need(spark, monkeypatch):
+    _, _, tree = tree_of(spark, [0], [(0, i) for i in range(1, 300)] + [(1, 400)], 401)
+    tree = tree.withColumn("class_name", F.concat(F.lit("c"), F.col("obj_id") % 2))
+    kept, write = {}, views.written
+    monkeypatch.setattr(views, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    assert [tuple(r) for r in views.big_drops(tree).collect()] == [(0, "c0", 301, 2, 299)]
+    assert kept["heavy-objects"].count() == 1
+    assert {r.of_class: r.path for r in views.root_path(tree).collect()} == {"c0": "c0", "c1": "c0 > c1"}
+    assert kept["steps"].count() == 3
+    doms = views.immediate_dominators(tree)
+    assert {tuple(r) for r in doms.collect()} == {("c0", 1, 1, 299, 299), ("c1", 1, 1, 1, 1)}
+    assert "below" in doms._jdf.queryExecution().sparkPlan().toString()
